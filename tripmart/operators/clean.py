@@ -36,6 +36,7 @@ from tripmart.functions.text import (
 )
 from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_timestamp
 from tripmart.schema import RENAMES, TEXT_FIXES
+from tripmart.session import ensure_checkpoint_dir
 
 KEY = "ride_id"
 TIME_COLUMNS = ("started_at", "ended_at")
@@ -92,6 +93,7 @@ def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     """Materialise ``small`` in the shared checkpoint folder and broadcast it
     only if it has at most ``max_rows`` rows; otherwise return it for a
     shuffle join. The count reads the checkpoint, not the source again."""
+    ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
     n = small.limit(max_rows + 1).count()
     return F.broadcast(small) if n <= max_rows else small
