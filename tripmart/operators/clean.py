@@ -36,7 +36,7 @@ from tripmart.functions.text import (
 )
 from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_timestamp
 from tripmart.schema import RENAMES, TEXT_FIXES
-from tripmart.session import ensure_checkpoint_dir
+from tripmart.session import materialize
 
 KEY = "ride_id"
 TIME_COLUMNS = ("started_at", "ended_at")
@@ -90,12 +90,11 @@ def missing_columns(df: DataFrame, columns=None) -> Column:
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise ``small`` in the shared checkpoint folder and broadcast it
-    only if it has at most ``max_rows`` rows; otherwise return it for a
-    shuffle join. The count reads the checkpoint, not the source again."""
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    n = small.limit(max_rows + 1).count()
+    """Write ``small`` to the shared checkpoint folder and broadcast it only
+    if it has at most ``max_rows`` rows; otherwise return it for a shuffle
+    join. The count comes from the written files, not the source again."""
+    small = materialize(small, "keys")
+    n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 
 
@@ -216,11 +215,20 @@ def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame
     df = df.withColumns({"_tid": fn(F.col(KEY)), "_short": F.coalesce(duration_expr(p.fractional) < F.lit(p.min_minutes), F.lit(False))})
 
     k = F.col(KEY)
-    b1 = df.filter(F.col("_miss") & k.isNotNull()).select(F.col("_tid"), k.alias("_raw")).distinct()
-    cand2 = df.filter(F.col("_short") & k.isNotNull() & ~F.col("_miss")).select(F.col("_tid"), k.alias("_raw"))
-    b2 = cand2.join(b1.select("_raw"), "_raw", "left_anti").select("_tid").distinct()
-    right = b1.withColumn("_kind", F.lit(1)).unionByName(b2.withColumns({"_raw": F.lit(None).cast("string"), "_kind": F.lit(2)}))
-    right = bounded_broadcast(right.select(F.col("_tid").alias("_rtid"), F.col("_raw").alias("_rraw"), "_kind"), max_broadcast_rows)
+    # One partially aggregated group-by over flagged rows only: per raw id,
+    # m = some row has a missing value (id in B1); s = some row is short.
+    # Ids with s and not m survived step 1, so their trimmed id is in B2.
+    per_id = (
+        df.filter((F.col("_miss") | F.col("_short")) & k.isNotNull())
+        .groupBy(k.alias("_raw"))
+        .agg(F.max("_miss").alias("_m"), F.max("_short").alias("_s"), F.first("_tid").alias("_tid"))
+    )
+    right = per_id.select(
+        F.col("_tid").alias("_rtid"),
+        F.when(F.col("_m"), F.col("_raw")).alias("_rraw"),
+        F.when(F.col("_m"), F.lit(1)).otherwise(F.lit(2)).alias("_kind"),
+    )
+    right = bounded_broadcast(right, max_broadcast_rows)
 
     keep = df.filter(k.isNull() | ~(F.col("_miss") | F.col("_short")))
     cond = (keep["_tid"] == right["_rtid"]) & ((right["_kind"] == F.lit(2)) | (keep[KEY] == right["_rraw"]))

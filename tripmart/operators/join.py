@@ -16,8 +16,13 @@ MAX_BANDS = 10_000
 
 
 def bands_frame(spark: SparkSession, bands: Sequence[tuple[str, int, int]] = BANDS) -> DataFrame:
-    """The inline ``(name, low_limit, high_limit)`` table."""
-    return spark.createDataFrame(list(bands), "name string, low_limit int, high_limit int")
+    """The inline ``(name, low_limit, high_limit)`` table, built from
+    literals on the JVM side (no Python rows to ship)."""
+    rows = [
+        F.struct(F.lit(n).cast("string").alias("name"), F.lit(lo).cast("int").alias("low_limit"), F.lit(hi).cast("int").alias("high_limit"))
+        for n, lo, hi in bands
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def band_join(df: DataFrame, value: str, bands: DataFrame, n_bands: int = len(BANDS)) -> DataFrame:

@@ -63,3 +63,13 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame reading it back: cuts the lineage (an executor lost
+    later re-reads the files instead of recomputing) and makes its size
+    known. One job; ``Dataset.checkpoint`` would compute the data twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
