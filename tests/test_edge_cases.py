@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripmart.functions.text import strip_whitespace, title_case, trim_spaces
 from tripmart.functions.time import hour_label, minutes_between, minutes_fractional, parse_timestamp, weekday_number
 from tripmart.operators import clean as C
-from tripmart.operators.aggregate import histogram, rollup_coalesced, rollup_labeled
+from tripmart.operators.aggregate import count_rows, histogram, rollup_coalesced, rollup_labeled
 from tripmart.operators.join import band_case, band_join, bands_frame
 from tripmart.operators.order import field_position, level_rank
 from tripmart.schema import BANDS
@@ -67,10 +67,10 @@ def test_delete_by_key_vs_row(spark):
 
 def test_null_group_key_under_rollup(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "k string")
-    lab = rollup_labeled(df, ["k"], [F.count(F.lit(1)).alias("n")], {"k": "all"})
+    lab = rollup_labeled(df, ["k"], [count_rows("n")], {"k": "all"})
     got = sorted((r["k"] or "-", r["n"]) for r in lab.collect())
     assert got == [("-", 2), ("a", 1), ("all", 4), ("b", 1)]
-    coal = rollup_coalesced(df, "k", [F.count(F.lit(1)).alias("n")], "all")
+    coal = rollup_coalesced(df, "k", [count_rows("n")], "all")
     assert sorted((r["k"], r["n"]) for r in coal.collect()) == [("a", 1), ("all", 2), ("all", 4), ("b", 1)]
 
 

@@ -10,6 +10,7 @@ Windows run on aggregated rows only (a handful per partition key).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,59 +18,130 @@ from pyspark.sql import functions as F
 from tripmart.functions.columns import as_col
 
 
+@dataclass(frozen=True)
+class Measure:
+    """A decomposable aggregate: computed per detail group first, then
+    re-aggregated for the subtotal rows.
+
+    ``kind``: ``rows`` (COUNT(*)), ``count`` (non-NULL count of ``expr``),
+    ``sum``, ``avg``, ``min``, ``max``. ``digits`` rounds the final value."""
+
+    name: str
+    kind: str
+    expr: Column | None = None
+    digits: int | None = None
+
+
+def count_rows(name: str) -> Measure:
+    return Measure(name, "rows")
+
+
+def count_of(expr, name: str) -> Measure:
+    return Measure(name, "count", as_col(expr))
+
+
+def mean(expr, name: str, digits: int | None = None) -> Measure:
+    return Measure(name, "avg", as_col(expr), digits)
+
+
+def total(expr, name: str) -> Measure:
+    return Measure(name, "sum", as_col(expr))
+
+
+def minimum(expr, name: str) -> Measure:
+    return Measure(name, "min", as_col(expr))
+
+
+def maximum(expr, name: str) -> Measure:
+    return Measure(name, "max", as_col(expr))
+
+
+def _detail(m: Measure, i: int) -> list[Column]:
+    e = m.expr
+    if m.kind == "rows":
+        return [F.count(F.lit(1)).alias(f"_c{i}")]
+    if m.kind == "count":
+        return [F.count(e).alias(f"_c{i}")]
+    if m.kind == "sum":
+        return [F.sum(e).alias(f"_s{i}")]
+    if m.kind == "avg":
+        return [F.sum(e).alias(f"_s{i}"), F.count(e).alias(f"_c{i}")]
+    if m.kind in ("min", "max"):
+        return [getattr(F, m.kind)(e).alias(f"_v{i}")]
+    raise ValueError(f"unknown measure kind {m.kind!r}")
+
+
+def _combine(m: Measure, i: int) -> Column:
+    if m.kind in ("rows", "count"):
+        v = F.sum(f"_c{i}")
+    elif m.kind == "sum":
+        v = F.sum(f"_s{i}")
+    elif m.kind == "avg":
+        v = F.try_divide(F.sum(f"_s{i}").cast("double"), F.sum(f"_c{i}"))
+    else:
+        v = getattr(F, m.kind)(f"_v{i}")
+    if m.digits is not None:
+        v = F.round(v, m.digits)
+    return v.alias(m.name)
+
+
 def _labelled(
     df: DataFrame,
     keys: Sequence[str],
-    aggs: Sequence[Column],
+    measures: Sequence[Measure],
     totals: Mapping[str, str],
     names: Mapping[str, str] | None,
     how: str,
 ) -> DataFrame:
+    """Two phases. (1) ``groupBy(keys)`` on the input: a plain hash
+    aggregate, partial per task, so one row per group and task crosses the
+    shuffle and every input row is aggregated once (not once per grouping
+    set, as ``Expand`` would). (2) ROLLUP / CUBE over those detail groups -
+    a few rows per key combination - re-aggregating the partial measures."""
     names = dict(names or {})
-    grouped = df.cube(*keys) if how == "cube" else df.rollup(*keys)
+    detail = df.groupBy(*keys).agg(*[c for i, m in enumerate(measures) for c in _detail(m, i)])
+    grouped = detail.cube(*keys) if how == "cube" else detail.rollup(*keys)
     flags = [F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)]
-    out = grouped.agg(*aggs, *flags)
-    value_cols = [c for c in out.columns if c not in keys and not c.startswith("_g")]
+    out = grouped.agg(*[_combine(m, i) for i, m in enumerate(measures)], *flags)
     labelled = [
         F.when(F.col(f"_g{i}") == 1, F.lit(totals[k])).otherwise(F.col(k).cast("string")).alias(names.get(k, k))
         for i, k in enumerate(keys)
     ]
-    return out.select(*labelled, *value_cols)
+    return out.select(*labelled, *[m.name for m in measures])
 
 
-def rollup_labeled(df, keys, aggs, totals, names=None) -> DataFrame:
+def rollup_labeled(df, keys, measures, totals, names=None) -> DataFrame:
     """``GROUP BY keys WITH ROLLUP`` with each super-aggregate key replaced by
     its total label through ``grouping()`` - a real NULL key stays a separate
     group (``COALESCE`` would merge it with the total)."""
-    return _labelled(df, keys, aggs, totals, names, "rollup")
+    return _labelled(df, keys, measures, totals, names, "rollup")
 
 
-def cube_labeled(df, keys, aggs, totals, names=None) -> DataFrame:
+def cube_labeled(df, keys, measures, totals, names=None) -> DataFrame:
     """All combinations of detail and total for every key, labelled."""
-    return _labelled(df, keys, aggs, totals, names, "cube")
+    return _labelled(df, keys, measures, totals, names, "cube")
 
 
-def rollup_coalesced(df, key: str, aggs, total: str, name: str | None = None) -> DataFrame:
+def rollup_coalesced(df, key: str, measures, total: str, name: str | None = None) -> DataFrame:
     """The literal ``COALESCE(key, total)`` form of a one-key rollup label:
     a NULL key and the grand total both come out as ``total``."""
-    out = df.rollup(key).agg(*aggs)
-    value_cols = [c for c in out.columns if c != key]
-    return out.select(F.coalesce(F.col(key).cast("string"), F.lit(total)).alias(name or key), *value_cols)
+    detail = df.groupBy(key).agg(*[c for i, m in enumerate(measures) for c in _detail(m, i)])
+    out = detail.rollup(key).agg(*[_combine(m, i) for i, m in enumerate(measures)])
+    return out.select(F.coalesce(F.col(key).cast("string"), F.lit(total)).alias(name or key), *[m.name for m in measures])
 
 
-def conditional_aggs(
+def conditional_measures(
     pivot: Column | str,
     values: Sequence[str],
-    fn: Callable[[Column], Column],
+    kind: str,
     value: Column | None,
     name: Callable[[str], str],
-) -> list[Column]:
-    """One aggregate per pivot value: ``fn(CASE WHEN pivot = v THEN value END)``.
-    A pivot computed in the same hash aggregate - no extra pass to find the
-    pivot values."""
+) -> list[Measure]:
+    """One measure per pivot value over ``CASE WHEN pivot = v THEN value END``
+    (a hand pivot inside the same aggregate - no pass to find the values)."""
     pivot = as_col(pivot)
     v = F.lit(1) if value is None else value
-    return [fn(F.when(pivot == F.lit(x), v)).alias(name(x)) for x in values]
+    return [Measure(name(x), kind, F.when(pivot == F.lit(x), v)) for x in values]
 
 
 def pivot_wide(

@@ -89,13 +89,20 @@ def missing_columns(df: DataFrame, columns=None) -> Column:
 # --- key deletion ---------------------------------------------------------------
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Write ``small`` to the shared checkpoint folder and broadcast it only
-    if it has at most ``max_rows`` rows; otherwise return it for a shuffle
-    join. The count comes from the written files, not the source again."""
+def bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Write ``small`` to the shared checkpoint folder, read it back and say
+    whether it has at most ``max_rows`` rows (counted from the written
+    files, not by recomputing the source)."""
     small = materialize(small, "keys")
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    return small, small.count() <= max_rows
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint only when its row count is proven
+    under ``max_rows``; otherwise left for a shuffle join (Spark's own
+    size-based broadcast and AQE still apply)."""
+    small, ok = bounded(small, max_rows)
+    return F.broadcast(small) if ok else small
 
 
 def delete_by_key(
@@ -199,15 +206,16 @@ def r_stage_parsed(raw: DataFrame) -> DataFrame:
     return parse_times(df.na.drop("any"))
 
 
-def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame:
-    """Key mode with a single join over the trip table.
+def _key_frames(raw: DataFrame, p: Profile, max_broadcast_rows: int):
+    """Pieces of the key-mode plan: the flagged trip rows and the
+    materialised key table (with its broadcast decision).
 
     Sequential definition: (1) delete raw ids of rows with a missing value;
     (2) parse, trim; (3) delete trimmed ids of surviving rows shorter than
     ``min_minutes``. Folded: a row with an id goes when its raw id is in
     B1 or its trimmed id is in B2 (B2 built from flagged survivors of B1).
-    The right side R = B1 (kind 1, trimmed + raw id) + B2 (kind 2, trimmed
-    id) is keyed on the trimmed id; kind 1 also requires equal raw ids."""
+    The key table holds B1 (kind 1, trimmed + raw id) and B2 (kind 2,
+    trimmed id), keyed on the trimmed id; kind 1 also requires equal raw ids."""
     df = rename_raw(raw)
     fn = trim_spaces if p.trim == "spaces" else strip_whitespace
     # the missing test reads the raw text, so it is taken before parsing
@@ -228,16 +236,67 @@ def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame
         F.when(F.col("_m"), F.col("_raw")).alias("_rraw"),
         F.when(F.col("_m"), F.lit(1)).otherwise(F.lit(2)).alias("_kind"),
     )
-    right = bounded_broadcast(right, max_broadcast_rows)
+    right, small = bounded(right, max_broadcast_rows)
+    return df, right, small
+
 
+def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame:
+    """Key mode with a single join over the trip table (see ``_key_frames``)."""
+    df, right, small = _key_frames(raw, p, max_broadcast_rows)
+    r = F.broadcast(right) if small else right
+    k = F.col(KEY)
     keep = df.filter(k.isNull() | ~(F.col("_miss") | F.col("_short")))
-    cond = (keep["_tid"] == right["_rtid"]) & ((right["_kind"] == F.lit(2)) | (keep[KEY] == right["_rraw"]))
-    out = keep.join(right, cond, "left_anti").drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
+    cond = (keep["_tid"] == r["_rtid"]) & ((r["_kind"] == F.lit(2)) | (keep[KEY] == r["_rraw"]))
+    out = keep.join(r, cond, "left_anti").drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
     out = out.select(KEY, *[c for c in df.columns if c not in (KEY, "_miss", "_short", "_tid")])
     out = trim_text(out, p.trim)
     return polish_text(out, p)
 
 
+def key_clean_audit(raw: DataFrame, profile: Profile = SQL, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``(step_no, step, rows_in, rows_out)`` of the key-mode chain in one
+    pass: each row's fate (deleted by step 1, by step 3, or kept) comes from
+    two lookups in the key table, then one global aggregate counts them."""
+    df, right, small = _key_frames(raw, profile, max_broadcast_rows)
+    b1 = right.filter(F.col("_kind") == 1).select(F.col("_rraw").alias("_b1"))  # one row per raw id
+    b2 = right.filter(F.col("_kind") == 2).select(F.col("_rtid").alias("_b2")).distinct()
+    if small:
+        b1, b2 = F.broadcast(b1), F.broadcast(b2)
+    flagged = df.join(b1, df[KEY] == b1["_b1"], "left").join(b2, df["_tid"] == b2["_b2"], "left")
+    d1 = F.col("_b1").isNotNull()
+    d2 = ~d1 & F.col("_b2").isNotNull()
+    counts = flagged.agg(
+        F.count(F.lit(1)).alias("n0"),
+        F.count_if(~d1).alias("n1"),
+        F.count_if(~d1 & ~d2).alias("n2"),
+    )
+    steps = [("rename", "n0", "n0"), ("delete_missing", "n0", "n1"), ("parse", "n1", "n1"), ("trim", "n1", "n1"), ("delete_short", "n1", "n2")]
+    rows = F.array(*[
+        F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), F.col(a).alias("rows_in"), F.col(b).alias("rows_out"))
+        for i, (name, a, b) in enumerate(steps)
+    ])
+    return counts.select(F.inline(rows))
+
+
+def row_clean_audit(raw: DataFrame, profile: Profile = R) -> DataFrame:
+    """Row-mode chain audit in one pass (one global aggregate)."""
+    df = rename_raw(raw)
+    keep1 = ~missing_predicate(df)
+    dur = F.coalesce(duration_expr(profile.fractional) >= F.lit(profile.min_minutes), F.lit(False))
+    parsed = parse_times(df.withColumn("_keep1", keep1))
+    counts = parsed.agg(
+        F.count(F.lit(1)).alias("n0"),
+        F.count_if(F.col("_keep1")).alias("n1"),
+        F.count_if(F.col("_keep1") & dur).alias("n2"),
+    )
+    steps = [("rename", "n0", "n0"), ("drop_missing", "n0", "n1"), ("parse", "n1", "n1"), ("trim", "n1", "n1"), ("min_duration", "n1", "n2")]
+    rows = F.array(*[
+        F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), F.col(a).alias("rows_in"), F.col(b).alias("rows_out"))
+        for i, (name, a, b) in enumerate(steps)
+    ])
+    return counts.select(F.inline(rows))
+
+
 def clean_trips(raw: DataFrame, profile: Profile = R, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Raw trips -> cleaned trips with ``ride_length`` and ``day_of_week``.
 

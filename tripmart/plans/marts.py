@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from tripmart.functions.columns import relabel
 from tripmart.functions.time import hour_label, month_name, month_number
 from tripmart.operators.aggregate import (
-    conditional_aggs,
+    conditional_measures,
+    count_of,
+    count_rows,
     cube_labeled,
+    mean,
     histogram,
     pivot_wide,
     rollup_labeled,
@@ -59,10 +62,7 @@ L = "ride_length"
 
 def avg_by_user(trips: DataFrame, total: str = SQL_TOTALS["user"], digits: int | None = 2) -> DataFrame:
     """M1: mean ride length per user type plus the combined mean."""
-    avg = F.avg(L)
-    if digits is not None:
-        avg = F.round(avg, digits)
-    return rollup_labeled(trips, ["user_type"], [avg.alias("avg_ride_length_min")], {"user_type": total})
+    return rollup_labeled(trips, ["user_type"], [mean(L, "avg_ride_length_min", digits)], {"user_type": total})
 
 
 def min_length(trips: DataFrame) -> DataFrame:
@@ -86,16 +86,16 @@ def length_summary(trips: DataFrame) -> DataFrame:
 
 def avg_by_weekday(trips: DataFrame, total: str = SQL_TOTALS["user"]) -> DataFrame:
     """M4: mean ride length, user type x weekday, wide, with total row and column."""
-    aggs = conditional_aggs("day_of_week", WEEKDAYS, F.avg, F.col(L), lambda d: f"avg_ride_length_{d.lower()}")
-    aggs.append(F.avg(L).alias("avg_ride_length_total"))
-    return rollup_labeled(trips, ["user_type"], aggs, {"user_type": total})
+    ms = conditional_measures("day_of_week", WEEKDAYS, "avg", F.col(L), lambda d: f"avg_ride_length_{d.lower()}")
+    ms.append(mean(L, "avg_ride_length_total"))
+    return rollup_labeled(trips, ["user_type"], ms, {"user_type": total})
 
 
 def count_by_weekday(trips: DataFrame, total: str = SQL_TOTALS["user"]) -> DataFrame:
     """M5: ride count, user type x weekday, wide, with totals."""
-    aggs = conditional_aggs("day_of_week", WEEKDAYS, F.count, None, lambda d: f"num_rides_{d.lower()}")
-    aggs.append(F.count(F.lit(1)).alias("grand_total"))
-    return rollup_labeled(trips, ["user_type"], aggs, {"user_type": total})
+    ms = conditional_measures("day_of_week", WEEKDAYS, "count", None, lambda d: f"num_rides_{d.lower()}")
+    ms.append(count_rows("grand_total"))
+    return rollup_labeled(trips, ["user_type"], ms, {"user_type": total})
 
 
 def band_rollup(spark: SparkSession, trips: DataFrame, bands=BANDS) -> DataFrame:
@@ -105,7 +105,7 @@ def band_rollup(spark: SparkSession, trips: DataFrame, bands=BANDS) -> DataFrame
     out = rollup_labeled(
         joined,
         ["name", "user_type"],
-        [F.count("total_minutes").alias("number_of_users")],
+        [count_of("total_minutes", "number_of_users")],
         {"name": SQL_TOTALS["band"], "user_type": SQL_TOTALS["user"]},
         {"name": "category_name", "user_type": "user_types"},
     )
@@ -118,7 +118,7 @@ def month_rollup(trips: DataFrame) -> DataFrame:
     out = rollup_labeled(
         months,
         ["month_name", "user_type"],
-        [F.count(F.lit(1)).alias("number_of_users")],
+        [count_rows("number_of_users")],
         {"month_name": SQL_TOTALS["month"], "user_type": SQL_TOTALS["user"]},
         {"month_name": "month", "user_type": "user_types"},
     )
@@ -137,7 +137,7 @@ def hour_rollup(trips: DataFrame) -> DataFrame:
     """Rides per hour of day (``1 AM``) plus the total, clock order."""
     hours = trips.select(hour_label("started_at", padded=False).alias("hour"))
     out = rollup_labeled(
-        hours, ["hour"], [F.count(F.lit(1)).alias("total_rides")], {"hour": SQL_TOTALS["hour"]}, {"hour": "hour_of_the_day"}
+        hours, ["hour"], [count_rows("total_rides")], {"hour": SQL_TOTALS["hour"]}, {"hour": "hour_of_the_day"}
     )
     return order_by_field(out, ("hour_of_the_day", HOURS_UNPADDED + [SQL_TOTALS["hour"]]))
 
@@ -155,11 +155,11 @@ def weekday_pivot_r(trips: DataFrame, measure: str = "avg") -> DataFrame:
     (a cube, the ``United`` row and the ``gt`` column), pivoted wide with
     a name prefix and a fixed column order."""
     if measure == "avg":
-        agg, prefix = F.avg(L).alias("v"), "avg_ride_length_"
+        m, prefix = mean(L, "v"), "avg_ride_length_"
     else:
-        agg, prefix = F.count(F.lit(1)).alias("v"), "num_rides_"
+        m, prefix = count_rows("v"), "num_rides_"
     long = cube_labeled(
-        trips, ["user_type", "day_of_week"], [agg], {"user_type": R_TOTALS["user_cube"], "day_of_week": R_TOTALS["weekday"]}
+        trips, ["user_type", "day_of_week"], [m], {"user_type": R_TOTALS["user_cube"], "day_of_week": R_TOTALS["weekday"]}
     )
     return pivot_wide(long, ["user_type"], "day_of_week", WEEKDAYS + [R_TOTALS["weekday"]], "v", prefix)
 
@@ -171,7 +171,7 @@ def band_cube(trips: DataFrame) -> DataFrame:
     out = cube_labeled(
         levels,
         ["ride_levels", "user_type"],
-        [F.count(F.lit(1)).alias("number_of_users")],
+        [count_rows("number_of_users")],
         {"ride_levels": R_TOTALS["band"], "user_type": R_TOTALS["user_cube"]},
     )
     return out.orderBy(F.desc("ride_levels"))
@@ -183,7 +183,7 @@ def month_cube(trips: DataFrame) -> DataFrame:
     out = cube_labeled(
         months,
         ["month_names", "user_type"],
-        [F.count(F.lit(1)).alias("number_of_users")],
+        [count_rows("number_of_users")],
         {"month_names": R_TOTALS["month"], "user_type": R_TOTALS["user_cube"]},
     )
     return order_by_levels(out, ("month_names", MONTHS + [R_TOTALS["month"]]))
@@ -193,7 +193,7 @@ def hour_rollup_padded(trips: DataFrame) -> DataFrame:
     """Rides per hour of day (``01 AM``) plus ``Total``, factor order."""
     hours = trips.select(hour_label("started_at", padded=True).alias("hour_of_the_day"))
     out = rollup_labeled(
-        hours, ["hour_of_the_day"], [F.count(F.lit(1)).alias("total_rides")], {"hour_of_the_day": R_TOTALS["hour"]}
+        hours, ["hour_of_the_day"], [count_rows("total_rides")], {"hour_of_the_day": R_TOTALS["hour"]}
     )
     return order_by_levels(out, ("hour_of_the_day", HOURS_PADDED + [R_TOTALS["hour"]]))
 
@@ -206,8 +206,9 @@ def user_bike_tree(
     """The all -> user type -> bike type tree: count and percent of the
     parent node per node. One rollup; the parent counts come from two
     windows over the (few) rollup rows."""
-    t = trips.rollup("user_type", "bike_type").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping("user_type").alias("_gu"), F.grouping("bike_type").alias("_gb")
+    detail = trips.groupBy("user_type", "bike_type").agg(F.count(F.lit(1)).alias("_n"))
+    t = detail.rollup("user_type", "bike_type").agg(
+        F.sum("_n").alias("n"), F.grouping("user_type").alias("_gu"), F.grouping("bike_type").alias("_gb")
     )
     depth = F.lit(2) - F.col("_gu") - F.col("_gb")
     t = t.withColumn("level", depth.cast("int"))
