@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripmart.functions.text import strip_whitespace, title_case, trim_spaces
-from tripmart.functions.time import hour_label, minutes_between, minutes_fractional, parse_timestamp, weekday_number
+from tripmart.functions.time import day_name, hour_label, minutes_between, minutes_fractional, month_name, parse_timestamp, weekday_number
 from tripmart.operators import clean as C
 from tripmart.operators.aggregate import count_rows, histogram, rollup_coalesced, rollup_labeled
 from tripmart.operators.join import band_case, band_join, bands_frame
@@ -32,11 +32,20 @@ def test_dst_gap_is_wall_clock(spark, zone):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        df = spark.createDataFrame([("3/13/2022 1:30", "3/13/2022 3:30"), ("3/13/2022 2:30", "3/13/2022 2:45")], "a string, b string")
+        df = spark.createDataFrame(
+            [("3/13/2022 1:30", "3/13/2022 3:30"), ("3/13/2022 2:30", "3/13/2022 3:30"), ("11/6/2022 1:30", "11/6/2022 2:30")],
+            "a string, b string",
+        )
         out = df.select(parse_timestamp("a").alias("a"), parse_timestamp("b").alias("b"))
-        rows = out.select("a", minutes_between("a", "b").alias("m"), hour_label("a").alias("h")).collect()
-        assert rows[0]["m"] == 120
+        rows = out.select(
+            "a", minutes_between("a", "b").alias("m"), minutes_fractional("a", "b").alias("f"),
+            hour_label("a").alias("h"), day_name("a").alias("d"), month_name("a").alias("mo"),
+        ).collect()
+        assert [r["m"] for r in rows] == [120, 60, 60]
+        assert [r["f"] for r in rows] == [120.0, 60.0, 60.0]
         assert rows[1]["a"] == T(2022, 3, 13, 2, 30)
+        assert [r["h"] for r in rows] == ["1 AM", "2 AM", "1 AM"]
+        assert rows[1]["d"] == "Sunday" and rows[1]["mo"] == "March"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 

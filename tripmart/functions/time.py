@@ -1,7 +1,9 @@
 """Timestamp parsing, durations and calendar labels (built-ins only).
 
-Timestamps are ``TIMESTAMP_NTZ`` (wall-clock, no zone) so results do not
-depend on the session time zone.
+Timestamps are ``TIMESTAMP_NTZ`` (wall-clock, no zone). Durations and
+labels are built from NTZ field extraction, never through a cast to the
+zoned type, so results do not depend on the session time zone (a time in
+a DST gap keeps its value, label and duration).
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripmart.functions.columns import as_col
-from tripmart.schema import TS_PATTERN
+from tripmart.schema import MONTHS, TS_PATTERN, WEEKDAYS_SUNDAY_FIRST
 
 
 def parse_timestamp(c, pattern: str = TS_PATTERN) -> Column:
@@ -25,19 +27,36 @@ def parse_timestamp(c, pattern: str = TS_PATTERN) -> Column:
     return F.when(F.try_to_timestamp(c, fmt).isNotNull(), F.to_timestamp_ntz(c, fmt))
 
 
+def wall_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock value. Built
+    from NTZ field extraction only, so no session time zone is involved
+    (``timestamp_diff`` / ``date_format`` would cast through it)."""
+    c = as_col(ts)
+    return (
+        F.unix_date(c.cast("date")).cast("bigint") * F.lit(86_400_000_000)
+        + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
+        + F.minute(c).cast("bigint") * F.lit(60_000_000)
+        + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
+    )
+
+
 def minutes_between(start, end) -> Column:
     """Whole minutes from ``start`` to ``end``, truncated toward zero (BIGINT)."""
-    return F.timestamp_diff("MINUTE", as_col(start), as_col(end))
+    return ((wall_micros(end) - wall_micros(start)) / F.lit(60_000_000)).cast("bigint")
 
 
 def minutes_fractional(start, end) -> Column:
     """Exact minutes from ``start`` to ``end`` as DOUBLE."""
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end)) / F.lit(60_000_000.0)
+    return (wall_micros(end) - wall_micros(start)) / F.lit(60_000_000.0)
+
+
+def _pick(names, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), index)
 
 
 def day_name(ts) -> Column:
     """Full English weekday name (``Monday``)."""
-    return F.date_format(as_col(ts), "EEEE")
+    return _pick(WEEKDAYS_SUNDAY_FIRST, F.dayofweek(as_col(ts)))
 
 
 def day_rank_sunday_first(ts) -> Column:
@@ -57,16 +76,27 @@ def weekday_number(ts) -> Column:
 
 def month_name(ts, abbr: bool = False) -> Column:
     """Full (``January``) or abbreviated (``Jan``) English month name."""
-    return F.date_format(as_col(ts), "MMM" if abbr else "MMMM")
+    full = _pick(MONTHS, F.month(as_col(ts)))
+    return F.substring(full, 1, 3) if abbr else full
 
 
 def month_number(ts) -> Column:
     return F.month(as_col(ts))
 
 
+def period(ts) -> Column:
+    """``YYYYMM`` of the wall-clock value."""
+    c = as_col(ts)
+    return F.format_string("%04d%02d", F.year(c), F.month(c))
+
+
 def hour_label(ts, padded: bool = False) -> Column:
     """12-hour clock label: ``1 AM`` (unpadded) or ``01 AM`` (padded)."""
-    return F.date_format(as_col(ts), "hh a" if padded else "h a")
+    h = F.hour(as_col(ts))
+    h12 = ((h + F.lit(11)) % F.lit(12) + F.lit(1)).cast("string")
+    if padded:
+        h12 = F.lpad(h12, 2, "0")
+    return F.concat(h12, F.when(h < F.lit(12), F.lit(" AM")).otherwise(F.lit(" PM")))
 
 
 def hour_rank(ts) -> Column:

@@ -14,9 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripmart.operators.clean import R, SQL, Profile, clean_trips
+from tripmart.functions.time import period
 from tripmart.plans import marts as M
 from tripmart.sources.tables import zone_path
 
@@ -56,7 +56,7 @@ R_MARTS: dict[str, Mart] = {
 def land_clean(raw: DataFrame, path: str, profile: Profile) -> DataFrame:
     """Clean ``raw`` with ``profile`` and land it as Parquet partitioned by
     the month of the trip start; returns the landed table."""
-    trips = clean_trips(raw, profile).withColumn("period", F.date_format("started_at", "yyyyMM"))
+    trips = clean_trips(raw, profile).withColumn("period", period("started_at"))
     trips.write.mode("overwrite").partitionBy("period").parquet(path)
     return raw.sparkSession.read.parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmart.functions.text import bounded_text, over_width
-from tripmart.functions.time import parse_timestamp
+from tripmart.functions.time import parse_timestamp, period
 from tripmart.operators.clean import explore_view
 from tripmart.schema import RAW_SCHEMA, TEXT_BOUNDS
 
@@ -48,7 +48,7 @@ def width_violations(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
 def period_of_start(c: str = "started_at", pattern: str | None = None):
     """``YYYYMM`` of the trip start (text or timestamp)."""
     ts = parse_timestamp(c) if pattern is None else parse_timestamp(c, pattern)
-    return F.date_format(ts, "yyyyMM")
+    return period(ts)
 
 
 def write_typed(df: DataFrame, path: str, partition_by: Sequence[str] = ("period",)) -> None:

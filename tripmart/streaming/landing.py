@@ -12,10 +12,10 @@ a batch step over the landed table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tripmart.functions.time import period
 from tripmart.operators.clean import R, Profile, clean_trips
 from tripmart.schema import RAW_SCHEMA
 
@@ -44,7 +44,7 @@ def clean_stream(raw: DataFrame, profile: Profile = R) -> DataFrame:
     """Row-mode cleaning of a streaming (or batch) frame, plus ``period``."""
     if profile.mode != "row":
         raise ValueError("key-mode deletes look at every row of a key; run them in batch on the landed table")
-    return clean_trips(raw, profile).withColumn("period", F.date_format("started_at", "yyyyMM"))
+    return clean_trips(raw, profile).withColumn("period", period("started_at"))
 
 
 def land_trips(
