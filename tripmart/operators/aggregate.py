@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.functions.columns import as_col
+from tripmart.session import materialize
 
 
 @dataclass(frozen=True)
@@ -171,11 +172,18 @@ def histogram(
     on the right: ``((b - 0.5) * width, (b + 0.5) * width]``. Every bin between
     the first and last non-empty bin is present (count 0 when empty). The
     optional display range keeps bins whose centre lies in it, without
-    dropping data from any bin. The bin grid comes from a distributed
-    min/max; its size is bounded by the value range, not the row count."""
+    dropping data from any bin.
+
+    One scan: the per-bin counts (a partial aggregate, at most one row per
+    bin) are written to the shared checkpoint folder, and the bin grid, the
+    display range and the gap-filling join all read that small table. (As
+    one plan, Catalyst would split the counts into separate scans of the
+    input for the min/max and for the filtered counts.) The grid size is
+    bounded by the value range and the display range, not by the row count."""
     x = F.col(col)
     b = F.ceil(x / F.lit(width) - F.lit(0.5)).cast("bigint")
     counts = df.where(x.isNotNull()).groupBy(b.alias(bin_name)).agg(F.count(F.lit(1)).alias(count_name))
+    counts = materialize(counts, "histogram")
     lo = F.min(bin_name)
     hi = F.max(bin_name)
     if show_from is not None:
@@ -185,10 +193,7 @@ def histogram(
     grid = counts.agg(lo.alias("_lo"), hi.alias("_hi")).select(
         F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias(bin_name)
     )
-    shown = counts
-    if show_from is not None or show_to is not None:
-        shown = counts.join(grid, bin_name, "left_semi")
-    return grid.join(shown, bin_name, "left").select(
+    return grid.join(counts, bin_name, "left").select(
         bin_name, F.coalesce(F.col(count_name), F.lit(0).cast("bigint")).alias(count_name)
     )
 

@@ -123,9 +123,12 @@ def delete_by_key(
     return keep.join(bounded_broadcast(bad, max_broadcast_rows), key, "left_anti")
 
 
-def anti_join(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``keys``; NULL keys survive."""
-    return df.join(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+def anti_join(df: DataFrame, keys: DataFrame, key: str = KEY, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``keys``; NULL keys survive.
+    The distinct key set is written once and broadcast only under a
+    counted bound (else a shuffle join)."""
+    distinct_keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    return df.join(bounded_broadcast(distinct_keys, max_broadcast_rows), key, "left_anti")
 
 
 # --- cleaning steps -------------------------------------------------------------
