@@ -1,22 +1,44 @@
 """The production job writes the same marts the registry computes."""
 
-from conftest import SF_SMALL
+import pytest
+
+from conftest import SF_MID
 from oracle_compare import rows_key
 from tripmart.plans import catalog as K
 from tripmart.plans.pipeline import R_MARTS, SQL_MARTS, run_pipeline
 
 
-def test_pipeline_marts_equal_registry(spark, tmp_path):
-    paths = run_pipeline(spark, K.raw(spark, SF_SMALL), str(tmp_path))
+@pytest.mark.parametrize("sf", [SF_MID])
+def test_pipeline_marts_equal_registry(spark, tmp_path, sf):
+    paths = run_pipeline(spark, K.raw(spark, sf), str(tmp_path))
     assert set(SQL_MARTS) | set(R_MARTS) <= set(paths)
     pairs = {
-        "avg_by_user": "m01_avg_by_user", "band_rollup": "m06_band_rollup", "month_rollup": "m07_month_rollup",
-        "band_cube": "m06_band_cube", "user_bike_tree": "m10_user_bike_tree", "length_histogram": "m11_length_histogram",
-        "daytype_share": "m15_daytype_share", "hour_heatmap": "m14_hour_heatmap", "avg_by_weekday_r": "a15_pivot_wide",
+        "avg_by_user": "m01_avg_by_user", "min_length": "m02_min_length", "max_length": "m03_max_length",
+        "avg_by_weekday": "m04_avg_by_weekday", "count_by_weekday": "m05_count_by_weekday",
+        "band_rollup": "m06_band_rollup", "month_rollup": "m07_month_rollup", "top_routes": "m08_top_routes",
+        "hour_rollup": "m09_hour_rollup", "avg_by_user_r": "a13_grand_total", "avg_by_weekday_r": "a15_pivot_wide",
+        "count_by_weekday_r": "a15_pivot_wide_counts", "band_cube": "m06_band_cube", "month_cube": "m07_month_cube",
+        "hour_rollup_padded": "m09_hour_padded", "user_bike_tree": "m10_user_bike_tree",
+        "length_histogram": "m11_length_histogram", "monthly_trend": "m12_monthly_trend", "weekday_bars": "m13_weekday_bars",
+        "hour_heatmap": "m14_hour_heatmap", "daytype_share": "m15_daytype_share", "popular_routes": "m16_popular_routes",
+        "map_routes": "m17_map_routes",
     }
+    assert set(pairs) == set(SQL_MARTS) | set(R_MARTS)
     for mart, key in pairs.items():
         a = spark.read.parquet(paths[mart])
-        b = K.QUERIES[key](spark, SF_SMALL)
+        b = K.QUERIES[key](spark, sf)
         cols = sorted(b.columns)
         assert sorted(a.columns) == cols, mart
         assert rows_key(a.select(*cols).collect()) == rows_key(b.select(*cols).collect()), mart
+
+
+def test_summary_is_bounded_and_complete(spark):
+    from tripmart.operators import clean as C
+    from tripmart.plans.summary import trip_summary
+
+    trips = C.clean_trips(K.raw(spark, SF_MID), C.R)
+    summary = trip_summary(trips)
+    # bounded by the attribute domains (user x bike x month x weekday x hour x
+    # band combinations), whatever the number of trips
+    assert summary.count() <= 2 * 3 * 12 * 7 * 24 * 5
+    assert summary.agg({"_n": "sum"}).first()[0] == trips.count()

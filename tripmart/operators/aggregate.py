@@ -25,12 +25,16 @@ class Measure:
     re-aggregated for the subtotal rows.
 
     ``kind``: ``rows`` (COUNT(*)), ``count`` (non-NULL count of ``expr``),
-    ``sum``, ``avg``, ``min``, ``max``. ``digits`` rounds the final value."""
+    ``sum``, ``avg``, ``min``, ``max``; over pre-aggregated input,
+    ``wsum`` (a count carried as a weight column: sum, 0 when empty) and
+    ``ratio`` (``sum(expr) / sum(den)``, an average carried as sum and
+    count). ``digits`` rounds the final value."""
 
     name: str
     kind: str
     expr: Column | None = None
     digits: int | None = None
+    den: Column | None = None  # denominator of a ``ratio``
 
 
 def count_rows(name: str) -> Measure:
@@ -57,6 +61,42 @@ def maximum(expr, name: str) -> Measure:
     return Measure(name, "max", as_col(expr))
 
 
+@dataclass(frozen=True)
+class Weights:
+    """Column names of a pre-aggregated trip summary (``plans.summary``):
+    rows per summary row, and the count / sum / min / max of ride length."""
+
+    rows: str = "_n"
+    n_len: str = "_n_len"
+    sum_len: str = "_sum_len"
+    min_len: str = "_min_len"
+    max_len: str = "_max_len"
+
+
+def rows_measure(name: str, w: Weights | None = None, when: Column | None = None) -> Measure:
+    """COUNT(*) (optionally of rows matching ``when``), on trips or on a summary."""
+    if w is None:
+        return count_rows(name) if when is None else Measure(name, "count", F.when(when, F.lit(1)))
+    weight = F.col(w.rows)
+    return Measure(name, "wsum", weight if when is None else F.when(when, weight))
+
+
+def len_count_measure(name: str, length: str, w: Weights | None = None) -> Measure:
+    """Non-NULL count of the ride length, on trips or on a summary."""
+    return count_of(length, name) if w is None else Measure(name, "wsum", F.col(w.n_len))
+
+
+def len_mean_measure(name: str, length: str, w: Weights | None = None, when: Column | None = None, digits: int | None = None) -> Measure:
+    """Mean ride length (optionally over rows matching ``when``)."""
+    if w is None:
+        e = F.col(length) if when is None else F.when(when, F.col(length))
+        return Measure(name, "avg", e, digits)
+    num, den = F.col(w.sum_len), F.col(w.n_len)
+    if when is not None:
+        num, den = F.when(when, num), F.when(when, den)
+    return Measure(name, "ratio", num, digits, den)
+
+
 def _detail(m: Measure, i: int) -> list[Column]:
     e = m.expr
     if m.kind == "rows":
@@ -69,6 +109,10 @@ def _detail(m: Measure, i: int) -> list[Column]:
         return [F.sum(e).alias(f"_s{i}"), F.count(e).alias(f"_c{i}")]
     if m.kind in ("min", "max"):
         return [getattr(F, m.kind)(e).alias(f"_v{i}")]
+    if m.kind == "wsum":
+        return [F.sum(e).alias(f"_c{i}")]
+    if m.kind == "ratio":
+        return [F.sum(e).alias(f"_s{i}"), F.sum(m.den).alias(f"_c{i}")]
     raise ValueError(f"unknown measure kind {m.kind!r}")
 
 
@@ -77,8 +121,10 @@ def _combine(m: Measure, i: int) -> Column:
         v = F.sum(f"_c{i}")
     elif m.kind == "sum":
         v = F.sum(f"_s{i}")
-    elif m.kind == "avg":
+    elif m.kind in ("avg", "ratio"):
         v = F.try_divide(F.sum(f"_s{i}").cast("double"), F.sum(f"_c{i}"))
+    elif m.kind == "wsum":
+        v = F.coalesce(F.sum(f"_c{i}"), F.lit(0).cast("bigint"))
     else:
         v = getattr(F, m.kind)(f"_v{i}")
     if m.digits is not None:

@@ -36,15 +36,16 @@ def band_join(df: DataFrame, value: str, bands: DataFrame, n_bands: int = len(BA
     return df.join(b, F.col(value).between(b["low_limit"], b["high_limit"]), "inner")
 
 
-def band_case(c, bands: Sequence[tuple[str, int, int | None]], other: str = BAND_OTHER) -> Column:
+def band_case(c, bands: Sequence[tuple[str, int, int | None]], other: str | None = BAND_OTHER) -> Column:
     """``case_when`` banding: first matching inclusive range wins; a band with
-    upper limit ``None`` is open-ended; anything else is ``other``."""
+    upper limit ``None`` is open-ended; anything else is ``other`` (NULL
+    when ``other`` is None)."""
     c = as_col(c)
     out = None
     for name, lo, hi in bands:
         cond = c >= F.lit(lo) if hi is None else (c >= F.lit(lo)) & (c <= F.lit(hi))
         out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return out.otherwise(F.lit(other))
+    return out.otherwise(F.lit(other).cast("string"))
 
 
 def within_bbox(lat, lng, box: Mapping[str, float]) -> Column:

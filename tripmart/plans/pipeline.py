@@ -1,10 +1,12 @@
 """The production job: raw monthly files -> cleaned tables -> marts.
 
 ``run_pipeline`` lands each cleaning profile once as Parquet partitioned by
-month (interim zone), then computes every mart from those tables (marts
-zone). Cleaning - parsing, trimming and the key-mode anti join - is paid
-once per load instead of once per mart; each mart then reads only the
-columns it needs (column pruning on Parquet). Writing the cleaned tables
+month (interim zone), summarises it in one scan, then computes every mart
+(marts zone). Cleaning - parsing, trimming and the key-mode anti join - is
+paid once per load instead of once per mart, and the cleaned table is read
+once for all count / mean marts (through the summary) plus once per
+trip-level mart (top routes, histogram, popular routes), each reading only
+the columns it needs. Writing the cleaned tables
 also cuts the lineage: a lost executor during the marts re-reads files
 instead of recomputing the cleaning.
 """
@@ -17,40 +19,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripmart.operators.clean import R, SQL, Profile, clean_trips
 from tripmart.functions.time import period
+from tripmart.operators.aggregate import Weights
 from tripmart.plans import marts as M
+from tripmart.plans.summary import W, trip_summary
 from tripmart.sources.tables import zone_path
 
-Mart = Callable[[SparkSession, DataFrame], DataFrame]
+Mart = Callable[[SparkSession, DataFrame, "Weights | None"], DataFrame]
 
 # Marts of the SQL script run on key-mode trips, marts of the R script on
-# row-mode trips (see the module docstring of ``marts``).
+# row-mode trips (see the module docstring of ``marts``). ``SUMMARY`` marts
+# read the weighted trip summary; the others need trip-level columns
+# (station names, exact ride length, coordinates) and read the trips.
 SQL_MARTS: dict[str, Mart] = {
-    "avg_by_user": lambda s, t: M.avg_by_user(t),
-    "min_length": lambda s, t: M.min_length(t),
-    "max_length": lambda s, t: M.max_length(t),
-    "avg_by_weekday": lambda s, t: M.avg_by_weekday(t),
-    "count_by_weekday": lambda s, t: M.count_by_weekday(t),
-    "band_rollup": lambda s, t: M.band_rollup(s, t),
-    "month_rollup": lambda s, t: M.month_rollup(t),
-    "top_routes": lambda s, t: M.top_routes(t),
-    "hour_rollup": lambda s, t: M.hour_rollup(t),
+    "avg_by_user": lambda s, t, w: M.avg_by_user(t, w=w),
+    "min_length": lambda s, t, w: M.min_length(t, w=w),
+    "max_length": lambda s, t, w: M.max_length(t, w=w),
+    "avg_by_weekday": lambda s, t, w: M.avg_by_weekday(t, w=w),
+    "count_by_weekday": lambda s, t, w: M.count_by_weekday(t, w=w),
+    "band_rollup": lambda s, t, w: M.band_rollup(s, t, w=w),
+    "month_rollup": lambda s, t, w: M.month_rollup(t, w=w),
+    "hour_rollup": lambda s, t, w: M.hour_rollup(t, w=w),
+    "top_routes": lambda s, t, w: M.top_routes(t),
 }
 R_MARTS: dict[str, Mart] = {
-    "avg_by_user_r": lambda s, t: M.avg_by_user_r(t),
-    "avg_by_weekday_r": lambda s, t: M.weekday_pivot_r(t, "avg"),
-    "count_by_weekday_r": lambda s, t: M.weekday_pivot_r(t, "count"),
-    "band_cube": lambda s, t: M.band_cube(t),
-    "month_cube": lambda s, t: M.month_cube(t),
-    "hour_rollup_padded": lambda s, t: M.hour_rollup_padded(t),
-    "user_bike_tree": lambda s, t: M.user_bike_tree(t),
-    "length_histogram": lambda s, t: M.length_histogram(t),
-    "monthly_trend": lambda s, t: M.monthly_trend(t),
-    "weekday_bars": lambda s, t: M.weekday_bars(t),
-    "hour_heatmap": lambda s, t: M.hour_heatmap(t),
-    "daytype_share": lambda s, t: M.daytype_share(t),
-    "popular_routes": lambda s, t: M.popular_routes(t),
-    "map_routes": lambda s, t: M.map_routes(t),
+    "avg_by_user_r": lambda s, t, w: M.avg_by_user_r(t, w=w),
+    "avg_by_weekday_r": lambda s, t, w: M.weekday_pivot_r(t, "avg", w=w),
+    "count_by_weekday_r": lambda s, t, w: M.weekday_pivot_r(t, "count", w=w),
+    "band_cube": lambda s, t, w: M.band_cube(t, w=w),
+    "month_cube": lambda s, t, w: M.month_cube(t, w=w),
+    "hour_rollup_padded": lambda s, t, w: M.hour_rollup_padded(t, w=w),
+    "user_bike_tree": lambda s, t, w: M.user_bike_tree(t, w=w),
+    "monthly_trend": lambda s, t, w: M.monthly_trend(t, w=w),
+    "weekday_bars": lambda s, t, w: M.weekday_bars(t, w=w),
+    "hour_heatmap": lambda s, t, w: M.hour_heatmap(t, w=w),
+    "daytype_share": lambda s, t, w: M.daytype_share(t, w=w),
+    "length_histogram": lambda s, t, w: M.length_histogram(t),
+    "popular_routes": lambda s, t, w: M.popular_routes(t),
+    "map_routes": lambda s, t, w: M.map_routes(t),
 }
+TRIP_LEVEL = {"top_routes", "length_histogram", "popular_routes", "map_routes"}
 
 
 def land_clean(raw: DataFrame, path: str, profile: Profile) -> DataFrame:
@@ -68,17 +75,22 @@ def run_pipeline(
     sql_marts: Mapping[str, Mart] = SQL_MARTS,
     r_marts: Mapping[str, Mart] = R_MARTS,
 ) -> dict[str, str]:
-    """Land both cleaned tables under ``root``/interim and write every mart
-    under ``root``/marts. Returns name -> path."""
+    """Per profile: land the cleaned table (interim), summarise it in one
+    scan (interim, a few thousand rows), then write every mart (marts):
+    count / mean marts from the summary, trip-level marts from the table.
+    Returns name -> path."""
     paths: dict[str, str] = {}
-    tables = {}
     for name, profile, marts in (("trips_sql", SQL, sql_marts), ("trips_r", R, r_marts)):
         if not marts:
             continue
         paths[name] = zone_path(root, "interim", name)
-        tables[name] = land_clean(raw, paths[name], profile)
-    for table, marts in (("trips_sql", sql_marts), ("trips_r", r_marts)):
-        for name, fn in marts.items():
-            paths[name] = zone_path(root, "marts", name)
-            fn(spark, tables[table]).write.mode("overwrite").parquet(paths[name])
+        trips = land_clean(raw, paths[name], profile)
+        summary_name = name.replace("trips", "summary")
+        paths[summary_name] = zone_path(root, "interim", summary_name)
+        trip_summary(trips).write.mode("overwrite").parquet(paths[summary_name])
+        summary = spark.read.parquet(paths[summary_name])
+        for mart, fn in marts.items():
+            paths[mart] = zone_path(root, "marts", mart)
+            df = fn(spark, trips, None) if mart in TRIP_LEVEL else fn(spark, summary, W)
+            df.write.mode("overwrite").parquet(paths[mart])
     return paths
