@@ -91,10 +91,10 @@ def missing_columns(df: DataFrame, columns=None) -> Column:
 
 def bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Write ``small`` to the shared checkpoint folder, read it back and say
-    whether it has at most ``max_rows`` rows (counted from the written
-    files, not by recomputing the source)."""
-    small = materialize(small, "keys")
-    return small, small.count() <= max_rows
+    whether it has at most ``max_rows`` rows (counted while writing, not by
+    recomputing the source)."""
+    small, n = materialize(small, "keys", with_count=True)
+    return small, n <= max_rows
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

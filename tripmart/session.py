@@ -65,11 +65,20 @@ def env_cpus(default: int = 8) -> int:
         return default
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, with_count: bool = False):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a DataFrame reading it back: cuts the lineage (an executor lost
     later re-reads the files instead of recomputing) and makes its size
-    known. One job; ``Dataset.checkpoint`` would compute the data twice."""
+    known. One job; ``Dataset.checkpoint`` would compute the data twice.
+    With ``with_count`` the row count is observed during that same write
+    (no second job) and returned as well."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if not with_count:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    obs = Observation(f"{name}-rows")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), int(obs.get["rows"])
