@@ -34,7 +34,7 @@ from tripmart.operators.aggregate import (
     thousands_label,
 )
 from tripmart.operators.join import band_case, band_join, bands_frame, route_within_bbox
-from tripmart.operators.order import field_position, level_rank, order_by_field, order_by_levels, top_k
+from tripmart.operators.order import level_rank, order_by_field, order_by_levels, top_k
 from tripmart.schema import (
     BANDS,
     BIKE_LABELS,

@@ -24,7 +24,7 @@ from tripmart.plans import marts as M
 from tripmart.plans.summary import W, trip_summary
 from tripmart.sources.tables import zone_path
 
-Mart = Callable[[SparkSession, DataFrame, "Weights | None"], DataFrame]
+Mart = Callable[[SparkSession, DataFrame, Weights | None], DataFrame]
 
 # Marts of the SQL script run on key-mode trips, marts of the R script on
 # row-mode trips (see the module docstring of ``marts``). ``SUMMARY`` marts

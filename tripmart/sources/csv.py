@@ -8,7 +8,7 @@ by-name union exist for files whose columns drift.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,17 +86,23 @@ def read_by_name(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
     return base.schema(file_schema).option("enforceSchema", True).csv(path)
 
 
-def read_inferred(spark: SparkSession, paths: Iterable[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
-    """Per-file type inference, then every file widened to ``schema`` and
-    appended by name. Inference costs one extra pass per file; the explicit
-    schema of ``read_trips`` is the default path."""
-    frames = []
-    for p in paths:
-        r = _reader(spark).option("inferSchema", True)
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        frames.append(conform(r.csv(p), schema))
-    return union_by_name(frames)
+def read_inferred(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType = RAW_SCHEMA,
+    glob: str = "*.csv",
+    sampling_ratio: float | None = None,
+) -> DataFrame:
+    """Type inference over all files (one distributed pass, optionally on a
+    sample of rows), types widened across files, then every column
+    conformed to ``schema`` by name. The explicit schema of ``read_trips``
+    is the default path; this is for files whose types are not known."""
+    r = _reader(spark).option("inferSchema", True)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if sampling_ratio:
+        r = r.option("samplingRatio", sampling_ratio)
+    return conform(r.csv(path), schema)
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
