@@ -95,3 +95,19 @@ def test_filters_reach_the_landed_scan(spark):
 def test_partial_aggregation_before_every_shuffle(plans):
     for k in ("m01_avg_by_user", "m07_month_rollup", "m16_popular_routes", "q01_duplicates_sql_key"):
         assert "partial_" in plans[k], k
+
+
+def test_each_query_scans_the_trip_table_once(spark):
+    """On a landed raw table (no adapter union), every registered query's
+    final plan reads it at most once; small intermediates (key tables,
+    histogram counts) are written once and read back instead."""
+    path = K.use_landed_raw(spark, SF_SMALL)
+    name = path.rstrip("/").split("/")[-1]
+    try:
+        for k, fn in E.queries().items():
+            if k[:2] in ("s0", "s1"):
+                continue
+            p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert p.count(name) <= 1, k
+    finally:
+        K._LANDED.pop(SF_SMALL, None)
