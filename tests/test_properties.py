@@ -89,3 +89,18 @@ def test_global_sort_is_sorted(raw):
     trips = C.clean_trips(raw, C.R)
     vals = [r[0] for r in trips.select("ride_length").orderBy(F.desc("ride_length")).collect()]
     assert vals == sorted(vals, reverse=True)
+
+
+def test_duplicate_prefilter_is_exact(spark, raw):
+    from tripmart.operators.quality import duplicates
+
+    df = C.r_stage_parsed(raw)
+    keys = ["ride_id", "bike_type", "started_at", "ended_at", "start_sta_name", "end_sta_name"]
+    a = duplicates(df, keys, "n", prefilter=True)
+    b = duplicates(df, keys, "n", prefilter=False)
+    assert a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # NULL parts of a key still group together
+    t = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "c")], "x string, y string")
+    got = sorted((r.x or "-", r.y or "-", r.n) for r in duplicates(t, ["x", "y"], "n").collect())
+    assert got == [("a", "-", 2)]
