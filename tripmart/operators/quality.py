@@ -1,5 +1,6 @@
-"""Data-quality reports: duplicate groups, missing values per column and a
-per-step row audit."""
+"""Data-quality reports: duplicate groups, missing values per column and
+blank counts. (The per-step row audits of the cleaning chains are one-pass
+aggregates in ``operators.clean``.)"""
 
 from __future__ import annotations
 
@@ -49,27 +50,3 @@ def blank_counts(df: DataFrame, column_name: str = "column_name", count_name: st
     text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     wide = df.agg(*[F.count_if(F.col(c) == F.lit("")).alias(c) for c in text])
     return wide.unpivot([], text, column_name, count_name)
-
-
-def stage_audit(source: DataFrame, steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """``(step_no, step, rows_in, rows_out)`` for a chain ``source -> steps``.
-
-    Every frame is counted once (a global count: partial counts per task,
-    one row to merge); each count is the ``rows_out`` of its step and the
-    ``rows_in`` of the next, paired by a group-by over a few tagged rows."""
-    frames = [source] + [df for _, df in steps]
-    names = [name for name, _ in steps]
-    tagged = None
-    for i, df in enumerate(frames):
-        n = df.agg(F.count(F.lit(1)).alias("n"))
-        part = n.select(F.explode(F.array(
-            *([F.struct(F.lit(i).alias("step_no"), F.lit("out").alias("side"), F.col("n").alias("n"))] if i > 0 else []),
-            *([F.struct(F.lit(i + 1).alias("step_no"), F.lit("in").alias("side"), F.col("n").alias("n"))] if i < len(steps) else []),
-        )).alias("t")).select("t.*")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    agg = tagged.groupBy("step_no").agg(
-        F.max(F.when(F.col("side") == "in", F.col("n"))).alias("rows_in"),
-        F.max(F.when(F.col("side") == "out", F.col("n"))).alias("rows_out"),
-    )
-    label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("step_no"))
-    return agg.select("step_no", label.alias("step"), "rows_in", "rows_out")

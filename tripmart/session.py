@@ -21,6 +21,34 @@ DEFAULT_CONF = {
 }
 
 
+# Runtime SQL settings for full-scale runs (~100 TB, ~1000 executors): the
+# full-table shuffles (duplicate report, global sort, sort-merge fallback of
+# the key join) start wide and AQE coalesces small ones; skewed partitions
+# of a join are split. Applied only where the session has no value yet.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_scale_conf(spark: SparkSession, conf: dict[str, str] = SCALE_CONF) -> dict[str, str]:
+    """Set each of ``conf`` that the cluster left at its default; returns
+    what was set. Cluster-provided values always win."""
+    done = {}
+    for k, v in conf.items():
+        if not spark.conf.isModifiable(k):
+            continue
+        if spark.sparkContext.getConf().contains(k):
+            continue
+        spark.conf.set(k, v)
+        done[k] = v
+    return done
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tripmart") -> SparkSession:
     """Build (or reuse) a local session; the cluster never goes through here."""
     builder = (
