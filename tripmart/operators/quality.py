@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.operators.clean import bounded_broadcast, missing_columns
+from tripmart.operators.clean import bounded, missing_columns
 
 
 def duplicates(
@@ -25,15 +25,18 @@ def duplicates(
     width of every key. With ``prefilter``, a first pass groups an 8-byte
     hash of the key (partial counts per task), keeps hashes seen more than
     once, and only rows with such a hash - written once, broadcast under a
-    counted bound - reach the exact group-by. Hash collisions only add
-    candidates; the exact pass removes them, so the result is exact."""
+    counted bound - reach the exact group-by (above the bound the plain
+    group-by runs). Hash collisions only add candidates; the exact pass
+    removes them, so the result is exact."""
     if prefilter:
         h = F.xxhash64(*[F.col(k) for k in keys])
         hot = (
             df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
             .filter(F.col("_c") > 1).select("_h")
         )
-        df = df.withColumn("_h", h).join(bounded_broadcast(hot), "_h", "left_semi").drop("_h")
+        hot, small = bounded(hot)
+        if small:  # else many duplicates: the plain group-by below is cheaper
+            df = df.withColumn("_h", h).join(F.broadcast(hot), "_h", "left_semi").drop("_h")
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).filter(F.col(count_name) > 1)
     return out if keep_keys else out.select(count_name)
 
