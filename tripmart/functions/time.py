@@ -1,9 +1,9 @@
 """Timestamp parsing, durations and calendar labels (built-ins only).
 
-Timestamps are ``TIMESTAMP_NTZ`` (wall-clock, no zone). Durations and
-labels are built from NTZ field extraction, never through a cast to the
-zoned type, so results do not depend on the session time zone (a time in
-a DST gap keeps its value, label and duration).
+Timestamps are ``TIMESTAMP_NTZ`` (wall-clock, no zone). Durations are NTZ
+differences and labels come from NTZ field extraction - never a cast to
+the zoned type - so results do not depend on the session time zone (a
+time in a DST gap keeps its value, label and duration).
 """
 
 from __future__ import annotations
@@ -27,27 +27,27 @@ def parse_timestamp(c, pattern: str = TS_PATTERN) -> Column:
     return F.when(F.try_to_timestamp(c, fmt).isNotNull(), F.to_timestamp_ntz(c, fmt))
 
 
-def wall_micros(ts) -> Column:
-    """Microseconds since 1970-01-01 00:00 of the wall-clock value. Built
-    from NTZ field extraction only, so no session time zone is involved
-    (``timestamp_diff`` / ``date_format`` would cast through it)."""
-    c = as_col(ts)
-    return (
-        F.unix_date(c.cast("date")).cast("bigint") * F.lit(86_400_000_000)
-        + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
-        + F.minute(c).cast("bigint") * F.lit(60_000_000)
-        + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
-    )
+def _elapsed(start, end) -> Column:
+    """``end - start`` as a day-time interval. Subtracting two NTZ values
+    involves no time zone, and each operand is referenced once (the
+    operands are often parse expressions that Catalyst inlines)."""
+    return as_col(end) - as_col(start)
 
 
 def minutes_between(start, end) -> Column:
     """Whole minutes from ``start`` to ``end``, truncated toward zero (BIGINT)."""
-    return ((wall_micros(end) - wall_micros(start)) / F.lit(60_000_000)).cast("bigint")
+    return _elapsed(start, end).cast("interval minute").cast("bigint")
+
+
+def elapsed_micros(start, end) -> Column:
+    """Exact microseconds from ``start`` to ``end`` (BIGINT)."""
+    secs = _elapsed(start, end).cast("interval second").cast("decimal(20,6)")
+    return (secs * F.lit(1_000_000)).cast("bigint")
 
 
 def minutes_fractional(start, end) -> Column:
     """Exact minutes from ``start`` to ``end`` as DOUBLE."""
-    return (wall_micros(end) - wall_micros(start)) / F.lit(60_000_000.0)
+    return elapsed_micros(start, end) / F.lit(60_000_000.0)
 
 
 def _pick(names, index: Column) -> Column:
