@@ -141,3 +141,14 @@ def test_decimal_out_of_range_is_null(spark):
     df = spark.createDataFrame([("123.4",), ("41.8",)], "s string")
     got = [r[0] for r in df.select(F.col("s").try_cast("decimal(12,10)")).collect()]
     assert got[0] is None and float(got[1]) == 41.8
+
+
+def test_charset_trim_equals_regex_trim(spark):
+    from tripmart.functions.text import WHITE_SPACE, strip_whitespace_regex
+
+    ws = WHITE_SPACE
+    vals = [ws + "a" + ws + "b" + ws, "\u00a0x\u3000", "  y", "z\t", "", ws, None, "\u200bkeep\u200b"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    rows = df.select(strip_whitespace("s").alias("a"), strip_whitespace_regex("s").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert rows[0].a == "a" + ws + "b" and rows[1].a == "x" and rows[7].a == "\u200bkeep\u200b"

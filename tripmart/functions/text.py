@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.columns import as_col
 
-# Unicode White_Space: the control whitespace, NEL and every separator (Z).
+# --- fixed values -----------------------------------------------------------------
+# Unicode White_Space, as code-point ranges: TAB..CR, SPACE, NEL, NO-BREAK SPACE,
+# OGHAM SPACE MARK, EN QUAD..HAIR SPACE, LINE and PARAGRAPH SEPARATOR, NARROW
+# NO-BREAK SPACE, MEDIUM MATHEMATICAL SPACE, IDEOGRAPHIC SPACE.
+WHITE_SPACE_RANGES = [
+    (0x0009, 0x000D), (0x0020, 0x0020), (0x0085, 0x0085), (0x00A0, 0x00A0), (0x1680, 0x1680),
+    (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
+# ------------------------------------------------------------------------------------
+WHITE_SPACE = "".join(chr(c) for lo, hi in WHITE_SPACE_RANGES for c in range(lo, hi + 1))
+# the same set as a regex class (control whitespace, NEL, every separator Z)
 _WS = r"[\t\n\x0B\f\r\x85\p{Z}]"
 
 
@@ -20,7 +30,13 @@ def trim_spaces(c) -> Column:
 
 
 def strip_whitespace(c) -> Column:
-    """Trim leading/trailing whitespace of any kind (tabs, newlines, NBSP, ...)."""
+    """Trim leading/trailing whitespace of any kind (tabs, newlines, NBSP, ...):
+    a character-set trim, no regular expression per value."""
+    return F.btrim(as_col(c), F.lit(WHITE_SPACE))
+
+
+def strip_whitespace_regex(c) -> Column:
+    """The same trim written as a regular expression (reference form)."""
     return F.regexp_replace(as_col(c), rf"^{_WS}+|{_WS}+$", "")
 
 
