@@ -107,6 +107,6 @@ def materialize(df, name: str, with_count: bool = False):
     if not with_count:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
-    obs = Observation(f"{name}-rows")
+    obs = Observation(f"{name}-rows-{uuid.uuid4().hex[:8]}")
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path), int(obs.get["rows"])
