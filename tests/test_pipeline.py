@@ -5,13 +5,13 @@ import pytest
 from conftest import SF_MID
 from oracle_compare import rows_key
 from tripmart.plans import catalog as K
-from tripmart.plans.pipeline import R_MARTS, SQL_MARTS, run_pipeline
+from tripmart.plans.pipeline import DERIVED, R_MARTS, SQL_MARTS, run_pipeline
 
 
 @pytest.mark.parametrize("sf", [SF_MID])
 def test_pipeline_marts_equal_registry(spark, tmp_path, sf):
     paths = run_pipeline(spark, K.raw(spark, sf), str(tmp_path))
-    assert set(SQL_MARTS) | set(R_MARTS) <= set(paths)
+    assert set(SQL_MARTS) | set(R_MARTS) | set(DERIVED) <= set(paths)
     pairs = {
         "avg_by_user": "m01_avg_by_user", "min_length": "m02_min_length", "max_length": "m03_max_length",
         "avg_by_weekday": "m04_avg_by_weekday", "count_by_weekday": "m05_count_by_weekday",
@@ -23,7 +23,7 @@ def test_pipeline_marts_equal_registry(spark, tmp_path, sf):
         "hour_heatmap": "m14_hour_heatmap", "daytype_share": "m15_daytype_share", "popular_routes": "m16_popular_routes",
         "map_routes": "m17_map_routes",
     }
-    assert set(pairs) == set(SQL_MARTS) | set(R_MARTS)
+    assert set(pairs) == set(SQL_MARTS) | set(R_MARTS) | set(DERIVED)
     for mart, key in pairs.items():
         a = spark.read.parquet(paths[mart])
         b = K.QUERIES[key](spark, sf)

@@ -327,6 +327,10 @@ def segment(routes: DataFrame, user_type: str) -> DataFrame:
 def map_routes(trips: DataFrame, box: Mapping[str, float] = MAP_WINDOW, min_rides: int = POPULAR_MIN_RIDES) -> DataFrame:
     """The member and casual popular-route sets that fall inside the
     map window (both endpoints)."""
-    routes = popular_routes(trips, min_rides)
+    return map_routes_of(popular_routes(trips, min_rides), box)
+
+
+def map_routes_of(routes: DataFrame, box: Mapping[str, float] = MAP_WINDOW) -> DataFrame:
+    """M17 from an M16 result (no second pass over the trips)."""
     return routes.filter(route_within_bbox(box) & F.col("user_type").isin("Member", "Casual"))
 

@@ -55,9 +55,12 @@ R_MARTS: dict[str, Mart] = {
     "daytype_share": lambda s, t, w: M.daytype_share(t, w=w),
     "length_histogram": lambda s, t, w: M.length_histogram(t),
     "popular_routes": lambda s, t, w: M.popular_routes(t),
-    "map_routes": lambda s, t, w: M.map_routes(t),
 }
-TRIP_LEVEL = {"top_routes", "length_histogram", "popular_routes", "map_routes"}
+TRIP_LEVEL = {"top_routes", "length_histogram", "popular_routes"}
+# Marts computed from another mart's written output: name -> (source, fn).
+DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "map_routes": ("popular_routes", M.map_routes_of),
+}
 
 
 def land_clean(raw: DataFrame, path: str, profile: Profile) -> DataFrame:
@@ -101,4 +104,8 @@ def run_pipeline(
             paths[mart] = zone_path(root, "marts", mart)
             df = fn(spark, trips, None) if mart in TRIP_LEVEL else fn(spark, summary, W)
             df.write.mode("overwrite").parquet(paths[mart])
+        for mart, (source, fn) in DERIVED.items():
+            if source in marts:
+                paths[mart] = zone_path(root, "marts", mart)
+                fn(spark.read.parquet(paths[source])).write.mode("overwrite").parquet(paths[mart])
     return paths
