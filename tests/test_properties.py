@@ -98,8 +98,10 @@ def test_duplicate_prefilter_is_exact(spark, raw):
     keys = ["ride_id", "bike_type", "started_at", "ended_at", "start_sta_name", "end_sta_name"]
     a = duplicates(df, keys, "n", prefilter=True)
     b = duplicates(df, keys, "n", prefilter=False)
+    c = duplicates(df, keys, "n", prefilter=True, max_broadcast_rows=0)  # above the bound: plain group-by
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert c.exceptAll(b).count() == 0 and b.exceptAll(c).count() == 0
     # NULL parts of a key still group together
     t = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "c")], "x string, y string")
     got = sorted((r.x or "-", r.y or "-", r.n) for r in duplicates(t, ["x", "y"], "n").collect())

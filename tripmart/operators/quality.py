@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.operators.clean import bounded, missing_columns
+from tripmart.operators.clean import BROADCAST_MAX_ROWS, bounded, missing_columns
 
 
 def duplicates(
@@ -18,6 +18,7 @@ def duplicates(
     count_name: str = "n",
     keep_keys: bool = True,
     prefilter: bool = True,
+    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Groups of ``keys`` with more than one row (``HAVING COUNT(*) > 1``).
 
@@ -34,7 +35,7 @@ def duplicates(
             df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
             .filter(F.col("_c") > 1).select("_h")
         )
-        hot, small = bounded(hot)
+        hot, small = bounded(hot, max_broadcast_rows)
         if small:  # else many duplicates: the plain group-by below is cheaper
             df = df.withColumn("_h", h).join(F.broadcast(hot), "_h", "left_semi").drop("_h")
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).filter(F.col(count_name) > 1)
