@@ -67,13 +67,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) create one."""
+    ``spark.checkpoint.dir``. Only in local mode, when it is unset (tests),
+    create one; on a cluster an unset folder is an error, never a
+    machine-local path."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
         return d
-    d = tempfile.mkdtemp(prefix="tripmart-ckpt-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: scratch tables need a folder every executor can reach "
+            "(set spark.checkpoint.dir to shared storage)"
+        )
+    d = tempfile.mkdtemp(prefix="tripmart-ckpt-")  # local mode only: driver and executors share this machine
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
