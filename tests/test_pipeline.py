@@ -42,3 +42,15 @@ def test_summary_is_bounded_and_complete(spark):
     # band combinations), whatever the number of trips
     assert summary.count() <= 2 * 3 * 12 * 7 * 24 * 5
     assert summary.agg({"_n": "sum"}).first()[0] == trips.count()
+
+
+def test_pipeline_command_line(spark, tmp_path):
+    from tripmart.plans.pipeline import main
+    from tripmart.sources import csv as S
+    from tripmart.sources.tables import period_of_start
+
+    raw_dir, root = str(tmp_path / "raw"), str(tmp_path / "out")
+    S.write_csv(K.raw(spark, "/root/testdata/sf0.001").withColumn("period", period_of_start("started_at")), raw_dir, partition_by=["period"])
+    main(["--raw", raw_dir, "--root", root])
+    got = spark.read.parquet(f"{root}/marts/month_rollup").count()
+    assert got == 37

@@ -109,3 +109,33 @@ def run_pipeline(
                 paths[mart] = zone_path(root, "marts", mart)
                 fn(spark.read.parquet(paths[source])).write.mode("overwrite").parquet(paths[mart])
     return paths
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m tripmart.plans.pipeline --raw <dir> --root <dir>`` (or
+    ``spark-submit --py-files tripmart.zip tripmart/plans/pipeline.py ...``):
+    read every monthly CSV under ``--raw`` (explicit schema, one scan) and
+    run the whole job into ``--root``. The session is the cluster's own
+    (``getOrCreate``); ``spark.checkpoint.dir`` must name shared storage."""
+    import argparse
+
+    from tripmart.session import apply_scale_conf, ensure_checkpoint_dir
+    from tripmart.sources.csv import read_trips
+
+    ap = argparse.ArgumentParser(prog="tripmart.plans.pipeline")
+    ap.add_argument("--raw", required=True, help="folder of monthly trip CSV files")
+    ap.add_argument("--root", required=True, help="output root (interim/ and marts/ are created under it)")
+    ap.add_argument("--glob", default="*.csv")
+    ap.add_argument("--scale-conf", action="store_true", help="apply SCALE_CONF where the cluster left a setting unset")
+    args = ap.parse_args(argv)
+
+    spark = SparkSession.builder.appName("tripmart-pipeline").getOrCreate()
+    ensure_checkpoint_dir(spark)
+    if args.scale_conf:
+        apply_scale_conf(spark)
+    for name, path in sorted(run_pipeline(spark, read_trips(spark, args.raw, glob=args.glob), args.root).items()):
+        print(f"{name}\t{path}")
+
+
+if __name__ == "__main__":
+    main()
