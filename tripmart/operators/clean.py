@@ -243,8 +243,10 @@ def _key_frames(raw: DataFrame, p: Profile, max_broadcast_rows: int):
     return df, right, small
 
 
-def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame:
-    """Key mode with a single join over the trip table (see ``_key_frames``)."""
+def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> tuple[DataFrame, bool]:
+    """Key mode with a single join over the trip table (see ``_key_frames``).
+    Also says whether the key table was broadcast (else the trips are
+    shuffled by id for a sort-merge join)."""
     df, right, small = _key_frames(raw, p, max_broadcast_rows)
     r = F.broadcast(right) if small else right
     k = F.col(KEY)
@@ -253,7 +255,7 @@ def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> DataFrame
     out = keep.join(r, cond, "left_anti").drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
     out = out.select(KEY, *[c for c in df.columns if c not in (KEY, "_miss", "_short", "_tid")])
     out = trim_text(out, p.trim)
-    return polish_text(out, p)
+    return polish_text(out, p), small
 
 
 def key_clean_audit(raw: DataFrame, profile: Profile = SQL, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -305,16 +307,23 @@ def clean_trips(raw: DataFrame, profile: Profile = R, max_broadcast_rows: int =
 
     Order (both specifications): rename -> missing -> parse -> trim ->
     (title case / text fixes) -> minutes -> minimum duration."""
+    return clean_trips_planned(raw, profile, max_broadcast_rows)[0]
+
+
+def clean_trips_planned(raw: DataFrame, profile: Profile = R, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """``clean_trips`` plus whether its plan shuffles the trips by id (key
+    mode with a key table above the broadcast bound). A writer uses this to
+    rebalance by its partition column only when the input order was lost."""
     p = profile
     if p.mode == "key":
-        df = _clean_key(raw, p, max_broadcast_rows)
-        return add_duration(df, p.fractional)
+        df, small = _clean_key(raw, p, max_broadcast_rows)
+        return add_duration(df, p.fractional), not small
     # blank -> NULL then drop-any-NULL keeps exactly the rows the missing test passes
     df = parse_times(drop_missing(rename_raw(raw), "row"))
     df = trim_text(df, p.trim)
     df = polish_text(df, p)
     df = add_duration(df, p.fractional)
-    return df.filter(F.col("ride_length") >= F.lit(p.min_minutes))
+    return df.filter(F.col("ride_length") >= F.lit(p.min_minutes)), False
 
 
 def clean_trips_stepwise(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
