@@ -76,8 +76,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
     rows = rows.crossJoin(F.broadcast(total))  # one row
     rows = rows.withColumn("_r", F.floor(F.col("_f") * _ranges(F.col("_total"), range_rows)))
-    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_all", F.lit(0))
-    offsets = _before(counts, ["_all"], "_r", "_c", "_off").select("_r", "_off")
+    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_whole", F.lit(0))
+    offsets = _before(counts, ["_whole"], "_r", "_c", "_off").select("_r", "_off")
     nth = F.row_number().over(Window.partitionBy("_r").orderBy("_f", "_src", "_place"))
     rows = rows.withColumn("_k", nth).join(offsets, "_r")
     place = F.col("_off") + F.col("_k") - 1
@@ -97,6 +97,3 @@ def write_shards(assigned: DataFrame, path: str) -> None:
     (assigned.withColumn("_part", F.floor(F.col("slot") / 100_000)).repartition("shard", "_part")
      .sortWithinPartitions("shard", "slot").drop("_part").write.partitionBy("shard").parquet(path))
 
-
-#: The same rule in SQL, from the table alone.
-ORACLE_SQL = None  # the seeded order is Spark's hash; tests compare with a brute-force version
