@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripmart.llm import exact_dedup
+from tripmart.llm.exact_dedup import exact_groups
 from tripmart.llm.sharding import interleave
+from tripmart.llm.simhash import near_groups
 from tripmart.llm.tables import table
 from tripmart.llm.token_counts import count_tokens
 
@@ -27,9 +30,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+}

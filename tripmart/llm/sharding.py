@@ -30,6 +30,9 @@ RANGE_ROWS = 1000
 #: Ranges whose running totals are made together.
 BLOCK = 4096
 
+#: Copies of a source's count, so that rows of one source meet it in many tasks.
+SALTS = 64
+
 
 def _before(counts: DataFrame, by: list[str], at: str, n: str, out: str) -> DataFrame:
     """``out``: sum of ``n`` over smaller ``at`` within ``by``. Totals run over
@@ -62,7 +65,11 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
     part = F.shiftrightunsigned("_h", 11) / F.lit(float(2**53))
     per_source = rows.groupBy("_src").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(per_source, "_src").withColumn("_r", F.floor(part * _ranges(F.col("_n"), range_rows)))
+    # a source may hold a third of all rows: its count is met under many salts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt")
+    rows = rows.withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    rows = rows.join(per_source.select("_src", "_n", salts), ["_src", "_salt"]).drop("_salt")
+    rows = rows.withColumn("_r", F.floor(part * _ranges(F.col("_n"), range_rows)))
 
     # place within the source
     counts = rows.groupBy("_src", "_r").agg(F.count(F.lit(1)).alias("_c"))
