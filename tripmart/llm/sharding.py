@@ -66,7 +66,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     part = F.shiftrightunsigned("_h", 11) / F.lit(float(2**53))
     per_source = rows.groupBy("_src").agg(F.count(F.lit(1)).alias("_n"))
     # a source may hold a third of all rows: its count is met under many salts
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt")
+    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("_salt")
     rows = rows.withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
     rows = rows.join(per_source.select("_src", "_n", salts), ["_src", "_salt"]).drop("_salt")
     rows = rows.withColumn("_r", F.floor(part * _ranges(F.col("_n"), range_rows)))
