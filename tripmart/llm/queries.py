@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripmart.llm import exact_dedup
 from tripmart.llm.exact_dedup import exact_groups
+from tripmart.llm.packing import pack
+from tripmart.llm.pieces import decode, encode
 from tripmart.llm.sharding import interleave
 from tripmart.llm.simhash import near_groups
 from tripmart.llm.tables import table
@@ -38,11 +41,23 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=2048)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_packing": op9_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {

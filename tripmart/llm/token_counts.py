@@ -7,6 +7,9 @@ merge crosses a pre-token: the vocabulary has no piece in which a word start
 follows another character, which is checked when it is read (else a whole text
 is one pre-token).
 
+Pre-tokens over ``LONG`` characters (blobs without a space) would take a round per
+merge; they go through a heap of the same merges, one at a time, in n log n.
+
 A rank is merged at all its places of a sequence in one round, left to right,
 unless merging it can make a pair of lower rank; then one place a round. Both
 give the library's order of merges exactly.
@@ -19,6 +22,7 @@ input, also such named like the result's, are left out.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +38,9 @@ from tripmart.llm.words import WordTable, chunks, split_all, sums
 START = "▁"  # the piece alphabet's mark for a space
 FAR = np.int64(2**62)
 
+#: Characters from which on a pre-token is merged with a heap.
+LONG = 500
+
 
 class PieceRanks:
     """Vocabulary of a SentencePiece BPE model with byte fallback as arrays."""
@@ -74,6 +81,7 @@ class PieceRanks:
         self.early = np.zeros(len(order) + 1, bool)
         self.early[[rank[p] for p in early]] = True
         self.early[[r for r, k in shared.items() if k > 1]] = True
+        self.table: dict[int, tuple[int, int]] = {}
         inner = any(b == START != a for p in names for a, b in zip(p, p[1:], strict=False))
         line = any("\n" in p for p in names)
         self.word = re.compile(r"(?s).+" if inner else r" +[^ ]*|[^ ]+" if line else r" +[^ \n]*|[^ \n]+|\n+")
@@ -102,7 +110,15 @@ class PieceRanks:
         sym, n = self.symbols(words)
         word = np.repeat(np.arange(len(words)), n)
         done_sym, done_word = [], []
-        rank, into = self._ranks(sym, word)
+        if len(n) and n.max() > LONG:
+            ends = np.cumsum(n)
+            for w in np.flatnonzero(n > LONG):
+                own = self.merge_long(sym[ends[w] - n[w] : ends[w]])
+                done_sym.append(own)
+                done_word.append(np.full(len(own), w))
+            short = np.repeat(n <= LONG, n)
+            sym, word = sym[short], word[short]
+        rank, into = self._ranks(sym, word) if len(sym) else (sym, sym)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             size = np.diff(np.r_[starts, len(sym)])
@@ -136,6 +152,37 @@ class PieceRanks:
         back = np.argsort(word, kind="stable")
         return sym[back], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The same merges on one long sequence: lowest rank first, then leftmost."""
+        if not self.table:
+            self.table.update(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.into.tolist(), strict=True), strict=True))
+        table, size = self.table, self.size
+        s: list[int] = sym.tolist()
+        n = len(s)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and s[i] >= 0 and s[j] >= 0:
+                found = table.get(s[i] * size + s[j])
+                if found:
+                    heapq.heappush(heap, (found[0], i, j, s[i], s[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        gone = bytearray(n)
+        while heap:
+            _, i, j, a, b, p = heapq.heappop(heap)
+            if gone[i] or gone[j] or right[i] != j or s[i] != a or s[j] != b:
+                continue
+            s[i], gone[j] = p, 1
+            right[i] = right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            offer(left[i], i)
+            offer(i, right[i])
+        return np.array([x for x, g in zip(s, gone, strict=True) if not g], np.int64)
+
     def _ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(sym)) if at is None else at
         after = np.minimum(at + 1, len(sym) - 1)
@@ -158,14 +205,20 @@ def piece_ranks(path: str) -> PieceRanks:
     return PieceRanks(path)
 
 
+@functools.lru_cache(maxsize=4)
+def _table(path: str) -> WordTable:
+    """Words that this process has met, over all its tasks."""
+    ranks = piece_ranks(path)
+    return WordTable(lambda new: (ranks.counts(new), np.ones(len(new), np.int64)))
+
+
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Tokens of every whole text as the SentencePiece library counts them:
     ``id_col, n_bytes, n_tokens, over_limit``. A narrow map, no shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = piece_ranks(model_path)
-        table = WordTable(lambda new: (ranks.counts(new), np.ones(len(new), np.int64)))
+        ranks, table = piece_ranks(model_path), _table(model_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = np.zeros(len(texts), np.int64)
