@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmart.llm.tables import whole_text, without
-from tripmart.llm.token_counts import FAR, START, PieceRanks, piece_ranks
+from tripmart.llm.token_counts import START, PieceRanks, piece_ranks
 from tripmart.llm.words import WordTable, chunks, ragged, split_all, sums
 
 #: Pre-tokens over this length are relaxed one position after another.
 LONG = 48
 
+#: Pairs of pieces a process remembers; beyond it the memory is emptied.
+MAX_PAIRS = 1_000_000
+
 NONE = -(1 << 40)
 
 
@@ -41,23 +44,14 @@ class Lattice:
     def __init__(self, ranks: PieceRanks):
         self.r = ranks
         size = ranks.size
-        # the last merge of each piece when its own characters are merged
+        # pieces that merging their own characters gives
         names = [p for p in ranks.names]
         ids = np.array([ranks.names[p] for p in names], np.int64)
         merged, n = ranks.merge([p.replace(START, " ") for p in names])
         alone = (n == 1) & (merged[np.minimum(np.cumsum(n) - n, len(merged) - 1)] == ids)
-        self.rank = np.full(size, -1, np.int64)  # -1: a single character
-        self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        a, b = ranks.keys // size, ranks.keys % size
-        rank_of = np.full(size, -1, np.int64)
-        rank_of[ranks.into] = ranks.ranks
+        self.name = {i: p for p, i in ranks.names.items()}
         self.usable = np.zeros(size, bool)
         self.usable[ids[alone]] = True
-        later = np.maximum(rank_of[a], rank_of[b])
-        for k in np.argsort(-later, kind="stable"):  # the split whose parts came first is kept last
-            p = ranks.into[k]
-            if self.usable[a[k]] and self.usable[b[k]] and self.follows(a[k : k + 1], b[k : k + 1], int(ranks.ranks[k]))[0]:
-                self.left[p], self.right[p], self.rank[p] = a[k], b[k], ranks.ranks[k]
         kept = [(p, i) for p, i in zip(names, ids.tolist(), strict=True) if self.usable[i]]
         self.deep = max(len(p) for p, _ in kept)
         letters = sorted({c for p, _ in kept for c in p})
@@ -73,30 +67,28 @@ class Lattice:
         for k, (p, _) in enumerate(kept):
             low[k, : len(p)] = high[k, : len(p)] = [self.code[c] for c in p]
         self.low, self.high = self._keys(low), self._keys(high)
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{2 * self.deep}").ravel()
 
-    def follows(self, a: np.ndarray, b: np.ndarray, most: int = int(FAR)) -> np.ndarray:
-        """May piece b follow piece a: undoing their merges, latest first, no
-        merge across the border would have come earlier. ``most``: only merges of
-        lower rank than this count."""
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """May piece b follow piece a: merging the characters of both gives the
+        two again. Every pair is merged once per process, new ones together."""
+        known, size = self.known, self.r.size
         out = (a < 0) | (b < 0)
         live = np.flatnonzero(~out)
-        a, b = a[live], b[live]
-        limit = np.full(len(a), most, np.int64)
-        while len(live):
-            across, _ = self.r.pairs(a, b)
-            ra, rb = self.rank[a], self.rank[b]
-            free = across >= limit
-            end = free & (ra < 0) & (rb < 0)
-            out[live[end]] = True
-            go = free & ~end
-            live, a, b, ra, rb, limit = live[go], a[go], b[go], ra[go], rb[go], limit[go]
-            undo_left = ra > rb
-            limit = np.minimum(limit, np.where(undo_left, ra, rb + 1))
-            a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
+        keys = (a[live] * size + b[live]).tolist()
+        new = list({k: None for k in keys if k not in known})
+        if new:
+            if len(known) > MAX_PAIRS:
+                known.clear()
+                new = list(dict.fromkeys(keys))
+            merged, n = self.r.merge([self.name[k // size] + self.name[k % size] for k in new])
+            first = np.minimum(np.cumsum(n) - n, len(merged) - 1)
+            second = np.minimum(first + 1, len(merged) - 1)
+            known.update(zip(new, ((n == 2) & (merged[first] * size + merged[second] == new)).tolist(), strict=True))
+        out[live] = np.fromiter(map(known.__getitem__, keys), bool, len(keys))
         return out
 
     def edges(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,15 +138,13 @@ class Lattice:
             last[end[lo:hi][ok]] = p[ok]
 
     def _relax_long(self, start, piece, end, offset, last) -> None:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
+        known, size = self.known, self.r.size
         order = np.argsort(end, kind="stable")
         for s, p, e in zip(start[order].tolist(), piece[order].tolist(), end[order].tolist(), strict=True):
             before = NONE if offset[s] == 0 else int(last[s])
-            ok = before < 0 or p < 0 or known.get((before, p))
+            ok = before < 0 or p < 0 or known.get(before * size + p)
             if ok is None:
-                ok = known[before, p] = bool(self.follows(np.array([before]), np.array([p]))[0])
+                ok = self.follows(np.array([before]), np.array([p]))[0]
             if ok:
                 last[e] = p
 

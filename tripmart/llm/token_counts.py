@@ -81,6 +81,11 @@ class PieceRanks:
         self.early = np.zeros(len(order) + 1, bool)
         self.early[[rank[p] for p in early]] = True
         self.early[[r for r, k in shared.items() if k > 1]] = True
+        self.of_point = -1 - np.arange(0x110000)
+        for p, i in names.items():
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
+        self.of_point[32] = names.get(START, -33)
         self.table: dict[int, tuple[int, int]] = {}
         inner = any(b == START != a for p in names for a, b in zip(p, p[1:], strict=False))
         line = any("\n" in p for p in names)
@@ -94,9 +99,7 @@ class PieceRanks:
         """Single-character symbols of all words, end to end (unknown ones as
         ``-1 - code point``), and the number per word."""
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        kinds, back = np.unique(flat, return_inverse=True)
-        ids = [self.names.get(START if c == 32 else chr(c), -1 - int(c)) for c in kinds]
-        return np.array(ids, np.int64)[back], np.fromiter(map(len, words), np.int64, len(words))
+        return self.of_point[flat], np.fromiter(map(len, words), np.int64, len(words))
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of joining a and b (FAR: no such piece) and the piece."""
@@ -145,7 +148,9 @@ class PieceRanks:
             moved = np.cumsum(keep) - 1
             sym, word, rank, into = sym[keep], word[keep], rank[keep], into[keep]
             new = moved[at]
-            touched = np.unique(np.r_[new, new[new > 0] - 1])
+            near = np.zeros(len(sym), bool)
+            near[new] = near[new[new > 0] - 1] = True
+            touched = np.flatnonzero(near)
             rank[touched], into[touched] = self._ranks(sym, word, touched)
         sym = np.concatenate(done_sym) if done_sym else sym
         word = np.concatenate(done_word) if done_word else word
