@@ -12,10 +12,12 @@ from tripmart.llm import exact_dedup
 from tripmart.llm.exact_dedup import exact_groups
 from tripmart.llm.packing import pack
 from tripmart.llm.pieces import decode, encode
+from tripmart.llm.pii import find_private
 from tripmart.llm.sharding import interleave
 from tripmart.llm.simhash import near_groups
 from tripmart.llm.tables import table
 from tripmart.llm.token_counts import count_tokens
+from tripmart.llm.toxicity import score_toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +35,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -54,6 +64,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_packing": op9_packing,
