@@ -76,22 +76,27 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _validity(kind: str):
+    return lambda span: _valid(kind, span["value"])
+
+
 def _found(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
     """Matches of a pattern with code point offsets: gaps and matches in turn."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).cast("int").alias("at") + offset if not isinstance(offset, int) else F.lit(offset).alias("at"), _none().alias("out"))
+    first = F.lit(offset) if isinstance(offset, int) else offset
+    start = F.struct(first.cast("int").alias("at"), _none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["1"].alias("value"))
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["hit"])
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(
             F.coalesce(end, begin).alias("at"),
-            F.when(x["1"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
+            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
         )
 
-    return F.aggregate(both, F.struct(start["at"].cast("int").alias("at"), start["out"].alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(both, start, step, lambda acc: acc["out"])
 
 
 def base_spans(text: Column) -> Column:
@@ -99,7 +104,7 @@ def base_spans(text: Column) -> Column:
     needs = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][\\x20-]?[0-9]"), "phone": text.contains("+")}
     own = []
     for k, kind in enumerate(KINDS[:4]):
-        spans = F.filter(_found(text, PATTERNS[kind], k), lambda s, kind=kind: _valid(kind, s["value"]))
+        spans = F.filter(_found(text, PATTERNS[kind], k), _validity(kind))
         own.append(F.when(needs[kind], spans).otherwise(_none()))
     return F.array_sort(F.concat(*own))
 
@@ -176,6 +181,10 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """One row per document: ``id_col, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``."""
@@ -183,7 +192,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none, some = _with_spans(rows, disclosure, support)
     cols = ["_id", "_base", "_spans"]
     out = none.select(*cols).unionByName(some.select(*cols))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 
 
