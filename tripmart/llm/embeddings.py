@@ -36,13 +36,17 @@ from tripmart.session import materialize
 SAMPLE, CENTRES = 2048, 512
 
 #: Vectors of a block; a meeting holds two blocks.
-BLOCK = 4096
+BLOCK = 8192
 
 #: Radii of the nested levels inside a block.
 RADII = (1.0, 0.5, 0.25, 0.125)
 
-#: Slack of the pruning bounds for rounding; links are decided exactly.
-SLACK = 1e-6
+#: A node of so few points is a leaf: it is not refined further.
+LEAF = 32
+
+#: Slack of the pruning bounds for rounding (the bounds are tested in single
+#: precision); links are decided exactly.
+SLACK = 1e-3
 
 
 def usable(vector: Column) -> Column:
@@ -67,58 +71,136 @@ def farthest_first(points: np.ndarray, k: int) -> np.ndarray:
     a level of the tree, with a smaller radius than the one before."""
     order = [0]
     near = distances(points, points[:1])[:, 0]
-    while len(order) < min(k, len(points)) and near.max() > SLACK:
+    while len(order) < min(k, len(points)) and near.max() > 1e-6:
         order.append(int(near.argmax()))
         near = np.minimum(near, distances(points, points[order[-1:]])[:, 0])
     return np.array(order)
 
 
-def levels(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Nested levels: centre, parent, covering radius and members of each node."""
-    own = distances(points, points[:1])[:, 0]
-    out = [(np.array([0]), np.array([0]), np.array([own.max()]), [np.arange(len(points))])]
-    for radius in RADII:
-        centre, parent, cover, members = [], [], [], []
-        for node, (top, inside) in enumerate(zip(out[-1][0], out[-1][3], strict=True)):
-            rest = np.r_[top, inside[inside != top]]
-            while len(rest):
-                far = distances(points[rest], points[rest[:1]])[:, 0]
-                far[0] = 0
-                near = far <= radius
-                centre.append(rest[0])
-                parent.append(node)
-                cover.append(far[near].max())
-                members.append(rest[near])
-                rest = rest[~near]
-        out.append((np.array(centre), np.array(parent), np.array(cover), members))
+def cover(points: np.ndarray, radius: float, tries: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy net in the given order: the centres, no two within ``radius``, and
+    for each point the number of the first centre within ``radius`` of it."""
+    least = np.float32(1 - radius * radius / 2)
+    of, centres = np.full(len(points), -1), []
+    rest = np.arange(len(points))
+    while len(rest):
+        first = rest[:tries]
+        near = points[rest] @ points[first].T >= least
+        near[np.arange(len(first)), np.arange(len(first))] = True
+        chosen: list[int] = []
+        for k in range(len(first)):
+            if not near[k, chosen].any():
+                chosen.append(k)
+        hit = near[:, chosen]
+        covered = hit.any(axis=1)
+        of[rest[covered]] = len(centres) + hit[covered].argmax(axis=1)
+        centres.extend(first[chosen].tolist())
+        rest = rest[~covered]
+    return np.array(centres), of
+
+
+class Level:
+    """Nodes of one level, in the order of their parents: centre, parent,
+    covering radius, and members end to end."""
+
+    def __init__(self, points: np.ndarray, centre: np.ndarray, parent: np.ndarray, members: np.ndarray, sizes: np.ndarray):
+        self.centre, self.parent, self.members, self.sizes = centre, parent, members, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        cos = np.einsum("ij,ij->i", points[members], points[np.repeat(centre, sizes)])
+        far = np.sqrt(np.maximum(2 - 2 * cos, 0))
+        self.radius = np.where(sizes == 1, 0, np.maximum.reduceat(far, self.starts)).astype(np.float32)
+        self.points = points[centre]
+
+
+def levels(points: np.ndarray) -> list[Level]:
+    """Nested levels from one root, with halving radii, down to leaves."""
+    n = len(points)
+    out = [Level(points, np.array([0]), np.array([0]), np.arange(n), np.array([n]))]
+    for depth, radius in enumerate(RADII):
+        above = out[-1]
+        if depth > 1 and above.sizes.max() <= LEAF:
+            break
+        centre, parent, members, sizes = [], [], [], []
+        for node, (at, size) in enumerate(zip(above.starts.tolist(), above.sizes.tolist(), strict=True)):
+            inside = above.members[at : at + size]
+            if size == 1 or (depth > 1 and size <= LEAF):
+                tops, of = np.array([0]), np.zeros(size, np.int64)
+            else:
+                tops, of = cover(points[inside], radius)
+            order = np.argsort(of, kind="stable")
+            centre.append(inside[tops])
+            parent.append(np.full(len(tops), node))
+            members.append(inside[order])
+            sizes.append(np.bincount(of, minlength=len(tops)))
+        out.append(Level(points, *map(np.concatenate, (centre, parent, members, sizes))))
     return out
 
 
-def traverse(a: np.ndarray, b: np.ndarray, reach: float):
-    """Yield (row, columns) of candidate pairs: one point of a and all points of
-    b whose leaf nodes no level could prune."""
-    la, lb = levels(a), levels(b) if b is not a else None
-    lb = lb or la
-    pairs = {0: np.array([0])}
+def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512, pairs: int = 1_000_000):
+    """Yield arrays of candidate pairs (point of a, point of b): those whose nodes
+    no level could prune."""
+    la = levels(a.astype(np.float32))
+    lb = la if b is a else levels(b.astype(np.float32))
+    while len(la) != len(lb):  # the shallower side's leaves stand for themselves further down
+        low = la if len(la) < len(lb) else lb
+        last = low[-1]
+        low.append(Level((a if low is la else b).astype(np.float32), last.centre, np.arange(len(last.centre)), last.members, last.sizes))
+    p, q = np.array([0]), np.array([0])
     for depth in range(1, len(la)):
-        ca, pa_, ra, _ = la[depth]
-        cb, pb, rb, _ = lb[depth]
-        first_a, first_b = np.searchsorted(pa_, np.arange(len(la[depth - 1][0]) + 1)), np.searchsorted(pb, np.arange(len(lb[depth - 1][0]) + 1))
-        after: dict[int, np.ndarray] = {}
-        for p, qs in pairs.items():
-            mine = np.arange(first_a[p], first_a[p + 1])
-            n = first_b[qs + 1] - first_b[qs]
-            theirs = np.arange(int(n.sum())) + np.repeat(first_b[qs] - (np.cumsum(n) - n), n)
-            far = distances(a[ca[mine]], b[cb[theirs]])
-            keep = far <= ra[mine][:, None] + rb[theirs][None, :] + (reach + SLACK)
-            for row, node in enumerate(mine.tolist()):
-                if keep[row].any():
-                    after[node] = theirs[keep[row]]
-        pairs = after
-    for node, others in pairs.items():
-        columns = np.concatenate([lb[-1][3][q] for q in others])
-        for point in la[-1][3][node].tolist():
-            yield point, columns
+        up, ua, ub = len(lb[depth - 1].centre), la[depth], lb[depth]
+        first_a = np.searchsorted(ua.parent, np.arange(len(la[depth - 1].centre) + 1))
+        first_b = np.searchsorted(ub.parent, np.arange(up + 1))
+        far_b = ub.radius + np.float32(reach + SLACK)
+
+        def near(mine: np.ndarray, theirs: np.ndarray | slice, ua=ua, ub=ub, far_b=far_b) -> tuple[np.ndarray, np.ndarray]:
+            bound = np.minimum(ua.radius[mine][:, None] + far_b[theirs][None, :], 2)
+            bound *= bound
+            return np.nonzero(ua.points[mine] @ ub.points[theirs].T >= 1 - bound / 2)
+
+        found_a, found_b = [], []
+        nodes, cuts = np.unique(p, return_index=True)
+        size = np.diff(np.r_[cuts, len(p)])
+        # nodes that still face most of the other side are taken together, against all of it
+        full = nodes[2 * size >= up]
+        kids = np.concatenate([np.arange(first_a[x], first_a[x + 1]) for x in full.tolist()]) if len(full) else full
+        for at in range(0, len(kids), rows):
+            r, c = near(kids[at : at + rows], slice(None))
+            found_a.append(kids[at : at + rows][r])
+            found_b.append(c)
+        for x, at, k in zip(nodes.tolist(), cuts.tolist(), size.tolist(), strict=True):
+            if 2 * k < up:
+                qs = q[at : at + k]
+                n = first_b[qs + 1] - first_b[qs]
+                theirs = np.arange(int(n.sum())) + np.repeat(first_b[qs] - (np.cumsum(n) - n), n)
+                mine = np.arange(first_a[x], first_a[x + 1])
+                r, c = near(mine, theirs)
+                found_a.append(mine[r])
+                found_b.append(theirs[c])
+        p, q = np.concatenate(found_a), np.concatenate(found_b)
+        order = np.lexsort((q, p))
+        p, q = p[order], q[order]
+    ea, eb = la[-1], lb[-1]
+    weight = ea.sizes[p] * eb.sizes[q]
+    group = np.cumsum(weight) // pairs
+    for at, end in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.r_[np.flatnonzero(np.diff(group, prepend=-1))[1:], len(p)], strict=True):
+        x, y, w = p[at:end], q[at:end], weight[at:end]
+        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        wide = np.repeat(eb.sizes[y], w)
+        yield ea.members[np.repeat(ea.starts[x], w) + nth // wide], eb.members[np.repeat(eb.starts[y], w) + nth % wide]
+
+
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Component labels after adding the links x-y (smallest label wins)."""
+    while True:
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        if not apart.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
 
 
 def meet(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +210,15 @@ def meet(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarra
     shift = 0 if same else len(a)
     total = len(a) + (0 if same else len(b))
     count, label = np.zeros(total, np.int64), np.arange(total)
-    for i, columns in traverse(a, b, float(np.sqrt(max(0.0, 2 - 2 * least)))):
-        hit = columns[b[columns] @ a[i] >= least]
+    for i, j in traverse(a, b, float(np.sqrt(max(0.0, 2 - 2 * least)))):
+        hit = np.einsum("ij,ij->i", a[i], b[j]) >= least
         if same:
-            hit = hit[hit != i]
-        if not len(hit):
-            continue
-        count[i] += copies_b[hit].sum()
+            hit &= i != j
+        i, j = i[hit], j[hit]
+        count += np.bincount(i, copies_b[j], total).astype(np.int64)
         if not same:
-            count[hit + shift] += copies_a[i]
-        ends = np.r_[i, hit + shift]
-        roots = np.unique(label[ends])
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
+            count += np.bincount(j + shift, copies_a[i], total).astype(np.int64)
+        label = joined(label, i, j + shift)
     return count, label
 
 
