@@ -34,8 +34,9 @@ END = 1
 #: Pieces of one group, on average.
 GROUP_PIECES = 4096
 
-#: White space with the word after it: byte-level pre-tokens never cross its ends.
-CHUNK = re.compile(r"\s*\S+|\s+")
+#: White space with the word after it; a word of letters and digits ends before
+#: punctuation. Byte-level pre-tokens never cross these ends.
+CHUNK = re.compile(r"\s*[^\W_]++(?=[.,!?;:\s]|\Z)|\s*\S+|\s+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

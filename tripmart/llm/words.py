@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Distinct words a task remembers; beyond it the memory is emptied and refilled
+#: Distinct words a process remembers; beyond it those met once are forgotten
 #: (bounded memory, same results).
 MAX_WORDS = 400_000
 
@@ -28,23 +28,38 @@ class WordTable:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.values, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.starts, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words met again since they came, at most half of the limit."""
+        often = np.flatnonzero(self.met >= 2)
+        if len(often) > self.limit // 2:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[: self.limit // 2]])
+        names = list(self.index)
+        self.index = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.values, self.lengths = self.gather(often), self.lengths[often]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.met = np.zeros(len(often), np.int64)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Row of each word; new ones are encoded together."""
+        """Row of each word; new ones are encoded together. Rows hold until the
+        next call."""
         index = self.index
         new = list({w: None for w in words if w not in index})
+        if new and index and len(index) + len(new) > self.limit:
+            self._forget()
+            index = self.index
+            new = list({w: None for w in words if w not in index})
         if new:
-            if index and len(index) + len(new) > self.limit:
-                self._clear()
-                index = self.index
-                new = list(dict.fromkeys(words))
             values, lengths = self.encode(new)
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.values = np.concatenate([self.values, values.astype(np.int32)])
             self.lengths = np.concatenate([self.lengths, lengths.astype(np.int64)])
             self.starts = np.cumsum(self.lengths) - self.lengths
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.met += np.bincount(rows, minlength=len(self.met)) if len(rows) else 0
+        return rows
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
         """Values of these rows, end to end."""
