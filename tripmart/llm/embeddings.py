@@ -176,13 +176,15 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512, pairs:
                 r, c = near(mine, theirs)
                 found_a.append(mine[r])
                 found_b.append(theirs[c])
+        if not found_a:
+            return
         p, q = np.concatenate(found_a), np.concatenate(found_b)
         order = np.lexsort((q, p))
         p, q = p[order], q[order]
     ea, eb = la[-1], lb[-1]
     weight = ea.sizes[p] * eb.sizes[q]
-    group = np.cumsum(weight) // pairs
-    for at, end in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.r_[np.flatnonzero(np.diff(group, prepend=-1))[1:], len(p)], strict=True):
+    cuts = np.flatnonzero(np.diff(np.cumsum(weight) // pairs, prepend=-1))
+    for at, end in zip(cuts, [*cuts[1:], len(p)] if len(cuts) else [], strict=True):
         x, y, w = p[at:end], q[at:end], weight[at:end]
         nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         wide = np.repeat(eb.sizes[y], w)
