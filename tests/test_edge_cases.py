@@ -9,7 +9,7 @@ from tripmart.functions.text import strip_whitespace, title_case, trim_spaces
 from tripmart.functions.time import day_name, hour_label, minutes_between, minutes_fractional, month_name, parse_timestamp, weekday_number
 from tripmart.operators import clean as C
 from tripmart.operators.aggregate import count_rows, histogram, rollup_coalesced, rollup_labeled
-from tripmart.operators.join import band_case, band_join, bands_frame
+from tripmart.operators.join import band_case, band_join
 from tripmart.operators.order import field_position, level_rank
 from tripmart.schema import BANDS
 
@@ -98,13 +98,13 @@ def test_band_case_fall_through(spark):
 
 def test_band_join_inclusive_and_drops_outside(spark):
     df = spark.createDataFrame([(1,), (10,), (11,), (99999,), (100000,), (0,)], "m bigint")
-    got = sorted((r["m"], r["name"]) for r in band_join(df, "m", bands_frame(spark, BANDS)).collect())
+    got = sorted((r["m"], r["name"]) for r in band_join(df, "m", BANDS).collect())
     assert got == [(1, "short rides"), (10, "short rides"), (11, "medium rides"), (99999, "long rides")]
 
 
 def test_title_case(spark):
-    df = spark.createDataFrame([("classic_bike",), ("N. CLARK st",), ("foo-bar",)], "s string")
-    assert [r[0] for r in df.select(title_case("s")).collect()] == ["Classic_bike", "N. Clark St", "Foo-bar"]
+    df = spark.createDataFrame([("classic_bike",), ("N. CLARK st",), ("foo-bar",), ("fountain (temp)",), ("o'hare 8th",)], "s string")
+    assert [r[0] for r in df.select(title_case("s")).collect()] == ["Classic_bike", "N. Clark St", "Foo-Bar", "Fountain (Temp)", "O'hare 8th"]
 
 
 def test_trim_variants(spark):

@@ -59,3 +59,24 @@ def test_read_by_name_any_order(spark, tmp_path):
     _write(d, "x.csv", "c,a\n7,1\n")
     rows = S.read_by_name(spark, d, SCHEMA3).collect()
     assert rows[0]["a"] == 1 and rows[0]["c"] == 7
+
+
+def test_far_coordinates_are_clipped_not_lost(spark, tmp_path):
+    from tripmart.operators.clean import R, clean_trips
+    from tripmart.schema import RAW_DOUBLES
+    from tripmart.sources.csv import read_trips
+
+    head = "ride_id,rideable_type,started_at,ended_at,start_station_name,start_station_id,end_station_name,end_station_id,start_lat,start_lng,end_lat,end_lng,member_casual"
+    row = 'x1,classic_bike,1/2/2022 3:4,1/2/2022 3:34,"A ""b"", c",1,B,2,41.12345678901234,-187.5,41.9,122.25,member'
+    (tmp_path / "f.csv").write_text(f"{head}\n{row}\n")
+    got = read_trips(spark, str(tmp_path)).first()
+    assert [str(got[c]) for c in ("start_lat", "start_lng", "end_lng")] == ["41.1234567890", "-99.9999999999", "99.9999999999"]
+    kept = clean_trips(read_trips(spark, str(tmp_path), schema=RAW_DOUBLES), R).collect()
+    assert len(kept) == 1 and kept[0].start_lng == -187.5 and kept[0].start_lat == 41.12345678901234
+
+
+def test_histogram_outside_the_display_range_is_empty(spark):
+    from tripmart.operators.aggregate import histogram
+
+    df = spark.createDataFrame([(60.0,), (75.0,)], "x double")
+    assert histogram(df, "x", show_from=0, show_to=50).collect() == []

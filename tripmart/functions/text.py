@@ -45,10 +45,17 @@ def squish_spaces(c) -> Column:
     return F.regexp_replace(as_col(c), " {2,}", " ")
 
 
+# A word, or what stands between two words.
+_IN_WORD = r"[\p{L}\p{M}\p{N}_]"
+TITLE_PARTS = rf"{_IN_WORD}+(?:['’]{_IN_WORD}+)*|[^\p{{L}}\p{{M}}\p{{N}}_]+"
+
+
 def title_case(c) -> Column:
-    """Lower-case the text, then upper-case the first letter of each
-    space-separated word (``classic_bike`` -> ``Classic_bike``)."""
-    return F.initcap(as_col(c))
+    """Lower-case the text, then upper-case the first letter of each word; a
+    word is a run of letters, marks, digits, underscores and inner apostrophes
+    (``classic_bike`` -> ``Classic_bike``, ``(temp)`` -> ``(Temp)``)."""
+    parts = F.regexp_extract_all(F.lower(as_col(c)), F.lit(TITLE_PARTS), F.lit(0))
+    return F.array_join(F.transform(parts, F.initcap), "")
 
 
 def replace_text(c, fixes: Mapping[str, str]) -> Column:

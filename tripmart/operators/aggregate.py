@@ -236,7 +236,8 @@ def histogram(
         lo = F.greatest(lo, F.lit(int(-(-show_from // width))))  # ceil
     if show_to is not None:
         hi = F.least(hi, F.lit(int(show_to // width)))
-    grid = counts.agg(lo.alias("_lo"), hi.alias("_hi")).select(
+    # no bin within the display range: no rows (a sequence would count down)
+    grid = counts.agg(lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi").select(
         F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias(bin_name)
     )
     return grid.join(counts, bin_name, "left").select(

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tripmart.functions.columns import as_col
 from tripmart.schema import BAND_OTHER, BANDS
 
-# A band table is a literal list; broadcasting it is safe below this size.
-MAX_BANDS = 10_000
-
 
 def bands_frame(spark: SparkSession, bands: Sequence[tuple[str, int, int]] = BANDS) -> DataFrame:
     """The inline ``(name, low_limit, high_limit)`` table, built from
@@ -25,14 +22,11 @@ def bands_frame(spark: SparkSession, bands: Sequence[tuple[str, int, int]] = BAN
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def band_join(df: DataFrame, value: str, bands: DataFrame, n_bands: int = len(BANDS)) -> DataFrame:
+def band_join(df: DataFrame, value: str, bands: Sequence[tuple[str, int, int]] = BANDS) -> DataFrame:
     """Inner range join ``value BETWEEN low_limit AND high_limit`` (inclusive);
-    values in no band vanish. The band table is a short literal list, so it
-    is broadcast and the ride side is never shuffled (nested-loop over the
-    broadcast rows, streaming the rides)."""
-    if n_bands > MAX_BANDS:
-        raise ValueError(f"band table of {n_bands} rows is too large to broadcast")
-    b = F.broadcast(bands)
+    values in no band vanish. The bands are a literal list, never a table, so
+    their size is known; they are broadcast and the ride side is never shuffled."""
+    b = F.broadcast(bands_frame(df.sparkSession, bands))
     return df.join(b, F.col(value).between(b["low_limit"], b["high_limit"]), "inner")
 
 

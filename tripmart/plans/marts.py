@@ -33,7 +33,7 @@ from tripmart.operators.aggregate import (
     share_of_group,
     thousands_label,
 )
-from tripmart.operators.join import band_case, band_join, bands_frame, route_within_bbox
+from tripmart.operators.join import band_case, band_join, route_within_bbox
 from tripmart.operators.order import level_rank, order_by_field, order_by_levels, top_k
 from tripmart.schema import (
     BANDS,
@@ -109,7 +109,7 @@ def band_rollup(spark: SparkSession, trips: DataFrame, bands=BANDS, w: Weights |
     """Rides per duration band (range join) x user type, ROLLUP."""
     keep = [] if w is None else [w.n_len]
     users = trips.select("user_type", F.col(L).alias("total_minutes"), *keep)
-    joined = band_join(users, "total_minutes", bands_frame(spark, bands), len(bands))
+    joined = band_join(users, "total_minutes", bands)
     out = rollup_labeled(
         joined,
         ["name", "user_type"],

@@ -35,7 +35,9 @@ def strip_ws(c: str) -> str:
 
 
 def initcap(c: str) -> str:
-    return f"array_to_string(list_transform(string_split(lower({c}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    word = "[\\p{L}\\p{M}\\p{N}_]"
+    parts = f"{word}+(?:[''’]{word}+)*|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({c}), '{parts}'), lambda w: upper(w[1]) || w[2:]), '')"
 
 
 def minutes(a: str = "started_at", b: str = "ended_at") -> str:

@@ -1,88 +1,19 @@
-"""The SQL script's analysis queries as Spark SQL text over registered views.
-
-``register_views`` cleans the raw trips with the SQL profile and registers
-them as ``work`` (the cleaned table, with ``ride_length`` and
-``day_of_week``) and ``explore_vw`` (the same without ``ride_id``). Each
-entry of ``SQL_QUERIES`` is then plain ``spark.sql`` text - the same
-analyses the DataFrame marts compute, planned by the same optimizer.
-Calendar labels are built from NTZ fields (``month``, ``hour``), never
-through ``date_format`` on a zoned cast, so they do not depend on the
-session time zone.
-"""
+"""Views for users who write their own SQL: ``register_views`` cleans the raw
+trips with the SQL profile and registers them as ``trips`` (the cleaned table,
+with ``ride_length`` and ``day_of_week``) and ``explore_vw`` (the same without
+``ride_id``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tripmart.operators.clean import SQL, clean_trips
-from tripmart.schema import BANDS, HOURS_UNPADDED, MONTHS, SQL_TOTALS, USER_TYPES_SQL, WEEKDAYS
 from tripmart.sources.tables import register_explore_view
 
 
-def _lits(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
 def register_views(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    """Clean ``raw`` (SQL profile) and register ``work`` and ``explore_vw``."""
+    """Clean ``raw`` (SQL profile) and register ``trips`` and ``explore_vw``."""
     trips = clean_trips(raw, SQL)
-    trips.createOrReplaceTempView("work")
+    trips.createOrReplaceTempView("trips")
     register_explore_view(trips)
     return trips
-
-
-_MONTH_NAME = f"element_at(array({_lits(MONTHS)}), month(started_at))"
-_HOUR_LABEL = "concat(cast((hour(started_at) + 11) % 12 + 1 AS STRING), IF(hour(started_at) < 12, ' AM', ' PM'))"
-_BANDS = ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in BANDS)
-_USER = f"IF(GROUPING(user_type) = 1, '{SQL_TOTALS['user']}', user_type)"
-
-SQL_QUERIES: dict[str, str] = {
-    "avg_by_user": f"""
-        SELECT {_USER} AS user_type, ROUND(AVG(ride_length), 2) AS avg_ride_length_min
-        FROM work GROUP BY user_type WITH ROLLUP""",
-    "min_length": "SELECT MIN(ride_length) AS min_ride_length_min FROM work",
-    "max_length": "SELECT MAX(ride_length) AS max_ride_length_min FROM work",
-    "avg_by_weekday": f"""
-        SELECT {_USER} AS user_type,
-               {", ".join(f"AVG(CASE WHEN day_of_week = '{d}' THEN ride_length ELSE NULL END) AS avg_ride_length_{d.lower()}" for d in WEEKDAYS)},
-               AVG(ride_length) AS avg_ride_length_total
-        FROM work GROUP BY user_type WITH ROLLUP""",
-    "count_by_weekday": f"""
-        SELECT {_USER} AS user_type,
-               {", ".join(f"COUNT(CASE WHEN day_of_week = '{d}' THEN 1 ELSE NULL END) AS num_rides_{d.lower()}" for d in WEEKDAYS)},
-               COUNT(*) AS grand_total
-        FROM work GROUP BY user_type WITH ROLLUP""",
-    "band_rollup": f"""
-        SELECT IF(GROUPING(c.name) = 1, '{SQL_TOTALS['band']}', c.name) AS category_name,
-               IF(GROUPING(u.user_type) = 1, '{SQL_TOTALS['user']}', u.user_type) AS user_types,
-               COUNT(u.total_minutes) AS number_of_users
-        FROM (SELECT user_type, ride_length AS total_minutes FROM work) AS u
-        JOIN (VALUES {_BANDS}) AS c(name, low_limit, high_limit)
-          ON u.total_minutes BETWEEN c.low_limit AND c.high_limit
-        GROUP BY c.name, u.user_type WITH ROLLUP
-        ORDER BY category_name DESC""",
-    "month_rollup": f"""
-        SELECT IF(GROUPING(m.month_name) = 1, '{SQL_TOTALS['month']}', m.month_name) AS month,
-               IF(GROUPING(m.user_type) = 1, '{SQL_TOTALS['user']}', m.user_type) AS user_types,
-               COUNT(*) AS number_of_users
-        FROM (SELECT *, {_MONTH_NAME} AS month_name FROM work) AS m
-        GROUP BY m.month_name, m.user_type WITH ROLLUP
-        ORDER BY coalesce(array_position(array({_lits(MONTHS + [SQL_TOTALS['month']])}), month), 0),
-                 coalesce(array_position(array({_lits(USER_TYPES_SQL + [SQL_TOTALS['user']])}), user_types), 0)""",
-    "top_routes": """
-        SELECT start_sta_name, end_sta_name, COUNT(start_sta_name) AS total_rides_occurred
-        FROM work GROUP BY start_sta_name, end_sta_name
-        ORDER BY total_rides_occurred DESC, start_sta_name ASC NULLS FIRST, end_sta_name ASC NULLS FIRST
-        LIMIT 10""",
-    "hour_rollup": f"""
-        SELECT IF(GROUPING(t.hour) = 1, '{SQL_TOTALS['hour']}', t.hour) AS hour_of_the_day, COUNT(*) AS total_rides
-        FROM (SELECT *, {_HOUR_LABEL} AS hour FROM work) AS t
-        GROUP BY t.hour WITH ROLLUP
-        ORDER BY coalesce(array_position(array({_lits(HOURS_UNPADDED + [SQL_TOTALS['hour']])}), hour_of_the_day), 0)""",
-}
-
-
-def run_sql(spark: SparkSession, raw: DataFrame, name: str) -> DataFrame:
-    """Register the views over ``raw`` and run one of ``SQL_QUERIES``."""
-    register_views(spark, raw)
-    return spark.sql(SQL_QUERIES[name])

@@ -26,6 +26,11 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
+# The same with coordinates as doubles, for the profile that keeps every digit.
+RAW_DOUBLES = T.StructType(
+    [T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.DecimalType) else f.dataType) for f in RAW_SCHEMA.fields]
+)
+
 # Cleaned trip table (before ride_length / day_of_week are derived).
 TRIP_SCHEMA = T.StructType(
     [
@@ -55,8 +60,8 @@ RENAMES = {
     "member_casual": "user_type",
 }
 
-# Raw timestamp text pattern (month/day/year hour:minute, 1 or 2 digits).
-TS_PATTERN = "M/d/yyyy H:mm"
+# Raw timestamp text pattern (month/day/year hour:minute, 1 or 2 digits each).
+TS_PATTERN = "M/d/yyyy H:m"
 
 # Declared text widths and the coordinate decimal.
 TEXT_BOUNDS = {

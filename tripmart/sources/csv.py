@@ -20,26 +20,48 @@ from tripmart.schema import RAW_SCHEMA
 CORRUPT = "_corrupt_record"
 
 
+#: How batch and stream read a file.
+CSV_OPTIONS = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "false"}
+
+
 def _reader(spark: SparkSession, header: bool = True):
     return (
         spark.read.option("header", header)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
+        .options(**CSV_OPTIONS)
     )
 
 
+def lossless(schema: T.StructType) -> T.StructType:
+    """``schema`` with its decimals read as doubles: a value that a decimal
+    can't hold would be read as NULL, and cleaning would delete its row."""
+    return T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.DecimalType) else f.dataType) for f in schema.fields])
+
+
+def clip_decimal(c: Column, kind: T.DecimalType) -> Column:
+    """A number as ``kind``: rounded to its scale, out of range the nearest bound."""
+    top = F.lit("9" * (kind.precision - kind.scale) + "." + "9" * kind.scale).cast(kind)
+    bound = float(10 ** (kind.precision - kind.scale))
+    c = c.try_cast("double")
+    return F.when(F.isnan(c), None).when(c >= bound, top).when(c <= -bound, -top).otherwise(F.coalesce(c.try_cast(kind), F.when(c > 0, top).when(c < 0, -top))).cast(kind)
+
+
+def clipped(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Decimals of ``schema`` from the doubles of ``lossless``, clipped."""
+    own = {f.name: clip_decimal(F.col(f.name), f.dataType) for f in schema.fields if isinstance(f.dataType, T.DecimalType)}
+    return df.withColumns(own) if own else df
+
+
 def read_trips(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
     """All files under ``path`` matching ``glob`` in one scan, typed by
-    ``schema`` by position (the header row is skipped, not matched). CRLF and
+    ``schema`` by position (the header row is skipped, not matched). A number
+    beyond a decimal's range is clipped, not lost; pass ``RAW_DOUBLES`` to keep
+    coordinates as they are. CRLF and
     LF line ends are both accepted. Partition folders (``period=...``) add
     their column."""
-    r = _reader(spark).schema(schema).option("enforceSchema", True)
+    r = _reader(spark).schema(lossless(schema)).option("enforceSchema", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.csv(path)
+    return clipped(r.csv(path), schema)
 
 
 def read_ragged(
@@ -67,7 +89,9 @@ def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     cols: list[Column] = []
     for f in schema.fields:
         if f.name in present:
-            cols.append(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            kept = clip_decimal(c, f.dataType) if isinstance(f.dataType, T.DecimalType) else c.try_cast(f.dataType)
+            cols.append(kept.alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     extra = [F.col(f"`{c}`") for c in df.columns if c not in {f.name for f in schema.fields}]

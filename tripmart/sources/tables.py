@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tripmart.functions.text import bounded_text, over_width
 from tripmart.functions.time import parse_timestamp, period
 from tripmart.operators.clean import explore_view
+from tripmart.sources.csv import clip_decimal
 from tripmart.schema import RAW_SCHEMA, TEXT_BOUNDS
 
 ZONES = ("raw", "interim", "marts")
@@ -25,7 +26,7 @@ def zone_path(root: str, zone: str, name: str) -> str:
 
 def bounded(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
     """Apply the declared text widths (truncate) and decimal type (out of
-    range -> NULL) of the typed table."""
+    range -> nearest bound) of the typed table."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -33,7 +34,7 @@ def bounded(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
             c = bounded_text(c, bounds[f.name])
         target = next((g.dataType for g in RAW_SCHEMA.fields if g.name == f.name), None)
         if isinstance(target, T.DecimalType):
-            c = c.try_cast(target)
+            c = clip_decimal(c, target)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -54,6 +55,8 @@ def period_of_start(c: str = "started_at", pattern: str | None = None):
 def write_typed(df: DataFrame, path: str, partition_by: Sequence[str] = ("period",)) -> None:
     """Land a typed table as Parquet partitioned by month (partition pruning
     for month filters; columnar pruning for every mart)."""
+    if partition_by:  # few files per month whatever the input's order
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

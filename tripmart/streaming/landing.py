@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tripmart.functions.time import period
 from tripmart.operators.clean import R, Profile, clean_trips
 from tripmart.schema import RAW_SCHEMA
+from tripmart.sources.csv import CSV_OPTIONS, clipped, lossless
 
 
 def read_trip_stream(
@@ -30,14 +31,15 @@ def read_trip_stream(
     """New CSV files under ``raw_dir`` as a stream (explicit schema, header
     skipped, one file = one month)."""
     r = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(lossless(schema))
         .option("header", True)
         .option("enforceSchema", True)
         .option("pathGlobFilter", glob)
+        .options(**CSV_OPTIONS)
     )
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(raw_dir)
+    return clipped(r.csv(raw_dir), schema)
 
 
 def clean_stream(raw: DataFrame, profile: Profile = R) -> DataFrame:
