@@ -2,7 +2,6 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
 from tripmart.fixtures import raw_trips
 from tripmart.operators import clean as C
@@ -16,7 +15,7 @@ def plan(df) -> str:
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for k, fn in E.queries().items():
+    for k, fn in K.QUERIES.items():
         if k.startswith("s0") or k.startswith("s1"):
             continue  # source keys write files while building; their reads are checked in test_sources
         out[k] = plan(fn(spark, SF_SMALL))
@@ -104,7 +103,7 @@ def test_each_query_scans_the_trip_table_once(spark):
     path = K.use_landed_raw(spark, SF_SMALL)
     name = path.rstrip("/").split("/")[-1]
     try:
-        for k, fn in E.queries().items():
+        for k, fn in K.QUERIES.items():
             if k[:2] in ("s0", "s1"):
                 continue
             p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
