@@ -31,7 +31,7 @@ from tripmart.llm.tables import whole_text
 from tripmart.llm.words import chunks, split_all
 
 #: Bound of the training sample.
-SAMPLE_DOCS, SAMPLE_BYTES = 6000, 32768
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32768
 
 #: Words with a weight of their own, at most.
 MAX_FEATURES = 20000
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
         at = schema.names.index(text_col)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for lo, hi in chunks(texts, 4_000_000):
+            for lo, hi in chunks(texts, 1_000_000):
                 if model is None:
                     own, spans = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                 else:

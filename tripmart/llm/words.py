@@ -11,7 +11,7 @@ import pyarrow as pa
 
 #: Distinct words a process remembers; beyond it those met once are forgotten
 #: (bounded memory, same results).
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 #: Text handled at a time inside an Arrow batch, in code points.
 CHUNK_CHARS = 2_000_000
