@@ -76,9 +76,9 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            for lo, hi in chunks(texts):
-                words, n = split_all(texts[lo:hi], split)
+            keys = batch.column(0)
+            for lo, hi, texts in chunks(batch.column(1)):
+                words, n = split_all(texts, split)
                 at = table.rows(words)
                 total = sums(table.lengths[at], n)
                 ids = np.insert(table.gather(at), np.cumsum(total), END).astype("<u4")

@@ -195,20 +195,30 @@ def _bytes_of_pieces(path: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, ids`` for every whole text; a narrow map, no shuffle."""
+def _texts(of: list[bytes], flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Texts of runs of ``n`` ids."""
+    ends = np.cumsum(n)
+    return pa.array([b"".join([of[i] for i in flat[e - k : e].tolist()]).decode("utf-8", "replace")[1:] for e, k in zip(ends, n, strict=True)], pa.string())
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``id_col, ids`` for every whole text; a narrow map, no shuffle. With
+    ``decoded`` also the text of these ids, from the same map (a map of its own
+    would hold a second Python worker a core)."""
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    schema = rows.select("_id", F.array(F.lit(0)).alias("ids")).schema
+    schema = rows.select("_id", F.array(F.lit(0)).alias("ids"), *([F.lit("").alias("decoded")] if decoded else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, table = lattice(path), _table(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                words, n = split_all(texts[lo:hi], net.r.split)
+            for lo, hi, texts in chunks(batch.column(1)):
+                words, n = split_all(texts, net.r.split)
                 at = table.rows(words)
-                ids = ragged(table.gather(at), sums(table.lengths[at], n), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["_id", "ids"])
+                flat, n = table.gather(at), sums(table.lengths[at], n)
+                cols = [batch.column(0).slice(lo, hi - lo), ragged(flat, n, pa.int32())]
+                if decoded:
+                    cols.append(_texts(_bytes_of_pieces(path), flat, n))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
@@ -224,8 +234,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
             lists = batch.column(batch.schema.get_field_index(ids_col))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             n = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else np.array([len(x or ()) for x in lists.to_pylist()])
-            ends = np.cumsum(n)
-            texts = [b"".join([of[i] for i in flat[e - k : e].tolist()]).decode("utf-8", "replace")[1:] for e, k in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(of, flat, n)], names=[*batch.schema.names, out_col])
 
     return rows.mapInArrow(run, schema)

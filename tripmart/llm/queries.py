@@ -12,7 +12,7 @@ from tripmart.llm import exact_dedup
 from tripmart.llm.embeddings import near_vectors
 from tripmart.llm.exact_dedup import exact_groups
 from tripmart.llm.packing import pack
-from tripmart.llm.pieces import decode, encode
+from tripmart.llm.pieces import encode
 from tripmart.llm.pii import find_private
 from tripmart.llm.quality import score_quality
 from tripmart.llm.sharding import interleave
@@ -66,8 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    both = encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), decoded=True)
     return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

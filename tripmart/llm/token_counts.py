@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,15 +226,14 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table = piece_ranks(model_path), _table(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = np.zeros(len(texts), np.int64)
-            for lo, hi in chunks(texts):
-                words, n = split_all(texts[lo:hi], ranks.split)
+            found = np.zeros(batch.num_rows, np.int64)
+            for lo, hi, texts in chunks(batch.column(1)):
+                words, n = split_all(texts, ranks.split)
                 at = table.rows(words)
                 found[lo:hi] = sums(table.values[at].astype(np.int64), n)
-            size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+            size = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(found), pa.array(found > limit)],
+                [batch.column(0), size, pa.array(found), pa.array(found > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -219,12 +219,11 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = schema.names.index(text_col)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for lo, hi in chunks(texts, 1_000_000):
+            for lo, hi, texts in chunks(batch.column(at)):
                 if model is None:
                     own, spans = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                 else:
-                    own, spans = score_batch(model, texts[lo:hi])
+                    own, spans = score_batch(model, texts)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 cols = [*batch.slice(lo, hi - lo).columns, pa.array(own), pa.array(spans, kind)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)

@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct words a process remembers; beyond it those met once are forgotten
 #: (bounded memory, same results).
 MAX_WORDS = 150_000
 
-#: Text handled at a time inside an Arrow batch, in code points.
-CHUNK_CHARS = 2_000_000
+#: Text handled at a time inside an Arrow batch, in bytes.
+CHUNK_BYTES = 1_000_000
 
 
 class WordTable:
@@ -69,16 +70,18 @@ class WordTable:
         return self.values[at]
 
 
-def chunks(texts: list[str], size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` code points (one long text is its own run)."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs ``(from, to, texts)`` of a text column, of about ``size`` bytes (one
+    long text is its own run); only one run at a time is held as Python strings.
+    Null counts as empty."""
     at, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield at, i
+    for i, k in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if held and held + k > size:
+            yield at, i, [t or "" for t in column.slice(at, i - at).to_pylist()]
             at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        held += k
+    if at < len(column):
+        yield at, len(column), [t or "" for t in column.slice(at).to_pylist()]
 
 
 def split_all(texts: list[str], split: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray]:
