@@ -44,6 +44,10 @@ RADII = (1.0, 0.5, 0.25, 0.125)
 #: A node of so few points is a leaf: it is not refined further.
 LEAF = 32
 
+#: Pairs of vectors compared at a time, and pairs of nodes from which on a node
+#: meets the other side's by one matrix product.
+PAIRS, MANY = 1 << 17, 4096
+
 #: Slack of the pruning bounds for rounding (the bounds are tested in single
 #: precision); links are decided exactly.
 SLACK = 1e-3
@@ -120,23 +124,42 @@ def levels(points: np.ndarray) -> list[Level]:
         above = out[-1]
         if depth > 1 and above.sizes.max() <= LEAF:
             break
-        centre, parent, members, sizes = [], [], [], []
-        for node, (at, size) in enumerate(zip(above.starts.tolist(), above.sizes.tolist(), strict=True)):
-            inside = above.members[at : at + size]
-            if size == 1 or (depth > 1 and size <= LEAF):
-                tops, of = np.array([0]), np.zeros(size, np.int64)
-            else:
-                tops, of = cover(points[inside], radius)
-            order = np.argsort(of, kind="stable")
+        # nodes that stay as they are, all at once; the others are covered one by one
+        split = (above.sizes > 1) & ((depth < 2) | (above.sizes > LEAF))
+        same, members = np.flatnonzero(~split), above.members.copy()
+        centre, parent, sizes = [members[above.starts[same]]], [same], [above.sizes[same]]
+        for node in np.flatnonzero(split).tolist():
+            own = slice(above.starts[node], above.starts[node] + above.sizes[node])
+            inside = above.members[own]
+            tops, of = cover(points[inside], radius)
+            members[own] = inside[np.argsort(of, kind="stable")]
             centre.append(inside[tops])
             parent.append(np.full(len(tops), node))
-            members.append(inside[order])
             sizes.append(np.bincount(of, minlength=len(tops)))
-        out.append(Level(points, *map(np.concatenate, (centre, parent, members, sizes))))
+        parent = np.concatenate(parent)
+        order = np.argsort(parent, kind="stable")
+        out.append(Level(points, np.concatenate(centre)[order], parent[order], members, np.concatenate(sizes)[order]))
     return out
 
 
-def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512, pairs: int = 1_000_000):
+def products(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray, pairs: int = PAIRS):
+    """Yield index arrays of all pairs of two runs each, at most about ``pairs``
+    at a time (the first run of a large pair is taken in parts)."""
+    step = np.maximum(1, pairs // np.maximum(n_b, 1))
+    parts = -(-n_a // step)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first_a, n_a, first_b, n_b, step = (np.repeat(x, parts) for x in (first_a, n_a, first_b, n_b, step))
+    first_a, n_a = first_a + nth * step, np.minimum(step, n_a - nth * step)
+    weight = n_a * n_b
+    cuts = np.flatnonzero(np.diff(np.cumsum(weight) // pairs, prepend=-1))
+    for at, end in zip(cuts, [*cuts[1:], len(weight)] if len(cuts) else [], strict=True):
+        w = weight[at:end]
+        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        wide = np.repeat(n_b[at:end], w)
+        yield np.repeat(first_a[at:end], w) + nth // wide, np.repeat(first_b[at:end], w) + nth % wide
+
+
+def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
     """Yield arrays of candidate pairs (point of a, point of b): those whose nodes
     no level could prune."""
     la = levels(a.astype(np.float32))
@@ -167,28 +190,31 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512, pairs:
             r, c = near(kids[at : at + rows], slice(None))
             found_a.append(kids[at : at + rows][r])
             found_b.append(c)
-        for x, at, k in zip(nodes.tolist(), cuts.tolist(), size.tolist(), strict=True):
-            if 2 * k < up:
-                qs = q[at : at + k]
-                n = first_b[qs + 1] - first_b[qs]
-                theirs = np.arange(int(n.sum())) + np.repeat(first_b[qs] - (np.cumsum(n) - n), n)
-                mine = np.arange(first_a[x], first_a[x + 1])
-                r, c = near(mine, theirs)
-                found_a.append(mine[r])
-                found_b.append(theirs[c])
+        work = np.diff(first_a)[nodes] * np.add.reduceat(np.diff(first_b)[q], cuts)
+        rest = 2 * size < up
+        for x, at, k in zip(*(v[rest & (work >= MANY)].tolist() for v in (nodes, cuts, size)), strict=True):
+            qs = q[at : at + k]
+            n = first_b[qs + 1] - first_b[qs]
+            theirs = np.arange(int(n.sum())) + np.repeat(first_b[qs] - (np.cumsum(n) - n), n)
+            mine = np.arange(first_a[x], first_a[x + 1])
+            r, c = near(mine, theirs)
+            found_a.append(mine[r])
+            found_b.append(theirs[c])
+        few = np.repeat(rest & (work < MANY), size)
+        x, y = p[few], q[few]
+        for mine, theirs in products(first_a[x], first_a[x + 1] - first_a[x], first_b[y], first_b[y + 1] - first_b[y]):
+            bound = np.minimum(ua.radius[mine] + far_b[theirs], 2)
+            hit = np.einsum("ij,ij->i", ua.points[mine], ub.points[theirs]) >= 1 - bound * bound / 2
+            found_a.append(mine[hit])
+            found_b.append(theirs[hit])
         if not found_a:
             return
         p, q = np.concatenate(found_a), np.concatenate(found_b)
         order = np.lexsort((q, p))
         p, q = p[order], q[order]
     ea, eb = la[-1], lb[-1]
-    weight = ea.sizes[p] * eb.sizes[q]
-    cuts = np.flatnonzero(np.diff(np.cumsum(weight) // pairs, prepend=-1))
-    for at, end in zip(cuts, [*cuts[1:], len(p)] if len(cuts) else [], strict=True):
-        x, y, w = p[at:end], q[at:end], weight[at:end]
-        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        wide = np.repeat(eb.sizes[y], w)
-        yield ea.members[np.repeat(ea.starts[x], w) + nth // wide], eb.members[np.repeat(eb.starts[y], w) + nth % wide]
+    for i, j in products(ea.starts[p], ea.sizes[p], eb.starts[q], eb.sizes[q]):
+        yield ea.members[i], eb.members[j]
 
 
 def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
