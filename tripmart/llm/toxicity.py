@@ -36,6 +36,9 @@ SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32768
 #: Words with a weight of their own, at most.
 MAX_FEATURES = 20000
 
+#: Token pairs whose expectations are taken at a time.
+PART = 1 << 17
+
 WORD = re.compile(r"\w+")
 FOLDS = 5
 FLOOR = -12.0  # marginal logit of a text without a token
@@ -89,9 +92,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 25) -> dict | None:
     """CRF and document model from labelled texts (None: one class only)."""
     if len(texts) == 0 or toxic.min() == toxic.max():
         return None
-    flat, n = split_all(texts, words)
     vocabulary: dict[str, int] = {}
-    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in flat), np.int64, len(flat))
+    own = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), np.int32) for t in texts]
+    ids, n = np.concatenate(own).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own))
     doc = np.repeat(np.arange(len(n)), n)
     seen = np.unique(ids * len(n) + doc) if len(ids) else ids
     in_toxic = toxic[seen % len(n)] == 1
@@ -112,19 +115,22 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 25) -> dict | None:
     weight[:] = np.log((tags.mean() + 1e-4) / (1 - tags.mean() + 1e-4)) if len(tags) else FLOOR
     step_w, step_t = np.full(len(weight), 1e-6), np.full((2, 2), 1e-6)
     follow = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
-    pair = (tags[follow].astype(int), tags[follow + 1].astype(int)) if len(follow) else None
+    both = (2 * tags[follow] + tags[follow + 1]).astype(int) if len(follow) else follow
+    seen_pairs = np.bincount(both, minlength=4).reshape(2, 2)
     for _ in range(rounds):  # full-batch adaptive gradient ascent on the likelihood
         emit = weight[feature]
         fore, back = forward_backward(emit, n, trans)
         gain = np.bincount(feature, tags - _sigmoid(fore + back), len(weight)) - 1e-3 * weight
         step_w += gain**2
         weight = weight + 1.0 * gain / np.sqrt(step_w)
-        if pair:
-            ahead = (emit + back)[follow + 1]
-            score = np.stack([[trans[i, j] + i * fore[follow] + j * ahead for j in (0, 1)] for i in (0, 1)])
-            score = np.exp(score - score.max(axis=(0, 1)))
-            expected = (score / score.sum(axis=(0, 1))).sum(axis=2)
-            seen_pairs = np.array([[np.sum((pair[0] == i) & (pair[1] == j)) for j in (0, 1)] for i in (0, 1)], float)
+        if len(follow):
+            expected = np.zeros((2, 2))
+            for lo in range(0, len(follow), PART):
+                at = follow[lo : lo + PART]
+                ahead = emit[at + 1] + back[at + 1]
+                score = np.stack([[trans[i, j] + i * fore[at] + j * ahead for j in (0, 1)] for i in (0, 1)])
+                score = np.exp(score - score.max(axis=(0, 1)))
+                expected += (score / score.sum(axis=(0, 1))).sum(axis=2)
             gain_t = seen_pairs - expected - 1e-3 * trans
             step_t += gain_t**2
             trans = trans + 0.3 * gain_t / np.sqrt(step_t)
