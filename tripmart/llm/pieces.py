@@ -32,8 +32,9 @@ from tripmart.llm.words import WordTable, chunks, ragged, split_all, sums
 #: Pre-tokens over this length are relaxed one position after another.
 LONG = 48
 
-#: Pairs of pieces a process remembers; beyond it the memory is emptied.
-MAX_PAIRS = 1_000_000
+#: Slots for pairs of pieces that a process remembers (a prime), and pairs of
+#: long pre-tokens, whose memory is emptied beyond that.
+SLOTS, MAX_PAIRS = 2_000_003, 100_000
 
 NONE = -(1 << 40)
 
@@ -67,28 +68,38 @@ class Lattice:
         for k, (p, _) in enumerate(kept):
             low[k, : len(p)] = high[k, : len(p)] = [self.code[c] for c in p]
         self.low, self.high = self._keys(low), self._keys(high)
-        self.known: dict[int, bool] = {}
+        self.pair, self.answer = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self.known: dict[int, bool] = {}  # pairs of long pre-tokens
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{2 * self.deep}").ravel()
 
+    def _merged(self, keys: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of each pair gives the pair again."""
+        size = self.r.size
+        merged, n = self.r.merge([self.name[k // size] + self.name[k % size] for k in keys.tolist()])
+        first = np.minimum(np.cumsum(n) - n, len(merged) - 1)
+        second = np.minimum(first + 1, len(merged) - 1)
+        return (n == 2) & (merged[first] * size + merged[second] == keys)
+
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """May piece b follow piece a: merging the characters of both gives the
-        two again. Every pair is merged once per process, new ones together."""
-        known, size = self.known, self.r.size
+        two again. Pairs met before are remembered, one per slot (a later pair of
+        the same slot takes it over); new ones are merged together."""
         out = (a < 0) | (b < 0)
         live = np.flatnonzero(~out)
-        keys = (a[live] * size + b[live]).tolist()
-        new = list({k: None for k in keys if k not in known})
-        if new:
-            if len(known) > MAX_PAIRS:
-                known.clear()
-                new = list(dict.fromkeys(keys))
-            merged, n = self.r.merge([self.name[k // size] + self.name[k % size] for k in new])
-            first = np.minimum(np.cumsum(n) - n, len(merged) - 1)
-            second = np.minimum(first + 1, len(merged) - 1)
-            known.update(zip(new, ((n == 2) & (merged[first] * size + merged[second] == new)).tolist(), strict=True))
-        out[live] = np.fromiter(map(known.__getitem__, keys), bool, len(keys))
+        keys = a[live] * self.r.size + b[live]
+        slot = keys * 0x9E3779B1 % SLOTS
+        got = self.answer[slot]
+        new = np.flatnonzero(self.pair[slot] != keys)
+        if len(new):
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            answer = self._merged(fresh)
+            got[new] = answer[back]
+            slot = fresh * 0x9E3779B1 % SLOTS
+            slot, last = np.unique(slot, return_index=True)
+            self.pair[slot], self.answer[slot] = fresh[last], answer[last]
+        out[live] = got
         return out
 
     def edges(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,12 +150,14 @@ class Lattice:
 
     def _relax_long(self, start, piece, end, offset, last) -> None:
         known, size = self.known, self.r.size
+        if len(known) > MAX_PAIRS:
+            known.clear()
         order = np.argsort(end, kind="stable")
         for s, p, e in zip(start[order].tolist(), piece[order].tolist(), end[order].tolist(), strict=True):
             before = NONE if offset[s] == 0 else int(last[s])
             ok = before < 0 or p < 0 or known.get(before * size + p)
             if ok is None:
-                ok = self.follows(np.array([before]), np.array([p]))[0]
+                ok = known[before * size + p] = bool(self.follows(np.array([before]), np.array([p]))[0])
             if ok:
                 last[e] = p
 
