@@ -70,6 +70,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def floor(far: np.ndarray) -> np.ndarray:
+    """Least cosine of unit vectors no farther apart than ``far``."""
+    far = np.minimum(far, np.float32(2))
+    return 1 - far * far / 2
+
+
 def farthest_first(points: np.ndarray, k: int) -> np.ndarray:
     """Order of k points, each the farthest from those before it: every prefix is
     a level of the tree, with a smaller radius than the one before."""
@@ -168,17 +174,25 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
         low = la if len(la) < len(lb) else lb
         last = low[-1]
         low.append(Level((a if low is la else b).astype(np.float32), last.centre, np.arange(len(last.centre)), last.members, last.sizes))
+    alone = np.float32(reach + SLACK)
     p, q = np.array([0]), np.array([0])
     for depth in range(1, len(la)):
         up, ua, ub = len(lb[depth - 1].centre), la[depth], lb[depth]
         first_a = np.searchsorted(ua.parent, np.arange(len(la[depth - 1].centre) + 1))
         first_b = np.searchsorted(ub.parent, np.arange(up + 1))
-        far_b = ub.radius + np.float32(reach + SLACK)
+        far_b = ub.radius + alone
 
         def near(mine: np.ndarray, theirs: np.ndarray | slice, ua=ua, ub=ub, far_b=far_b) -> tuple[np.ndarray, np.ndarray]:
-            bound = np.minimum(ua.radius[mine][:, None] + far_b[theirs][None, :], 2)
-            bound *= bound
-            return np.nonzero(ua.points[mine] @ ub.points[theirs].T >= 1 - bound / 2)
+            cos = ua.points[mine] @ ub.points[theirs].T
+            mine, theirs = ua.radius[mine], far_b[theirs]
+            balls_a, balls_b = np.flatnonzero(mine > 0), np.flatnonzero(theirs > alone)
+            if 4 * len(balls_a) > len(mine) or 4 * len(balls_b) > len(theirs):
+                return np.nonzero(cos >= floor(mine[:, None] + theirs[None, :]))
+            # most nodes are single vectors: one bound for all, then those of the balls
+            hit = cos >= floor(alone)
+            hit[balls_a] = cos[balls_a] >= floor(mine[balls_a][:, None] + theirs[None, :])
+            hit[:, balls_b] = cos[:, balls_b] >= floor(mine[:, None] + theirs[balls_b][None, :])
+            return np.nonzero(hit)
 
         found_a, found_b = [], []
         nodes, cuts = np.unique(p, return_index=True)
@@ -203,8 +217,7 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
         few = np.repeat(rest & (work < MANY), size)
         x, y = p[few], q[few]
         for mine, theirs in products(first_a[x], first_a[x + 1] - first_a[x], first_b[y], first_b[y + 1] - first_b[y]):
-            bound = np.minimum(ua.radius[mine] + far_b[theirs], 2)
-            hit = np.einsum("ij,ij->i", ua.points[mine], ub.points[theirs]) >= 1 - bound * bound / 2
+            hit = np.einsum("ij,ij->i", ua.points[mine], ub.points[theirs]) >= floor(ua.radius[mine] + far_b[theirs])
             found_a.append(mine[hit])
             found_b.append(theirs[hit])
         if not found_a:
