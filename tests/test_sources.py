@@ -61,6 +61,16 @@ def test_read_by_name_any_order(spark, tmp_path):
     assert rows[0]["a"] == 1 and rows[0]["c"] == 7
 
 
+def test_read_by_name_of_mixed_headers(spark, tmp_path):
+    d = str(tmp_path / "mixed dir")
+    for name, text in {"x.csv": "a,b,c\n1,p,3\n", "y.csv": "c,b,a\r\n6,q,4\r\n", "z.csv": 'a,"b"\n7,r\n', "w.csv": "a,b,c\n"}.items():
+        _write(d, name, text)
+    rows = sorted((r["a"], r["b"], r["c"]) for r in S.read_by_name(spark, d, SCHEMA3).collect())
+    assert rows == [(1, "p", 3), (4, "q", 6), (7, "r", None)]
+    inferred = sorted((r["a"], r["b"], r["c"]) for r in S.read_inferred(spark, d, SCHEMA3).collect())
+    assert inferred == rows
+
+
 def test_far_coordinates_are_clipped_not_lost(spark, tmp_path):
     from tripmart.operators.clean import R, clean_trips
     from tripmart.schema import RAW_DOUBLES

@@ -8,8 +8,10 @@ by-name union exist for files whose columns drift.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,35 +100,54 @@ def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def read_by_name(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
-    """Read files whose header names the columns (any order, any subset):
-    the header gives the order, ``schema`` the types of known names."""
-    base = _reader(spark).option("inferSchema", False)
-    if glob:
-        base = base.option("pathGlobFilter", glob)
-    names = base.csv(path).columns  # header only
-    known = {f.name: f.dataType for f in schema.fields}
-    file_schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-    return base.schema(file_schema).option("enforceSchema", True).csv(path)
+def header_groups(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[tuple[list[str], list[str]]]:
+    """``(column names, files)`` for every distinct header line under ``path``.
+    One distributed text read finds the first line of each file; the driver
+    gets one row per distinct header and the file names, as a scan's own file
+    listing does."""
+    lines = spark.read.options(**({"pathGlobFilter": glob} if glob else {})).text(path)
+    first = (
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
+        .where("at = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "nth").alias("header"))
+    )
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([g.header.lstrip("\ufeff").rstrip("\r")])), [unquote(f) for f in g.files]) for g in groups if g.header.strip()]
 
 
-def read_inferred(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    schema: T.StructType = RAW_SCHEMA,
-    glob: str = "*.csv",
-    sampling_ratio: float | None = None,
-) -> DataFrame:
-    """Type inference over all files (one distributed pass, optionally on a
-    sample of rows), types widened across files, then every column
-    conformed to ``schema`` by name. The explicit schema of ``read_trips``
-    is the default path; this is for files whose types are not known."""
-    r = _reader(spark).option("inferSchema", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if sampling_ratio:
-        r = r.option("samplingRatio", sampling_ratio)
-    return conform(r.csv(path), schema)
+def _group_reader(spark: SparkSession, path: str | Sequence[str], files: Sequence[str]):
+    """Reader for some files of ``path``; its partition folders stay columns."""
+    r = _reader(spark)
+    inside = isinstance(path, str) and not any(f.endswith(path) for f in files)
+    return r.option("basePath", path) if inside else r
+
+
+def read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
+    """Read files whose headers name the columns. Files of one folder may differ
+    in order and subset: each distinct header is one scan with its own column
+    order, and the scans are appended by name (absent columns NULL). ``schema``
+    gives the types of known names (a number beyond a decimal's range is
+    clipped); other columns are text."""
+    known = {f.name: f.dataType for f in schema.fields}
+    frames = []
+    for names, files in header_groups(spark, path, glob):
+        own = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+        rows = _group_reader(spark, path, files).schema(lossless(own)).option("enforceSchema", True).csv(files)
+        frames.append(clipped(rows, own))
+    return union_by_name(frames) if frames else spark.createDataFrame([], schema)
+
+
+def read_inferred(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
+    """Types inferred over all rows of each distinct header's files (one pass
+    each), widened by conforming every column to ``schema`` by name, then
+    appended by name. The explicit schema of ``read_trips`` is the default path;
+    this is for files whose types are not known."""
+    frames = [
+        conform(_group_reader(spark, path, files).option("inferSchema", True).csv(files), schema)
+        for _, files in header_groups(spark, path, glob)
+    ]
+    return union_by_name(frames) if frames else spark.createDataFrame([], schema)
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
