@@ -32,6 +32,9 @@ from tripmart.llm.words import WordTable, chunks, ragged, split_all, sums
 #: Pre-tokens over this length are relaxed one position after another.
 LONG = 48
 
+#: Distinct words a process remembers.
+WORDS = 300_000
+
 #: Slots for pairs of pieces that a process remembers (a prime), and pairs of
 #: long pre-tokens, whose memory is emptied beyond that.
 SLOTS, MAX_PAIRS = 2_000_003, 100_000
@@ -194,7 +197,7 @@ def lattice(path: str) -> Lattice:
 @functools.lru_cache(maxsize=2)
 def _table(path: str) -> WordTable:
     """Words that this process has met, over all its tasks."""
-    return WordTable(lattice(path).encode)
+    return WordTable(lattice(path).encode, WORDS)
 
 
 @functools.lru_cache(maxsize=2)
