@@ -182,3 +182,16 @@ def test_sanitize_keeps_rows_and_columns(edges):
     assert out.where("doc_id = 2").first().text is None
     assert out.where("doc_id = 1").first().text == "The quick brown fox. Mail [EMAIL] or [PHONE]!"
     assert out.where(F.col("doc_id") == 9).first().text.endswith(" 256.1.1.1 [IP].[IP] [EMAIL][EMAIL]")
+
+
+def _terms_told(docs, **how):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    return {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
+            for r in find_private(docs, **how).collect()}
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    rows = [(i, f"Zanzibar office {i * 7} m.x@secret.org") for i in range(3)] + [(100 + i, f"plain office words {i}") for i in range(60)]
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]
+    told = _terms_told(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(told[i] == (["Zanzibar"] if "Zanzibar" in t else []) for i, t in rows)

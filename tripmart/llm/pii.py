@@ -129,18 +129,26 @@ def _nearby(text: Column, base: Column) -> Column:
     return F.flatten(F.transform(base, near))
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """One row of each distinct text."""
+    copied = rows.groupBy("_text_key").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    copied = materialize(copied.select("_text_key", "_first"), "copied")
+    return rows.select("_rid", "_text_key", "_text", "_base").join(copied, "_text_key", "left").where("_first IS NULL OR _first = _rid")
+
+
 def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, support: int) -> DataFrame:
     """``term, entity`` pairs whose term discloses the entity.
 
-    ``found`` has ``_base, _near, _text_key``; ``texts`` has ``_text`` of every
-    document. PMI(t, e) / IC(e) with N documents, n(t) that hold t, and, per
-    entity, different texts n(e) and n(t, e)."""
+    ``found`` has ``_base, _near, _text_key``; ``texts`` has ``_rid,
+    _text_key, _text, _base`` of every document. PMI(t, e) / IC(e) over different
+    texts: N, n(t) that hold t, n(e) and n(t, e)."""
     pairs = found.select("_text_key", F.explode("_near").alias("x")).select("_text_key", "x.term", "x.entity").distinct()
     pairs = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     entities = found.select("_text_key", F.explode("_base").alias("s")).select(
         "_text_key", F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value")).alias("entity")
     )
     entities = entities.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    texts = _texts(texts)
     words = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}_]+"))
     terms = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = texts.agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +173,7 @@ def _with_spans(rows: DataFrame, disclosure: float, support: int) -> tuple[DataF
 
 
 def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = without(docs, "_rid", "_base", "_near", "_spans", "_text", "_text_key")
+    rows = without(docs, "_rid", "_base", "_near", "_spans", "_text", "_text_key", "_first")
     rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", whole_text(text_col))
     rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_text_key", F.xxhash64("_text"))
     near = F.when(F.size("_base") > 0, _nearby(F.col("_text"), F.col("_base"))).otherwise(
