@@ -195,3 +195,16 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     rows += [(1000 + i, rows[0][1]) for i in range(40)]
     told = _terms_told(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(told[i] == (["Zanzibar"] if "Zanzibar" in t else []) for i, t in rows)
+
+
+def test_terms_of_whole_texts(spark):
+    gap = " ".join(f"filler{k % 9}" for k in range(40))
+    rows = [(i, f"Zanzibar {gap} {i * 7} m.x@secret.org {gap} zanzibar") for i in range(3)] + [(100 + i, f"{gap} plain {i}") for i in range(60)]
+    rows += [(200, f"nothing but Zanzibar here {gap}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    here = _terms_told(docs, disclosure=0.8)
+    assert all(here[i] == (["Zanzibar", "zanzibar"] if i < 3 else []) for i, _ in rows)
+    everywhere = _terms_told(docs, disclosure=0.8, everywhere=True)
+    assert everywhere == here | {200: ["Zanzibar"]}
+    clean = {r.doc_id: r.text for r in sanitize(docs, disclosure=0.8, everywhere=True).collect()}
+    assert clean[200] == f"nothing but [TERM] here {gap}" and clean[0] == f"[TERM] {gap} 0 [EMAIL] {gap} [TERM]" and clean[100] == rows[3][1]

@@ -1,16 +1,18 @@
 """Operator 5 [native]: information-theoretic sanitisation of personal data.
 
 Base spans (emails, IP addresses, card and phone numbers) are found in every
-whole text; each distinct value is a protected entity. Terms that stand near an
-entity are counted with it over the corpus, and every term over all documents. A
+whole text; each distinct value is a protected entity. Terms are counted with
+the entities of their whole text, and over all texts; equal texts count once. A
 term discloses an entity if its pointwise mutual information with it reaches the
 share ``disclosure`` of the entity's information content, i.e. if knowing the
 term all but names the entity, and if at least ``support`` different texts show
-the pair. Such terms are spans too wherever they stand near that entity.
+the pair. Every occurrence of such a term in a whole text that holds the entity
+is a span too; with ``everywhere``, in every text, with or without the entity.
 Sanitising generalises base spans to their kind and disclosing terms to a class.
 
-Texts stay where they are: documents without an entity never shuffle; only
-(term, entity) pairs and term counts do, combined before.
+Term counts, (term, text) pairs of texts with an entity and (term, entity) pairs
+shuffle, combined before. Tables of copied texts, disclosing terms and documents
+that hold one are joined by Spark's own choice: while they are small, no text moves.
 
 Defined results: null and empty texts have no spans; repeated rows are rows, but
 equal texts are one piece of evidence; a null ``doc_id`` stays null; an empty
@@ -40,9 +42,6 @@ PATTERNS = {
 }
 TERM = r"\p{L}[\p{L}\p{N}_]{2,}+"
 
-#: Code points before and after an entity that count as near.
-NEAR = 64
-
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -80,12 +79,12 @@ def _validity(kind: str):
     return lambda span: _valid(kind, span["value"])
 
 
-def _found(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
-    """Matches of a pattern with code point offsets: gaps and matches in turn."""
+def _found(text: Column, pattern: str, kind: int, keep=lambda hit: F.lit(True)) -> Column:
+    """Matches of a pattern that ``keep`` takes, with code point offsets: gaps and
+    matches in turn."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    first = F.lit(offset) if isinstance(offset, int) else offset
-    start = F.struct(first.cast("int").alias("at"), _none().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -93,7 +92,7 @@ def _found(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> C
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(
             F.coalesce(end, begin).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
+            F.when(x["hit"].isNull() | ~keep(x["hit"]), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
         )
 
     return F.aggregate(both, start, step, lambda acc: acc["out"])
@@ -109,24 +108,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*own))
 
 
-def _nearby(text: Column, base: Column) -> Column:
-    """Terms near each base span, with the entity; a term cut by the window's
-    edge or inside a base span doesn't count."""
-
-    def near(s: Column) -> Column:
-        width = F.least(s["start"], F.lit(NEAR))
-        left = F.substring(text, s["start"] - width + 1, width)
-        left = F.when(s["start"] > NEAR, F.regexp_replace(left, r"^[\p{L}\p{N}_]+", "")).otherwise(left)
-        right = F.substring(text, s["end"] + 1, F.lit(NEAR))
-        right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"[\p{L}\p{N}_]+$", "")).otherwise(right)
-        terms = F.concat(_found(left, TERM, 4, s["start"] - F.length(left)), _found(right, TERM, 4, s["end"]))
-        terms = F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        entity = F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-        return F.transform(
-            terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term"), entity.alias("entity"))
-        )
+def _masked(text: Column, base: Column) -> Column:
+    """The text with every base span blanked, code point by code point."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    done = F.aggregate(base, start, step)
+    return F.when(F.size(base) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
 
-    return F.flatten(F.transform(base, near))
+def _terms() -> Column:
+    """Distinct terms of the whole text outside its base spans."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_masked(F.col("_text"), F.col("_base")), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _entities() -> Column:
+    return F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -136,50 +137,54 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.select("_rid", "_text_key", "_text", "_base").join(copied, "_text_key", "left").where("_first IS NULL OR _first = _rid")
 
 
-def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, support: int) -> DataFrame:
+def disclosing(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
     """``term, entity`` pairs whose term discloses the entity.
 
-    ``found`` has ``_base, _near, _text_key``; ``texts`` has ``_rid,
-    _text_key, _text, _base`` of every document. PMI(t, e) / IC(e) over different
-    texts: N, n(t) that hold t, n(e) and n(t, e)."""
-    pairs = found.select("_text_key", F.explode("_near").alias("x")).select("_text_key", "x.term", "x.entity").distinct()
-    pairs = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    entities = found.select("_text_key", F.explode("_base").alias("s")).select(
-        "_text_key", F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value")).alias("entity")
-    )
-    entities = entities.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    texts = _texts(texts)
-    words = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}_]+"))
-    terms = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    ``rows`` has ``_rid, _text_key, _text, _base`` of every document. PMI(t, e) /
+    IC(e) over different texts: N, n(t) that hold t, n(e) and n(t, e). As n(t, e)
+    is at most n(e), only terms with n(t) <= n(e) * (N / n(e)) ** (1 -
+    disclosure) can reach the share; no other pairs are made."""
+    texts = _texts(rows)
+    terms = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
     total = texts.agg(F.count(F.lit(1)).alias("n"))
+    held = texts.where(F.size("_base") > 0)
+    named = materialize(held.select("_text_key", F.explode(_entities()).alias("entity")), "entities")
+    entities = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    most = F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - disclosure)) * 1.000001
+    entities = entities.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("n_entity")).withColumn("_most", most)  # one row
+    entities = materialize(entities, "n_entity")
+    bound = entities.agg(F.max("_most").alias("_bound"))
+    terms = terms.crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
+    told = held.select("_text_key", F.explode(_terms()).alias("term")).join(terms, "term")
+    pairs = told.join(named.join(entities, "entity"), "_text_key").where(F.col("n_term") <= F.col("_most"))
+    pairs = pairs.groupBy("term", "entity", "n_term", "n_entity", "n").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     score = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("n") / F.col("n_entity"))
-    return (
-        pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-        .where((F.col("n") > F.col("n_entity")) & (score >= disclosure)).select("term", "entity")
-    )
+    return pairs.where(score >= disclosure).select("term", "entity")
 
 
-def _with_spans(rows: DataFrame, disclosure: float, support: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (``_rid, _base, _near, ...`` written before) without and with an
-    entity, both with ``_spans``."""
-    none = rows.where(F.size("_base") == 0).withColumn("_spans", F.col("_base"))
-    some = rows.where(F.size("_base") > 0)
-    pairs = materialize(disclosing(some, rows, disclosure, support), "pairs")
-    told = some.select("_rid", F.explode("_near").alias("x")).select("_rid", "x.term", "x.entity", "x.start", "x.end").join(pairs, ["term", "entity"])
-    span = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.col("term").alias("value"))
-    told = told.groupBy("_rid").agg(F.collect_set(span).alias("_told"))
-    some = some.join(told, "_rid", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_told", _none())))).drop("_told")
-    return none, some
+def _told_spans() -> Column:
+    """Spans of every occurrence of a term of ``_told`` outside the base spans."""
+    return _found(_masked(F.col("_text"), F.col("_base")), TERM, 4, keep=lambda hit: F.array_contains(F.col("_told"), F.lower(hit)))
+
+
+def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bool) -> DataFrame:
+    """Rows (``_rid, _base, ...`` written before) with ``_spans``."""
+    pairs = materialize(disclosing(rows, disclosure, support), "pairs")
+    if everywhere:
+        told = rows.select("_rid", F.explode(_terms()).alias("term")).join(pairs.select("term").distinct(), "term")
+    else:
+        some = rows.where(F.size("_base") > 0).select("_rid", _entities().alias("_own"), F.explode(_terms()).alias("term"))
+        told = some.join(pairs, "term").where(F.array_contains("_own", F.col("entity")))
+    told = materialize(told.groupBy("_rid").agg(F.collect_set("term").alias("_told")), "told")
+    spans = F.array_sort(F.concat("_base", _told_spans()))
+    return rows.join(told, "_rid", "left").withColumn("_spans", F.when(F.col("_told").isNull(), F.col("_base")).otherwise(spans)).drop("_told")
 
 
 def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = without(docs, "_rid", "_base", "_near", "_spans", "_text", "_text_key", "_first")
+    rows = without(docs, "_rid", "_base", "_told", "_spans", "_text", "_text_key", "_first")
     rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", whole_text(text_col))
     rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_text_key", F.xxhash64("_text"))
-    near = F.when(F.size("_base") > 0, _nearby(F.col("_text"), F.col("_base"))).otherwise(
-        F.expr("CAST(array() AS array<struct<start:int,end:int,term:string,entity:string>>)")
-    )
-    return materialize(rows.withColumn("_near", near), "rows")
+    return materialize(rows.drop(text_col) if text_col == "_raw" else rows, "rows")
 
 
 def _joined(spans: Column) -> Column:
@@ -193,13 +198,12 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3,
+                 everywhere: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``."""
     rows = _prepared(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")), "_raw")
-    none, some = _with_spans(rows, disclosure, support)
-    cols = ["_id", "_base", "_spans"]
-    out = none.select(*cols).unionByName(some.select(*cols))
+    out = _with_spans(rows, disclosure, support, everywhere)
     counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 
@@ -217,10 +221,10 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def sanitize(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def sanitize(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3, everywhere: bool = False) -> DataFrame:
     """``docs`` with every span generalised in ``text_col``; all rows and
     columns stay. Texts without a span are unchanged (null stays null)."""
-    rows = _prepared(docs, text_col)
-    none, some = _with_spans(rows, disclosure, support)
-    some = some.withColumn(text_col, _rewritten(F.col("_text"), F.col("_spans")))
-    return none.select(*rows.columns).unionByName(some.select(*rows.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _with_spans(_prepared(docs, text_col), disclosure, support, everywhere)
+    own = F.col(f"`{text_col}`")
+    clean = F.when(F.size("_spans") > 0, _rewritten(F.col("_text"), F.col("_spans"))).otherwise(own)
+    return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -46,7 +46,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_private(table(spark, sf_dir, "documents"))
+    return find_private(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
