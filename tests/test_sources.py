@@ -90,3 +90,19 @@ def test_histogram_outside_the_display_range_is_empty(spark):
 
     df = spark.createDataFrame([(60.0,), (75.0,)], "x double")
     assert histogram(df, "x", show_from=0, show_to=50).collect() == []
+
+
+def test_job_keeps_far_coordinates_apart(spark, tmp_path):
+    from tripmart.plans.pipeline import main
+
+    head = "ride_id,rideable_type,started_at,ended_at,start_station_name,start_station_id,end_station_name,end_station_id,start_lat,start_lng,end_lat,end_lng,member_casual"
+    rows = [f"x{i},classic_bike,1/2/2022 3:4,1/2/2022 3:34,A{i % 2},1,B,2,41.5,{-122.25 - i % 2},41.9,-87.5,member" for i in range(300)]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "f.csv").write_text("\n".join([head, *rows]) + "\n")
+    main(["--raw", str(raw), "--root", str(tmp_path / "out")])
+    far = {p: {r[0] for r in spark.read.parquet(f"{tmp_path}/out/interim/{p}").select("start_lng").collect()} for p in ("trips_sql", "trips_r")}
+    assert far["trips_r"] == {-122.25, -123.25} and {str(x) for x in far["trips_sql"]} == {"-99.9999999999"}
+    assert spark.read.parquet(f"{tmp_path}/out/marts/popular_routes").count() == 0  # two routes of 150 rides
+    ragged = S.read_ragged(spark, str(raw), keep_corrupt=True, header=True)
+    assert {str(r.start_lng) for r in ragged.collect()} == {"-99.9999999999"}

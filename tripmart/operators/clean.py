@@ -35,8 +35,9 @@ from tripmart.functions.text import (
     trim_spaces,
 )
 from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_timestamp
-from tripmart.schema import RENAMES, TEXT_FIXES
+from tripmart.schema import COORD_COLUMNS, RAW_SCHEMA, RENAMES, TEXT_FIXES
 from tripmart.session import materialize
+from tripmart.sources.csv import clipped
 
 KEY = "ride_id"
 TIME_COLUMNS = ("started_at", "ended_at")
@@ -55,13 +56,14 @@ class Profile:
     fractional: bool = False  # ride_length as DOUBLE minutes instead of BIGINT
     fix_text: bool = False  # literal text fixes (TEXT_FIXES)
     squish: bool = False  # collapse runs of inner spaces
+    clip: bool = False  # coordinates as the declared decimal, out of range the nearest bound
     min_minutes: int = 1
 
     def with_(self, **kw) -> Profile:
         return replace(self, **kw)
 
 
-SQL = Profile(mode="key", trim="spaces")
+SQL = Profile(mode="key", trim="spaces", clip=True)
 R = Profile(mode="row", trim="whitespace", title=True, fractional=True)
 
 
@@ -138,6 +140,12 @@ def rename_raw(raw: DataFrame) -> DataFrame:
     return rename(raw, RENAMES)
 
 
+def clip_coordinates(df: DataFrame) -> DataFrame:
+    """Coordinates that are not decimals yet as the declared decimal, clipped."""
+    own = [f.name for f in df.schema.fields if f.name in COORD_COLUMNS and not isinstance(f.dataType, T.DecimalType)]
+    return clipped(df, T.StructType([f for f in RAW_SCHEMA.fields if f.name in own]))
+
+
 def drop_missing(df: DataFrame, mode: str = "row", key: str = KEY) -> DataFrame:
     """Remove rows with a missing value (row mode), or every row whose key
     has a row with a missing value (key mode)."""
@@ -198,7 +206,7 @@ def min_duration(df: DataFrame, mode: str = "row", minutes: int = 1, key: str =
 
 def sql_stage_parsed(raw: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """SQL order up to the duplicate check: rename -> delete missing by key -> parse."""
-    df = rename_raw(raw)
+    df = clip_coordinates(rename_raw(raw))
     df = delete_by_key(df, missing_predicate(df), KEY, max_broadcast_rows)
     return parse_times(df)
 
@@ -220,6 +228,8 @@ def _key_frames(raw: DataFrame, p: Profile, max_broadcast_rows: int):
     The key table holds B1 (kind 1, trimmed + raw id) and B2 (kind 2,
     trimmed id), keyed on the trimmed id; kind 1 also requires equal raw ids."""
     df = rename_raw(raw)
+    if p.clip:
+        df = clip_coordinates(df)
     fn = trim_spaces if p.trim == "spaces" else strip_whitespace
     # the missing test reads the raw text, so it is taken before parsing
     df = parse_times(df.withColumns({"_miss": missing_predicate(df)}))
@@ -319,7 +329,10 @@ def clean_trips_planned(raw: DataFrame, profile: Profile = R, max_broadcast_rows
         df, small = _clean_key(raw, p, max_broadcast_rows)
         return add_duration(df, p.fractional), not small
     # blank -> NULL then drop-any-NULL keeps exactly the rows the missing test passes
-    df = parse_times(drop_missing(rename_raw(raw), "row"))
+    df = rename_raw(raw)
+    if p.clip:
+        df = clip_coordinates(df)
+    df = parse_times(drop_missing(df, "row"))
     df = trim_text(df, p.trim)
     df = polish_text(df, p)
     df = add_duration(df, p.fractional)
@@ -330,7 +343,10 @@ def clean_trips_stepwise(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
     """Literal step-by-step form of the key-mode pipeline (two anti joins);
     kept as the reference definition the folded plan is tested against."""
     p = profile
-    df = drop_missing(rename_raw(raw), "key")
+    df = rename_raw(raw)
+    if p.clip:
+        df = clip_coordinates(df)
+    df = drop_missing(df, "key")
     df = trim_text(parse_times(df), p.trim)
     df = polish_text(df, p)
     df = min_duration(df, "key", p.min_minutes, KEY, p.fractional)

@@ -128,6 +128,7 @@ def main(argv: list[str] | None = None) -> None:
     (``getOrCreate``); ``spark.checkpoint.dir`` must name shared storage."""
     import argparse
 
+    from tripmart.schema import RAW_DOUBLES
     from tripmart.session import apply_scale_conf, ensure_checkpoint_dir
     from tripmart.sources.csv import read_trips
 
@@ -142,7 +143,7 @@ def main(argv: list[str] | None = None) -> None:
     ensure_checkpoint_dir(spark)
     if args.scale_conf:
         apply_scale_conf(spark)
-    for name, path in sorted(run_pipeline(spark, read_trips(spark, args.raw, glob=args.glob), args.root).items()):
+    for name, path in sorted(run_pipeline(spark, read_trips(spark, args.raw, RAW_DOUBLES, args.glob), args.root).items()):
         print(f"{name}\t{path}")
 
 

@@ -74,14 +74,14 @@ def read_ragged(
     keep_corrupt: bool = False,
 ) -> DataFrame:
     """Rows with too few fields are padded with NULL; extra fields are
-    dropped. With ``keep_corrupt`` the offending line is kept in
+    dropped; a number beyond a decimal's range is clipped. With ``keep_corrupt`` the offending line is kept in
     ``_corrupt_record``."""
     if keep_corrupt:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    r = _reader(spark, header).schema(schema).option("enforceSchema", True)
+    r = _reader(spark, header).schema(lossless(schema)).option("enforceSchema", True)
     if keep_corrupt:
         r = r.option("columnNameOfCorruptRecord", CORRUPT)
-    return r.csv(path)
+    return clipped(r.csv(path), schema)
 
 
 def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:

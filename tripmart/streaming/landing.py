@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripmart.functions.time import period
 from tripmart.operators.clean import R, Profile, clean_trips
-from tripmart.schema import RAW_SCHEMA
+from tripmart.schema import RAW_DOUBLES, RAW_SCHEMA
 from tripmart.sources.csv import CSV_OPTIONS, clipped, lossless
 
 
@@ -60,7 +60,7 @@ def land_trips(
     """Start the landing query: files in ``raw_dir`` -> cleaned Parquet in
     ``out_dir`` partitioned by month; progress in ``checkpoint_dir`` (a
     shared folder, so a restarted driver resumes where it stopped)."""
-    cleaned = clean_stream(read_trip_stream(spark, raw_dir), profile)
+    cleaned = clean_stream(read_trip_stream(spark, raw_dir, RAW_DOUBLES), profile)
     w = (
         cleaned.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint_dir)
