@@ -106,3 +106,12 @@ def test_job_keeps_far_coordinates_apart(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/marts/popular_routes").count() == 0  # two routes of 150 rides
     ragged = S.read_ragged(spark, str(raw), keep_corrupt=True, header=True)
     assert {str(r.start_lng) for r in ragged.collect()} == {"-99.9999999999"}
+
+
+def test_blank_lines_before_a_header(spark, tmp_path):
+    d = str(tmp_path / "blank")
+    for name, text in {"x.csv": "\na,b,c\n1,p,3\n", "y.csv": "  \r\n\r\nc,b,a\r\n6,q,4\r\n", "z.csv": "\n\n", "w.csv": "a,b,c\n7,r,8\n"}.items():
+        _write(d, name, text)
+    want = [(1, "p", 3), (4, "q", 6), (7, "r", 8)]
+    assert sorted((r["a"], r["b"], r["c"]) for r in S.read_by_name(spark, d, SCHEMA3).collect()) == want
+    assert sorted((r["a"], r["b"], r["c"]) for r in S.read_inferred(spark, d, SCHEMA3).collect()) == want

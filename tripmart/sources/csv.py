@@ -102,18 +102,19 @@ def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
 
 def header_groups(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[tuple[list[str], list[str]]]:
     """``(column names, files)`` for every distinct header line under ``path``.
-    One distributed text read finds the first line of each file; the driver
+    One distributed text read finds the first line of each file that is not
+    blank, as the CSV reader does; a file without one has no rows. The driver
     gets one row per distinct header and the file names, as a scan's own file
     listing does."""
     lines = spark.read.options(**({"pathGlobFilter": glob} if glob else {})).text(path)
     first = (
         lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
-        .where("at = 0")
+        .where((F.col("at") == 0) & F.col("value").rlike(r"[^\x00-\x20]"))
         .groupBy("file")
         .agg(F.min_by("value", "nth").alias("header"))
     )
     groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(next(csv.reader([g.header.lstrip("\ufeff").rstrip("\r")])), [unquote(f) for f in g.files]) for g in groups if g.header.strip()]
+    return [(next(csv.reader([g.header.lstrip("\ufeff").rstrip("\r")])), [unquote(f) for f in g.files]) for g in groups]
 
 
 def _group_reader(spark: SparkSession, path: str | Sequence[str], files: Sequence[str]):
