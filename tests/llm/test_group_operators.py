@@ -286,3 +286,11 @@ def test_registered_query_covers_its_table(spark, key):
     name, col = ("embeddings", "vec_id") if key.startswith("op3") else ("documents", "doc_id")
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(col).collect()}
     assert {r[0] for r in out.select(col).collect()} == ids
+
+
+def test_toxic_spans_of_words_that_lower_case_lengthens():
+    model = {"words": {"vilefool": 9.0}, "other": -9.0, "trans": [0.0] * 4, "doc": [1.0, 0.0, 0.0, 0.0]}
+    text = "\u0130stanbul vilefool \u0130"
+    assert toxicity.words(text) == ["i\u0307stanbul", "vilefool", "i\u0307"] and toxicity.words(" ") == []
+    _, spans = toxicity.score_batch(model, [text, ""])
+    assert [[text[s["start"] : s["end"]] for s in own] for own in spans] == [["vilefool"], []]

@@ -45,7 +45,9 @@ FLOOR = -12.0  # marginal logit of a text without a token
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words of the text as it is, each in lower case (a word has no blank)."""
+    found = WORD.findall(text)
+    return " ".join(found).lower().split(" ") if found else found
 
 
 def forward_backward(emit: np.ndarray, n: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +192,6 @@ def _spans(text: str, hot: np.ndarray) -> list[dict]:
     out: list[dict] = []
     last = -2
     found = list(WORD.finditer(text))
-    if len(found) != len(hot):  # lower case split a word differently: no offsets in the text as it is
-        return out
     for i in np.flatnonzero(hot).tolist():
         if i == last + 1 and out:
             out[-1]["end"] = found[i].end()
