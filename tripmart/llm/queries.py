@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from tripmart.llm import exact_dedup
 from tripmart.llm.embeddings import near_vectors
 from tripmart.llm.exact_dedup import exact_groups
+from tripmart.llm.licences import scan_licences
 from tripmart.llm.packing import pack
 from tripmart.llm.pieces import encode
 from tripmart.llm.pii import find_private
 from tripmart.llm.quality import score_quality
+from tripmart.llm.runs import find_runs, periodic_tails, run_report
 from tripmart.llm.sharding import interleave
 from tripmart.llm.simhash import near_groups
 from tripmart.llm.tables import table
 from tripmart.llm.token_counts import count_tokens
 from tripmart.llm.toxicity import score_toxicity
+from tripmart.llm.variants import variant_groups, vocabulary, words_of
 
 
 def tokenizer(name: str) -> str:
@@ -70,6 +73,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(find_runs(periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = words_of(table(spark, sf_dir, "documents"), drop_every=199)
+    return variant_groups(vocabulary(words, least_length=6, least_count=5), least_length=6, ratio=5)
+
+
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents")).drop("notices")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_licence_scan": op13_licence_scan,
 }
 
 ORACLES: dict[str, str] = {
