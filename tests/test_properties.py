@@ -91,17 +91,47 @@ def test_global_sort_is_sorted(raw):
     assert vals == sorted(vals, reverse=True)
 
 
-def test_duplicate_prefilter_is_exact(spark, raw):
+@pytest.mark.parametrize("everything", [False, True])
+def test_key_deletes_at_any_bitmap(spark, monkeypatch, everything):
+    """Random padded, colliding and NULL ids: the folded plan equals the
+    literal one step after the other, also if every row is a candidate."""
+    import random
+
+    if everything:
+        monkeypatch.setattr(C, "hash_bitmap", lambda hashes, **_: lambda h: F.lit(True))
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        k = rng.choice([None, "", "a", " a", "a ", "b", " b ", *[f"k{j}" for j in range(60)]])
+        rows.append((k, rng.choice(["x", "x", "x", None, ""]), f"1/1/2022 10:{rng.randrange(10, 20)}", "1/1/2022 10:20" if rng.random() < 0.8 else "1/1/2022 10:10"))
+    raw = spark.createDataFrame(rows, "ride_id string, rideable_type string, started_at string, ended_at string")
+    for p in (C.SQL, C.R.with_(mode="key")):
+        got, want = C.clean_trips(raw, p), C.clean_trips_stepwise(raw, p)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect())) and 0 < got.count() < 380
+    bad = [r for r in rows if not r[1]]
+    out = C.delete_by_key(raw, F.col("rideable_type").isNull() | (F.col("rideable_type") == "")).collect()
+    gone = {r[0] for r in bad if r[0] is not None}
+    assert sorted(repr(tuple(r)) for r in out) == sorted(repr(r) for r in rows if r[0] not in gone)
+    keys = spark.createDataFrame([("a",), ("zz",), (None,), ("k1",), ("k1",)], "ride_id string")
+    assert sorted(repr(tuple(r)) for r in C.anti_join(raw, keys).collect()) == sorted(repr(r) for r in rows if r[0] not in ("a", "k1"))
+    audit = [tuple(r)[2:] for r in C.key_clean_audit(raw, C.SQL).collect()]
+    missing = C.delete_by_key(C.rename_raw(raw), C.missing_predicate(C.rename_raw(raw))).count()
+    assert audit == [(400, 400), (400, missing), (missing, missing), (missing, missing), (missing, C.clean_trips(raw, C.SQL).count())]
+
+
+@pytest.mark.parametrize("everything", [False, True])
+def test_duplicates_are_exact(spark, raw, monkeypatch, everything):
+    from tripmart.operators import quality
     from tripmart.operators.quality import duplicates
 
+    if everything:
+        monkeypatch.setattr(quality, "hash_bitmap", lambda hashes, **_: lambda h: F.lit(True))
     df = C.r_stage_parsed(raw)
     keys = ["ride_id", "bike_type", "started_at", "ended_at", "start_sta_name", "end_sta_name"]
-    a = duplicates(df, keys, "n", prefilter=True)
-    b = duplicates(df, keys, "n", prefilter=False)
-    c = duplicates(df, keys, "n", prefilter=True, max_broadcast_rows=0)  # above the bound: plain group-by
+    a = duplicates(df, keys, "n")
+    b = df.groupBy(*keys).count().where("count > 1").withColumnRenamed("count", "n")
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert c.exceptAll(b).count() == 0 and b.exceptAll(c).count() == 0
     # NULL parts of a key still group together
     t = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "c")], "x string, y string")
     got = sorted((r.x or "-", r.y or "-", r.n) for r in duplicates(t, ["x", "y"], "n").collect())

@@ -12,19 +12,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripmart.functions.columns import as_col
-from tripmart.schema import MONTHS, TS_PATTERN, WEEKDAYS_SUNDAY_FIRST
+from tripmart.schema import MONTHS, WEEKDAYS_SUNDAY_FIRST
 
 
-def parse_timestamp(c, pattern: str = TS_PATTERN) -> Column:
-    """Parse text to ``TIMESTAMP_NTZ``; input that does not match -> NULL.
+# How the two specifications read "month/day/year hour:minute" text. The text is put
+# behind an ``x``, so a match is what no longer starts with one.
+_NO = r"[^\p{L}\p{N}]"
+TS_PREFIX = r"(?s)^x\s*(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{3,4}|\d{1,2})\s*(\d{1,2})\s*:\s*(\d{1,2}).*$"
+TS_WHOLE = rf"(?s)^x{_NO}*(\d{{1,2}}){_NO}+(\d{{1,2}}){_NO}+(\d{{4}}|\d{{2}}){_NO}+(\d{{1,2}}){_NO}+(\d{{1,2}}){_NO}*$"
 
-    ``try_to_timestamp`` only validates (it never raises); the value comes
-    from ``to_timestamp_ntz`` so a wall-clock time inside a DST gap of the
-    session zone is kept as written.
-    """
-    c = as_col(c)
-    fmt = F.lit(pattern)
-    return F.when(F.try_to_timestamp(c, fmt).isNotNull(), F.to_timestamp_ntz(c, fmt))
+
+def _parsed(c, pattern: str, last_2000: int) -> Column:
+    """One regular expression and one cast; what does not match is NULL. Years of two
+    digits up to ``last_2000`` are of this century."""
+    iso = F.regexp_replace(F.concat(F.lit("x"), as_col(c)), pattern, "$3-$1-$2 $4:$5")
+    tens, ones = divmod(last_2000, 10)
+    early = rf"^([0-{tens - 1}]\d|{tens}[0-{ones}])-"
+    iso = F.regexp_replace(F.regexp_replace(iso, early, "20$1-"), r"^(\d\d)-", "19$1-")
+    return iso.try_cast("timestamp_ntz")
+
+
+def parse_timestamp(c) -> Column:
+    """Text to ``TIMESTAMP_NTZ`` as the SQL script's format reads it: blanks may stand
+    before every part, one or two digits per part, whatever follows the minute is ignored,
+    two-digit years to 69 are 20xx. Anything else is NULL; a wall-clock time inside
+    a DST gap is kept as written."""
+    return _parsed(c, TS_PREFIX, 69)
+
+
+def parse_mdy_hm(c) -> Column:
+    """Text to ``TIMESTAMP_NTZ`` as the R script reads it: any separators that are neither
+    letters nor digits, nothing else after the minute, two-digit years to 68 are
+    20xx. Anything else is NULL."""
+    return _parsed(c, TS_WHOLE, 68)
 
 
 def _elapsed(start, end) -> Column:

@@ -7,12 +7,12 @@ Two cleaning profiles reproduce the two specifications of the reference:
 * ``R``   - drop **by row**, trim all whitespace, title case, fractional minutes.
 
 Plan shape. Row mode is one narrow stage (scan -> project -> filter), no
-shuffle. Key mode has exactly one join over the trip table: both deletes
-(missing values on the raw id, short rides on the trimmed id) are folded
-into one left-anti join keyed on the trimmed id. Its right side holds only
-keys of flagged rows; it is written to the shared checkpoint folder, then
-counted, and broadcast only when that count is under a bound - otherwise
-the join shuffles (sort-merge, AQE splits a hot key on the trip side).
+shuffle. Key mode shuffles ids, not trips: one pass groups (id, flagged) and
+finds the *contested* ids, those of a flagged and of a kept row. A bitmap of
+their hashes (fixed size, ``operators.sketch``) splits the trips in one
+filter: a row whose id is surely not contested stays or goes by its own flag;
+only the candidates are written aside and decided by an exact anti join. NULL
+ids match nothing and pass by. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from tripmart.functions.text import (
     title_case,
     trim_spaces,
 )
-from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_timestamp
+from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_mdy_hm, parse_timestamp
+from tripmart.operators.sketch import hash_bitmap
 from tripmart.schema import COORD_COLUMNS, RAW_SCHEMA, RENAMES, TEXT_FIXES
 from tripmart.session import materialize
 from tripmart.sources.csv import clipped
@@ -44,9 +45,6 @@ TIME_COLUMNS = ("started_at", "ended_at")
 TITLE_COLUMNS = ("bike_type", "start_sta_name", "end_sta_name", "user_type")
 STATION_COLUMNS = ("start_sta_name", "end_sta_name")
 
-# Right sides of key deletes are broadcast only under this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Profile:
@@ -58,23 +56,27 @@ class Profile:
     squish: bool = False  # collapse runs of inner spaces
     clip: bool = False  # coordinates as the declared decimal, out of range the nearest bound
     min_minutes: int = 1
+    marks: tuple[str, ...] = ()  # texts that mean a missing value, besides the empty one
+    mdy: bool = False  # timestamps with any separators, whole text (else "/", " ", ":" and any rest)
 
     def with_(self, **kw) -> Profile:
         return replace(self, **kw)
 
 
 SQL = Profile(mode="key", trim="spaces", clip=True)
-R = Profile(mode="row", trim="whitespace", title=True, fractional=True)
+R = Profile(mode="row", trim="whitespace", title=True, fractional=True, marks=("NA",), mdy=True)
 
 
 # --- predicates ---------------------------------------------------------------
 
 
-def missing_predicate(df: DataFrame, columns=None) -> Column:
+def missing_predicate(df: DataFrame, columns=None, marks=()) -> Column:
     """One OR-reduced test over all (or the given) columns: text is missing
-    when NULL or empty, anything else when NULL. One scan, not one per column."""
+    when NULL, empty or one of ``marks``, anything else when NULL. One scan, not
+    one per column."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     tests = [is_missing(f.name, isinstance(f.dataType, T.StringType)) for f in fields]
+    tests += [F.coalesce(F.col(f.name) == m, F.lit(False)) for f in fields if isinstance(f.dataType, T.StringType) for m in marks]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -91,46 +93,40 @@ def missing_columns(df: DataFrame, columns=None) -> Column:
 # --- key deletion ---------------------------------------------------------------
 
 
-def bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Write ``small`` to the shared checkpoint folder, read it back and say
-    whether it has at most ``max_rows`` rows (counted while writing, not by
-    recomputing the source)."""
-    small, n = materialize(small, "keys", with_count=True)
-    return small, n <= max_rows
+def contested(ids: DataFrame) -> DataFrame:
+    """``_k`` of the ids (``_k, _bad``; one row per trip) that both a bad and a
+    good row own: one group-by of the ids alone, combined before the shuffle."""
+    seen = ids.where(F.col("_k").isNotNull()).groupBy("_k").agg(F.max("_bad").alias("_some"), F.min("_bad").alias("_all"))
+    return seen.where(F.col("_some") & ~F.col("_all")).select("_k")
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint only when its row count is proven
-    under ``max_rows``; otherwise left for a shuffle join (Spark's own
-    size-based broadcast and AQE still apply)."""
-    small, ok = bounded(small, max_rows)
-    return F.broadcast(small) if ok else small
+def _split(df: DataFrame, key: Column, twice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` without the candidate rows for an id of ``twice``, and those rows,
+    written aside. NULL ids are never candidates."""
+    holds = hash_bitmap(twice.select(F.xxhash64("_k").alias("_h")))
+    candidate = key.isNotNull() & holds(F.xxhash64(key))
+    return df.where(~candidate), materialize(df.where(candidate), "candidates")
 
 
-def delete_by_key(
-    df: DataFrame,
-    flagged: Column,
-    key: str = KEY,
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
+def delete_by_key(df: DataFrame, flagged: Column, key: str = KEY) -> DataFrame:
     """``DELETE FROM df WHERE key IN (SELECT key FROM df WHERE flagged)``.
 
     A NULL key is never deleted (``NULL IN (...)`` is not true); a NULL
-    ``flagged`` does not flag. Rows flagged themselves (with a key) are
-    dropped before the join, so only clean rows are shuffled."""
+    ``flagged`` does not flag."""
     k = F.col(key)
     flag = F.coalesce(flagged, F.lit(False))
-    bad = df.filter(flag & k.isNotNull()).select(k.alias(key)).distinct()
-    keep = df.filter(k.isNull() | ~flag)
-    return keep.join(bounded_broadcast(bad, max_broadcast_rows), key, "left_anti")
+    twice = materialize(contested(df.select(k.alias("_k"), flag.alias("_bad"))), "contested")
+    sure, candidates = _split(df.where(k.isNull() | ~flag), k, twice)
+    return sure.unionByName(candidates.join(twice, candidates[key] == twice["_k"], "left_anti"))
 
 
-def anti_join(df: DataFrame, keys: DataFrame, key: str = KEY, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``keys``; NULL keys survive.
-    The distinct key set is written once and broadcast only under a
-    counted bound (else a shuffle join)."""
-    distinct_keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    return df.join(bounded_broadcast(distinct_keys, max_broadcast_rows), key, "left_anti")
+def anti_join(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``keys``; NULL keys survive."""
+    k = F.col(key)
+    own, bad = (d.select(k.alias("_k"), F.lit(x).alias("_bad")) for d, x in ((df, False), (keys, True)))
+    twice = materialize(contested(own.unionByName(bad)), "contested")
+    sure, candidates = _split(df, k, twice)
+    return sure.unionByName(candidates.join(twice, candidates[key] == twice["_k"], "left_anti"))
 
 
 # --- cleaning steps -------------------------------------------------------------
@@ -146,22 +142,36 @@ def clip_coordinates(df: DataFrame) -> DataFrame:
     return clipped(df, T.StructType([f for f in RAW_SCHEMA.fields if f.name in own]))
 
 
-def drop_missing(df: DataFrame, mode: str = "row", key: str = KEY) -> DataFrame:
+def drop_missing(df: DataFrame, mode: str = "row", key: str = KEY, marks=()) -> DataFrame:
     """Remove rows with a missing value (row mode), or every row whose key
     has a row with a missing value (key mode)."""
-    pred = missing_predicate(df)
+    pred = missing_predicate(df, marks=marks)
     if mode == "row":
         return df.filter(~pred)
     return delete_by_key(df, pred, key)
 
 
-def blanks_to_null(df: DataFrame) -> DataFrame:
-    return across(df, is_string, blank_to_null)
+def blanks_to_null(df: DataFrame, marks=()) -> DataFrame:
+    """Empty text, and text equal to one of ``marks``, to NULL."""
+    def step(c):
+        out = blank_to_null(c)
+        for m in marks:
+            out = F.nullif(out, F.lit(m))
+        return out
+
+    return across(df, is_string, step)
 
 
-def parse_times(df: DataFrame, columns=TIME_COLUMNS) -> DataFrame:
-    """Text timestamps -> TIMESTAMP_NTZ in place (same names, same positions)."""
-    return across(df, [c for c in columns if c in df.columns], parse_timestamp)
+def parse_times(df: DataFrame, columns=TIME_COLUMNS, parse=parse_timestamp) -> DataFrame:
+    """Text timestamps -> TIMESTAMP_NTZ in place (same names, same positions).
+    Both come out of one generated row, so every later use (a duration in a filter
+    and in the output) reads the parsed value; Catalyst would otherwise push the
+    filter down with a second copy of the parsers."""
+    own = [c for c in columns if c in df.columns]
+    if not own:
+        return df
+    once = F.inline(F.array(F.struct(*[parse(c).alias(c) for c in own])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own], once).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def trim_text(df: DataFrame, how: str = "spaces") -> DataFrame:
@@ -204,86 +214,70 @@ def min_duration(df: DataFrame, mode: str = "row", minutes: int = 1, key: str =
 # --- whole pipelines --------------------------------------------------------------
 
 
-def sql_stage_parsed(raw: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def sql_stage_parsed(raw: DataFrame) -> DataFrame:
     """SQL order up to the duplicate check: rename -> delete missing by key -> parse."""
     df = clip_coordinates(rename_raw(raw))
-    df = delete_by_key(df, missing_predicate(df), KEY, max_broadcast_rows)
-    return parse_times(df)
+    return parse_times(delete_by_key(df, missing_predicate(df), KEY))
+
+
+def parser(p: Profile):
+    return parse_mdy_hm if p.mdy else parse_timestamp
 
 
 def r_stage_parsed(raw: DataFrame) -> DataFrame:
     """R order up to the duplicate check: rename -> blank to NA -> drop NA -> parse."""
-    df = blanks_to_null(rename_raw(raw))
-    return parse_times(df.na.drop("any"))
-
+    df = blanks_to_null(rename_raw(raw), R.marks)
+    return parse_times(df.na.drop("any"), parse=parse_mdy_hm)
 
-def _key_frames(raw: DataFrame, p: Profile, max_broadcast_rows: int):
-    """Pieces of the key-mode plan: the flagged trip rows and the
-    materialised key table (with its broadcast decision).
 
-    Sequential definition: (1) delete raw ids of rows with a missing value;
-    (2) parse, trim; (3) delete trimmed ids of surviving rows shorter than
-    ``min_minutes``. Folded: a row with an id goes when its raw id is in
-    B1 or its trimmed id is in B2 (B2 built from flagged survivors of B1).
-    The key table holds B1 (kind 1, trimmed + raw id) and B2 (kind 2,
-    trimmed id), keyed on the trimmed id; kind 1 also requires equal raw ids."""
+def _key_flags(raw: DataFrame, p: Profile) -> DataFrame:
+    """The parsed trips with ``_miss``, the trimmed id ``_tid`` and ``_short``."""
     df = rename_raw(raw)
     if p.clip:
         df = clip_coordinates(df)
     fn = trim_spaces if p.trim == "spaces" else strip_whitespace
     # the missing test reads the raw text, so it is taken before parsing
-    df = parse_times(df.withColumns({"_miss": missing_predicate(df)}))
-    df = df.withColumns({"_tid": fn(F.col(KEY)), "_short": F.coalesce(duration_expr(p.fractional) < F.lit(p.min_minutes), F.lit(False))})
-
-    k = F.col(KEY)
-    # One partially aggregated group-by over flagged rows only: per raw id,
-    # m = some row has a missing value (id in B1); s = some row is short.
-    # Ids with s and not m survived step 1, so their trimmed id is in B2.
-    per_id = (
-        df.filter((F.col("_miss") | F.col("_short")) & k.isNotNull())
-        .groupBy(k.alias("_raw"))
-        .agg(F.max("_miss").alias("_m"), F.max("_short").alias("_s"), F.first("_tid").alias("_tid"))
-    )
-    right = per_id.select(
-        F.col("_tid").alias("_rtid"),
-        F.when(F.col("_m"), F.col("_raw")).alias("_rraw"),
-        F.when(F.col("_m"), F.lit(1)).otherwise(F.lit(2)).alias("_kind"),
-    )
-    right, small = bounded(right, max_broadcast_rows)
-    return df, right, small
-
-
-def _clean_key(raw: DataFrame, p: Profile, max_broadcast_rows: int) -> tuple[DataFrame, bool]:
-    """Key mode with a single join over the trip table (see ``_key_frames``).
-    Also says whether the key table was broadcast (else the trips are
-    shuffled by id for a sort-merge join)."""
-    df, right, small = _key_frames(raw, p, max_broadcast_rows)
-    r = F.broadcast(right) if small else right
-    k = F.col(KEY)
-    keep = df.filter(k.isNull() | ~(F.col("_miss") | F.col("_short")))
-    cond = (keep["_tid"] == r["_rtid"]) & ((r["_kind"] == F.lit(2)) | (keep[KEY] == r["_rraw"]))
-    out = keep.join(r, cond, "left_anti").drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
+    df = parse_times(df.withColumns({"_miss": missing_predicate(df, marks=p.marks)}), parse=parser(p))
+    return df.withColumns({"_tid": fn(F.col(KEY)), "_short": F.coalesce(duration_expr(p.fractional) < F.lit(p.min_minutes), F.lit(False))})
+
+
+def _delete_in_turn(df: DataFrame) -> DataFrame:
+    """Both deletes, one after the other, over rows that hold all rows of
+    their trimmed ids: (1) raw ids of rows with a missing value; (2) trimmed
+    ids of what is left that is too short."""
+    bad = df.where("_miss").select(F.col(KEY).alias("_k")).distinct()
+    left = df.where(~F.col("_miss")).join(bad, F.col(KEY) == F.col("_k"), "left_anti")
+    short = left.where("_short").select(F.col("_tid").alias("_k")).distinct()
+    return left.where(~F.col("_short")).join(short, F.col("_tid") == F.col("_k"), "left_anti")
+
+
+def _clean_key(raw: DataFrame, p: Profile) -> DataFrame:
+    """Key mode. Both deletes act inside one trimmed id, so only trimmed ids
+    of a flagged and of a kept row need more than the row's own flags; their
+    rows (flagged ones too) are the candidates, decided in turn."""
+    df = _key_flags(raw, p)
+    flagged = F.col("_miss") | F.col("_short")
+    twice = contested(df.select(F.col("_tid").alias("_k"), flagged.alias("_bad")))
+    sure, candidates = _split(df, F.col("_tid"), twice)
+    out = sure.where(F.col("_tid").isNull() | ~flagged).unionByName(_delete_in_turn(candidates))
+    out = out.drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
     out = out.select(KEY, *[c for c in df.columns if c not in (KEY, "_miss", "_short", "_tid")])
-    out = trim_text(out, p.trim)
-    return polish_text(out, p), small
-
-
-def key_clean_audit(raw: DataFrame, profile: Profile = SQL, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``(step_no, step, rows_in, rows_out)`` of the key-mode chain in one
-    pass: each row's fate (deleted by step 1, by step 3, or kept) comes from
-    two lookups in the key table, then one global aggregate counts them."""
-    df, right, small = _key_frames(raw, profile, max_broadcast_rows)
-    b1 = right.filter(F.col("_kind") == 1).select(F.col("_rraw").alias("_b1"))  # one row per raw id
-    b2 = right.filter(F.col("_kind") == 2).select(F.col("_rtid").alias("_b2")).distinct()
-    if small:
-        b1, b2 = F.broadcast(b1), F.broadcast(b2)
-    flagged = df.join(b1, df[KEY] == b1["_b1"], "left").join(b2, df["_tid"] == b2["_b2"], "left")
-    d1 = F.col("_b1").isNotNull()
-    d2 = ~d1 & F.col("_b2").isNotNull()
-    counts = flagged.agg(
-        F.count(F.lit(1)).alias("n0"),
-        F.count_if(~d1).alias("n1"),
-        F.count_if(~d1 & ~d2).alias("n2"),
+    return polish_text(trim_text(out, p.trim), p)
+
+
+def key_clean_audit(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
+    """``(step_no, step, rows_in, rows_out)`` of the key-mode chain without a
+    join: rows are counted per raw id, raw ids per trimmed id, then all."""
+    df = _key_flags(raw, profile)
+    no_id = F.col(KEY).isNull()
+    per_id = df.groupBy(KEY, "_tid").agg(F.count(F.lit(1)).alias("n"), F.max("_miss").alias("m"), F.max("_short").alias("s"))
+    left = F.when(no_id | ~F.col("m"), F.col("n")).otherwise(0)
+    per_tid = per_id.groupBy("_tid").agg(
+        F.sum("n").alias("n0"), F.sum(left).alias("n1"), F.max(~no_id & ~F.col("m") & F.col("s")).alias("gone")
+    )
+    counts = per_tid.agg(
+        F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"),
+        F.coalesce(F.sum(F.when(F.col("gone"), 0).otherwise(F.col("n1"))), F.lit(0)).alias("n2"),
     )
     steps = [("rename", "n0", "n0"), ("delete_missing", "n0", "n1"), ("parse", "n1", "n1"), ("trim", "n1", "n1"), ("delete_short", "n1", "n2")]
     rows = F.array(*[
@@ -296,9 +290,9 @@ def key_clean_audit(raw: DataFrame, profile: Profile = SQL, max_broadcast_rows:
 def row_clean_audit(raw: DataFrame, profile: Profile = R) -> DataFrame:
     """Row-mode chain audit in one pass (one global aggregate)."""
     df = rename_raw(raw)
-    keep1 = ~missing_predicate(df)
+    keep1 = ~missing_predicate(df, marks=profile.marks)
     dur = F.coalesce(duration_expr(profile.fractional) >= F.lit(profile.min_minutes), F.lit(False))
-    parsed = parse_times(df.withColumn("_keep1", keep1))
+    parsed = parse_times(df.withColumn("_keep1", keep1), parse=parser(profile))
     counts = parsed.agg(
         F.count(F.lit(1)).alias("n0"),
         F.count_if(F.col("_keep1")).alias("n1"),
@@ -312,31 +306,23 @@ def row_clean_audit(raw: DataFrame, profile: Profile = R) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def clean_trips(raw: DataFrame, profile: Profile = R, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def clean_trips(raw: DataFrame, profile: Profile = R) -> DataFrame:
     """Raw trips -> cleaned trips with ``ride_length`` and ``day_of_week``.
 
     Order (both specifications): rename -> missing -> parse -> trim ->
     (title case / text fixes) -> minutes -> minimum duration."""
-    return clean_trips_planned(raw, profile, max_broadcast_rows)[0]
-
-
-def clean_trips_planned(raw: DataFrame, profile: Profile = R, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """``clean_trips`` plus whether its plan shuffles the trips by id (key
-    mode with a key table above the broadcast bound). A writer uses this to
-    rebalance by its partition column only when the input order was lost."""
     p = profile
     if p.mode == "key":
-        df, small = _clean_key(raw, p, max_broadcast_rows)
-        return add_duration(df, p.fractional), not small
+        return add_duration(_clean_key(raw, p), p.fractional)
     # blank -> NULL then drop-any-NULL keeps exactly the rows the missing test passes
     df = rename_raw(raw)
     if p.clip:
         df = clip_coordinates(df)
-    df = parse_times(drop_missing(df, "row"))
+    df = parse_times(drop_missing(df, "row", marks=p.marks), parse=parser(p))
     df = trim_text(df, p.trim)
     df = polish_text(df, p)
     df = add_duration(df, p.fractional)
-    return df.filter(F.col("ride_length") >= F.lit(p.min_minutes)), False
+    return df.filter(F.col("ride_length") >= F.lit(p.min_minutes))
 
 
 def clean_trips_stepwise(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
@@ -346,8 +332,8 @@ def clean_trips_stepwise(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
     df = rename_raw(raw)
     if p.clip:
         df = clip_coordinates(df)
-    df = drop_missing(df, "key")
-    df = trim_text(parse_times(df), p.trim)
+    df = drop_missing(df, "key", marks=p.marks)
+    df = trim_text(parse_times(df, parse=parser(p)), p.trim)
     df = polish_text(df, p)
     df = min_duration(df, "key", p.min_minutes, KEY, p.fractional)
     return add_duration(df, p.fractional)

@@ -9,36 +9,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.operators.clean import BROADCAST_MAX_ROWS, bounded, missing_columns
+from tripmart.operators.clean import missing_columns
+from tripmart.operators.sketch import hash_bitmap
+from tripmart.session import materialize
 
 
-def duplicates(
-    df: DataFrame,
-    keys: Sequence[str],
-    count_name: str = "n",
-    keep_keys: bool = True,
-    prefilter: bool = True,
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
+def duplicates(df: DataFrame, keys: Sequence[str], count_name: str = "n", keep_keys: bool = True) -> DataFrame:
     """Groups of ``keys`` with more than one row (``HAVING COUNT(*) > 1``).
 
     Nearly every key is unique, so a plain group-by would shuffle the full
-    width of every key. With ``prefilter``, a first pass groups an 8-byte
-    hash of the key (partial counts per task), keeps hashes seen more than
-    once, and only rows with such a hash - written once, broadcast under a
-    counted bound - reach the exact group-by (above the bound the plain
-    group-by runs). Hash collisions only add candidates; the exact pass
-    removes them, so the result is exact."""
-    if prefilter:
-        h = F.xxhash64(*[F.col(k) for k in keys])
-        hot = (
-            df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
-            .filter(F.col("_c") > 1).select("_h")
-        )
-        hot, small = bounded(hot, max_broadcast_rows)
-        if small:  # else many duplicates: the plain group-by below is cheaper
-            df = df.withColumn("_h", h).join(F.broadcast(hot), "_h", "left_semi").drop("_h")
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).filter(F.col(count_name) > 1)
+    width of every key. The keys are written once; a first pass groups their
+    8-byte hashes (partial counts per task) and puts those seen more than once
+    in a bitmap of fixed size; only rows whose hash is in it reach the exact
+    group-by. Colliding hashes and bits only add candidates, which the exact
+    pass removes, so the result is exact and the plan the same at every size."""
+    own = materialize(df.select(*keys), "keys")
+    h = F.xxhash64(*[F.col(k) for k in keys])
+    again = own.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    own = own.where(hash_bitmap(again.select("_h"))(h))
+    out = own.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).filter(F.col(count_name) > 1)
     return out if keep_keys else out.select(count_name)
 
 

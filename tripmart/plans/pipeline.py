@@ -17,7 +17,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripmart.operators.clean import BROADCAST_MAX_ROWS, R, SQL, Profile, clean_trips_planned
+from tripmart.operators.clean import R, SQL, Profile, clean_trips
 from tripmart.functions.time import period
 from tripmart.operators.aggregate import Weights
 from tripmart.plans import marts as M
@@ -63,19 +63,14 @@ DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def land_clean(raw: DataFrame, path: str, profile: Profile, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def land_clean(raw: DataFrame, path: str, profile: Profile) -> DataFrame:
     """Clean ``raw`` with ``profile`` and land it as Parquet partitioned by
     the month of the trip start; returns the landed table.
 
-    Normally the cleaned rows keep the month clustering of the landed raw
-    files, so each task writes about one month. When key mode had to
-    shuffle the trips by id, every task would hold every month (a file per
-    task per month); then the rows are rebalanced by month first (AQE sizes
-    the partitions and splits a large month)."""
-    trips, shuffled = clean_trips_planned(raw, profile, max_broadcast_rows)
-    trips = trips.withColumn("period", period("started_at"))
-    if shuffled:
-        trips = trips.hint("rebalance", "period")
+    The cleaned rows keep the month clustering of the landed raw files, so
+    each task writes about one month; the few rows that key mode decided by a
+    join are tasks of their own."""
+    trips = clean_trips(raw, profile).withColumn("period", period("started_at"))
     trips.write.mode("overwrite").partitionBy("period").parquet(path)
     return raw.sparkSession.read.parquet(path)
 

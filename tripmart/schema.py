@@ -60,9 +60,6 @@ RENAMES = {
     "member_casual": "user_type",
 }
 
-# Raw timestamp text pattern (month/day/year hour:minute, 1 or 2 digits each).
-TS_PATTERN = "M/d/yyyy H:m"
-
 # Declared text widths and the coordinate decimal.
 TEXT_BOUNDS = {
     "ride_id": 50,

@@ -46,10 +46,9 @@ def width_violations(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
     return wide.unpivot([], present, "column_name", "too_wide")
 
 
-def period_of_start(c: str = "started_at", pattern: str | None = None):
-    """``YYYYMM`` of the trip start (text or timestamp)."""
-    ts = parse_timestamp(c) if pattern is None else parse_timestamp(c, pattern)
-    return period(ts)
+def period_of_start(c: str = "started_at"):
+    """``YYYYMM`` of the trip start (text)."""
+    return period(parse_timestamp(c))
 
 
 def write_typed(df: DataFrame, path: str, partition_by: Sequence[str] = ("period",)) -> None:
