@@ -115,3 +115,47 @@ def test_blank_lines_before_a_header(spark, tmp_path):
     want = [(1, "p", 3), (4, "q", 6), (7, "r", 8)]
     assert sorted((r["a"], r["b"], r["c"]) for r in S.read_by_name(spark, d, SCHEMA3).collect()) == want
     assert sorted((r["a"], r["b"], r["c"]) for r in S.read_inferred(spark, d, SCHEMA3).collect()) == want
+
+
+def test_types_per_file_widen_by_name(spark, tmp_path):
+    d = str(tmp_path / "types")
+    _write(d, "x.csv", "id,v,n\n007,1.50,1\n008,2,\n")
+    _write(d, "y.csv", "v,id,n\nabc,0a9,3000000000\n,010,x\n")
+    _write(d, "z.csv", "id,v\n011,\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType()), T.StructField("n", T.LongType())])
+    rows = sorted(((r.id, r.v, r.n) for r in S.read_inferred(spark, d, schema).collect()), key=repr)
+    # numbers lose zeros in the files where all ids are numbers, text stays where one is not
+    assert rows == sorted([("7", "1.5", 1), ("8", "2.0", None), ("0a9", "abc", 3000000000), ("010", None, None), ("11", None, None)], key=repr)
+    report = {r.column_name: (r.inferred, r.lost) for r in S.inference_report(spark, d, schema).collect()}
+    assert report == {"id": ("string", 0), "v": ("string", 0), "n": ("string", 1)}
+    empty = str(tmp_path / "none")
+    _write(empty, "n.txt", "x\n")
+    assert S.read_inferred(spark, empty, schema).count() == 0 and S.inference_report(spark, empty, schema).count() == 0
+
+
+def test_headers_read_a_few_lines_per_file(spark, tmp_path):
+    d = str(tmp_path / "large")
+    for k in range(3):
+        _write(d, f"f{k}.csv", "\n\na,b,c\n" + "1,some text here,2\n" * 400_000)
+    (first,) = S.first_lines(spark, d)
+    assert sorted(r.header for r in first.collect()) == ["a,b,c"] * 3
+
+    def scans(node):
+        if node.nodeName().startswith("Scan"):
+            yield node.metrics().apply("numOutputRows").value()
+        below = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        for x in [below] if below else [node.children().apply(i) for i in range(node.children().size())]:
+            yield from scans(x)
+
+    read = list(scans(first._jdf.queryExecution().executedPlan()))
+    assert len(read) == 3 and 9 <= sum(read) < 2000  # of 1,200,009 lines
+    assert [(n, len(f)) for n, f in S.header_groups(spark, d)] == [(["a", "b", "c"], 3)]
+
+
+def test_wider_lines_add_columns(spark, tmp_path):
+    d = str(tmp_path / "wide")
+    _write(d, "x.csv", '1,"x, ""y"",z",3\n4\n5,"q",6,extra,"more, of it"\n')
+    out = S.read_ragged(spark, d, SCHEMA3)
+    assert out.columns == ["a", "b", "c", "V4", "V5"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [(1, 'x, "y",z', 3, None, None), (4, None, None, None, None), (5, "q", 6, "extra", "more, of it")]
+    assert S.read_ragged(spark, d, SCHEMA3, widen=False).columns == ["a", "b", "c"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmart.schema import RAW_SCHEMA
+from tripmart.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -66,16 +67,33 @@ def read_trips(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return clipped(r.csv(path), schema)
 
 
+def field_count(line: Column) -> Column:
+    """Fields of a CSV line: separators outside quotes, plus one."""
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+
+
+def widest(spark: SparkSession, path: str | Sequence[str]) -> int:
+    """Fields of the widest line (0: no lines): one global aggregate over the text."""
+    return spark.read.text(path).agg(F.coalesce(F.max(field_count(F.col("value"))), F.lit(0))).first()[0]
+
+
 def read_ragged(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType = RAW_SCHEMA,
     header: bool = False,
     keep_corrupt: bool = False,
+    widen: bool = True,
 ) -> DataFrame:
-    """Rows with too few fields are padded with NULL; extra fields are
-    dropped; a number beyond a decimal's range is clipped. With ``keep_corrupt`` the offending line is kept in
-    ``_corrupt_record``."""
+    """Rows with too few fields are padded with NULL. With ``widen``, lines with
+    more fields than ``schema`` add text columns (``V14`` for a fourteenth field),
+    NULL elsewhere; without, extra fields are dropped. A number beyond a decimal's
+    range is clipped. With ``keep_corrupt`` a line whose number of fields differs
+    is kept in ``_corrupt_record``."""
+    if widen:
+        more = range(len(schema.fields) + 1, widest(spark, path) + 1)
+        schema = T.StructType(schema.fields + [T.StructField(f"V{i}", T.StringType()) for i in more])
     if keep_corrupt:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     r = _reader(spark, header).schema(lossless(schema)).option("enforceSchema", True)
@@ -100,21 +118,38 @@ def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+#: Larger than any file: a file is one split.
+WHOLE_FILE = 1 << 43
+
+#: Files whose first lines one job reads.
+FILES_A_JOB = 64
+
+
+def first_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[DataFrame]:
+    """``file, header``: the first line of each file that is not blank, as the CSV
+    reader finds it (a file without one has no rows). Every file is a task of its own
+    that stops at that line, so what is read is one buffer per file, not the files.
+    The setting that keeps a file in one split is that of a session of its own."""
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, str(WHOLE_FILE))
+    files = [unquote(f) for f in own.read.options(**({"pathGlobFilter": glob} if glob else {})).text(path).inputFiles()]
+
+    def first(file: str) -> DataFrame:
+        line = own.read.text(file).where(F.col("value").rlike(r"[^\x00-\x20]")).limit(1)
+        return line.select(F.lit(file).alias("file"), F.col("value").alias("header"))
+
+    return [reduce(DataFrame.unionAll, map(first, files[i : i + FILES_A_JOB])) for i in range(0, len(files), FILES_A_JOB)]
+
+
 def header_groups(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[tuple[list[str], list[str]]]:
-    """``(column names, files)`` for every distinct header line under ``path``.
-    One distributed text read finds the first line of each file that is not
-    blank, as the CSV reader does; a file without one has no rows. The driver
-    gets one row per distinct header and the file names, as a scan's own file
-    listing does."""
-    lines = spark.read.options(**({"pathGlobFilter": glob} if glob else {})).text(path)
-    first = (
-        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
-        .where((F.col("at") == 0) & F.col("value").rlike(r"[^\x00-\x20]"))
-        .groupBy("file")
-        .agg(F.min_by("value", "nth").alias("header"))
-    )
-    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(next(csv.reader([g.header.lstrip("\ufeff").rstrip("\r")])), [unquote(f) for f in g.files]) for g in groups]
+    """``(column names, files)`` for every distinct header line under ``path``. The
+    driver gets one row per file, as a scan's own file listing does."""
+    groups: dict[str, list[str]] = {}
+    for some in first_lines(spark, path, glob):
+        for r in some.collect():
+            groups.setdefault(r.header, []).append(r.file)
+    return [(next(csv.reader([h.lstrip("\ufeff").rstrip("\r")])), sorted(files)) for h, files in sorted(groups.items())]
 
 
 def _group_reader(spark: SparkSession, path: str | Sequence[str], files: Sequence[str]):
@@ -124,6 +159,18 @@ def _group_reader(spark: SparkSession, path: str | Sequence[str], files: Sequenc
     return r.option("basePath", path) if inside else r
 
 
+def _by_header(spark: SparkSession, path, glob: str, typed, file: bool = False) -> list[DataFrame]:
+    """One scan per distinct header; ``typed(name)`` gives a column's type."""
+    frames = []
+    for names, files in header_groups(spark, path, glob):
+        own = T.StructType([T.StructField(n, typed(n)) for n in names])
+        rows = _group_reader(spark, path, files).schema(lossless(own)).option("enforceSchema", True).csv(files)
+        if file:
+            rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+        frames.append(clipped(rows, own))
+    return frames
+
+
 def read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
     """Read files whose headers name the columns. Files of one folder may differ
     in order and subset: each distinct header is one scan with its own column
@@ -131,24 +178,79 @@ def read_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
     gives the types of known names (a number beyond a decimal's range is
     clipped); other columns are text."""
     known = {f.name: f.dataType for f in schema.fields}
-    frames = []
-    for names, files in header_groups(spark, path, glob):
-        own = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-        rows = _group_reader(spark, path, files).schema(lossless(own)).option("enforceSchema", True).csv(files)
-        frames.append(clipped(rows, own))
+    frames = _by_header(spark, path, glob, lambda n: known.get(n, T.StringType()))
     return union_by_name(frames) if frames else spark.createDataFrame([], schema)
 
 
+#: Types from narrow to wide; a column of a file has the narrowest one that holds all
+#: its values, columns of several files the widest of theirs.
+LATTICE = ["void", "int", "bigint", "double", "string"]
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def lattice_rank(c: Column) -> Column:
+    """Place in ``LATTICE`` of a value's own narrowest type."""
+    c = c.cast("string")  # partition folders come as numbers
+    whole = c.rlike(r"^[+-]?[0-9]+$")
+    return (
+        F.when(c.isNull() | (c == ""), 0)
+        .when(whole & c.try_cast("int").isNotNull(), 1)
+        .when(whole & c.try_cast("bigint").isNotNull(), 2)
+        .when(c.rlike(NUMBER), 3)
+        .otherwise(4)
+    )
+
+
+def file_types(rows: DataFrame) -> DataFrame:
+    """Per ``_file``, the place in ``LATTICE`` of every other column: one partially
+    aggregated pass over all files."""
+    return rows.groupBy("_file").agg(*[F.max(lattice_rank(F.col(f"`{c}`"))).alias(c) for c in rows.columns if c != "_file"])
+
+
+def inferred_text(rows: DataFrame) -> DataFrame:
+    """Text rows (with ``_file``) as their files' types write them: a column of whole
+    numbers loses leading zeros, one of numbers is written as doubles, text stays."""
+    names = [c for c in rows.columns if c != "_file"]
+    types = materialize(file_types(rows).withColumnsRenamed({c: f"_type {c}" for c in names}), "file-types")
+
+    def written(c: str) -> Column:
+        own, kind = F.col(f"`{c}`"), F.col(f"`_type {c}`")
+        return F.when(kind <= 2, own.try_cast("bigint").cast("string")).when(kind == 3, own.try_cast("double").cast("string")).otherwise(own).alias(c)
+
+    return rows.join(types, "_file").select("_file", *[written(c) for c in names])
+
+
+def _inferred(spark: SparkSession, path, glob: str) -> DataFrame | None:
+    frames = _by_header(spark, path, glob, lambda _: T.StringType(), file=True)
+    return inferred_text(union_by_name(frames)) if frames else None
+
+
 def read_inferred(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
-    """Types inferred over all rows of each distinct header's files (one pass
-    each), widened by conforming every column to ``schema`` by name, then
-    appended by name. The explicit schema of ``read_trips`` is the default path;
-    this is for files whose types are not known."""
-    frames = [
-        conform(_group_reader(spark, path, files).option("inferSchema", True).csv(files), schema)
-        for _, files in header_groups(spark, path, glob)
-    ]
-    return union_by_name(frames) if frames else spark.createDataFrame([], schema)
+    """Types inferred per file over all its rows, widened by appending the files by
+    name, then conformed to ``schema``. ``inference_report`` counts what does not
+    convert. The explicit schema of ``read_trips`` is the default path; this is for
+    files whose types are not known."""
+    rows = _inferred(spark, path, glob)
+    return conform(rows.drop("_file"), schema) if rows is not None else spark.createDataFrame([], schema)
+
+
+def inference_report(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA, glob: str = "*.csv") -> DataFrame:
+    """``column_name, inferred, lost``: the type of each column of ``schema`` over all files
+    and how many of its values have no value of the schema's type (NULL after
+    ``read_inferred``)."""
+    rows = _inferred(spark, path, glob)
+    if rows is None:
+        return spark.createDataFrame([], "column_name string, inferred string, lost long")
+    own = [f for f in schema.fields if f.name in rows.columns]
+    names = F.array(*map(F.lit, LATTICE))
+    wide = rows.agg(*[
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.element_at(names, F.max(lattice_rank(F.col(f.name))) + 1).alias("inferred"),
+            F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast("double" if isinstance(f.dataType, T.DecimalType) else f.dataType).isNull()).alias("lost"),
+        ).alias(f.name) for f in own
+    ])
+    return wide.select(F.inline(F.array(*[F.col(f.name) for f in own])))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -182,8 +284,3 @@ def period_from_file(file_path: Column | None = None) -> Column:
     from_name = F.regexp_extract(p, r"_(\d{6})\.csv$", 1)
     from_dir = F.regexp_extract(p, r"period=(\d{6})/", 1)
     return F.coalesce(F.nullif(from_name, F.lit("")), F.nullif(from_dir, F.lit("")))
-
-
-def with_period(df: DataFrame, name: str = "period") -> DataFrame:
-    """Add the file-name period to a file-based DataFrame."""
-    return df.withColumn(name, period_from_file())
