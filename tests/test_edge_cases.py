@@ -110,8 +110,8 @@ def test_band_join_inclusive_and_drops_outside(spark):
 
 
 def test_title_case(spark):
-    df = spark.createDataFrame([("classic_bike",), ("N. CLARK st",), ("foo-bar",), ("fountain (temp)",), ("o'hare 8th",)], "s string")
-    assert [r[0] for r in df.select(title_case("s")).collect()] == ["Classic_bike", "N. Clark St", "Foo-Bar", "Fountain (Temp)", "O'hare 8th"]
+    df = spark.createDataFrame([("classic_bike",), ("N. CLARK st",), ("foo-bar",), ("fountain (temp)",), ("o'hare 8th",), ("d.c. hall",), ("a.1b x..y",)], "s string")
+    assert [r[0] for r in df.select(title_case("s")).collect()] == ["Classic_bike", "N. Clark St", "Foo-Bar", "Fountain (Temp)", "O'hare 8th", "D.c. Hall", "A.1b X..Y"]
 
 
 def test_trim_variants(spark):
@@ -133,6 +133,15 @@ def test_histogram_display_range_keeps_data(spark):
     assert got == [(1, 2), (2, 0), (3, 0)]
 
 
+def test_histogram_of_a_huge_range(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (2e9,), (-1e9,), (None,)], "x double")
+    got = sorted(tuple(r) for r in histogram(df, "x", 1.0, 0, 4).collect())
+    assert got == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)]
+    wide = histogram(df, "x")  # a distributed range, not one array in one task
+    assert "Range (-1000000000, 2000000001" in wide._jdf.queryExecution().executedPlan().toString()
+    assert histogram(df.where("x > 1e10"), "x").collect() == []
+
+
 def test_label_not_in_list(spark):
     df = spark.createDataFrame([("z",), ("b",), (None,)], "s string")
     rows = df.select(field_position("s", ["a", "b"]).alias("f"), level_rank("s", ["a", "b"]).alias("l")).collect()

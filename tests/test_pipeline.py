@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 from oracle_compare import rows_key
 from tripmart.plans import catalog as K
 from tripmart.plans.pipeline import DERIVED, R_MARTS, SQL_MARTS, run_pipeline
@@ -73,3 +73,43 @@ def test_land_clean_equals_clean_trips_with_broadcast_off(spark, tmp_path):
     direct = C.clean_trips(raw, C.SQL)
     cols = direct.columns
     assert landed.select(*cols).exceptAll(direct).count() == 0 and direct.exceptAll(landed.select(*cols)).count() == 0
+
+
+def test_audit_rides_along_with_the_write(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from tripmart.operators import clean as C
+
+    raw = K.raw(spark, SF_SMALL)
+    for profile in (C.R, C.SQL):
+        seen = Observation()
+        C.clean_trips(raw, profile, audit=seen).write.parquet(str(tmp_path / profile.mode))
+        report = {f"{r.step}/{r.column_name}": r.changed for r in C.value_audit(raw, profile).collect()}
+        assert seen.get == report and report["trim/start_sta_name"] > 0 and report["unread/started_at"] == 0
+
+
+def test_a_failed_run_leaves_the_zones_and_no_scratch(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from tripmart.plans import pipeline as P
+    from tripmart.session import ensure_checkpoint_dir
+
+    root, raw = str(tmp_path / "out"), K.raw(spark, SF_SMALL)
+    scratch = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(scratch))
+    few = {"avg_by_user": P.SQL_MARTS["avg_by_user"], "top_routes": P.SQL_MARTS["top_routes"]}
+    paths = P.run_pipeline(spark, raw, root, few, {})
+    want = sorted(map(tuple, spark.read.parquet(paths["top_routes"]).collect()))
+    assert want and set(os.listdir(scratch)) == before and os.listdir(f"{root}/_staging") == []
+
+    def broken(s, t, w):
+        raise RuntimeError("no such mart")
+
+    with pytest.raises(RuntimeError):
+        P.run_pipeline(spark, raw.limit(3), root, {**few, "broken": broken}, {})
+    assert sorted(map(tuple, spark.read.parquet(paths["top_routes"]).collect())) == want
+    assert set(os.listdir(scratch)) == before and os.listdir(f"{root}/_staging") == []
+    P.run_pipeline(spark, raw.limit(3), root, few, {})  # a later run takes their place
+    assert sorted(map(tuple, spark.read.parquet(paths["top_routes"]).collect())) != want

@@ -19,10 +19,6 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present)
 
 
-def select_columns(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names)
-
-
 def move_after(df: DataFrame, name: str, after: str) -> DataFrame:
     """Reposition column ``name`` right after ``after`` (metadata only)."""
     cols = [c for c in df.columns if c != name]
@@ -66,8 +62,3 @@ def relabel(c, mapping: Mapping[str, str]) -> Column:
         return c
     lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.coalesce(lookup[c], c)
-
-
-def cast_to(c, type_name: str) -> Column:
-    """Cast without raising on bad input (ANSI): unconvertible values -> NULL."""
-    return F.try_cast(as_col(c), type_name) if hasattr(F, "try_cast") else as_col(c).try_cast(type_name)

@@ -45,15 +45,17 @@ def squish_spaces(c) -> Column:
     return F.regexp_replace(as_col(c), " {2,}", " ")
 
 
-# A word, or what stands between two words.
+# A word, or what stands between two words. An apostrophe or a dot between two
+# letters stays inside the word.
 _IN_WORD = r"[\p{L}\p{M}\p{N}_]"
-TITLE_PARTS = rf"{_IN_WORD}+(?:['’]{_IN_WORD}+)*|[^\p{{L}}\p{{M}}\p{{N}}_]+"
+TITLE_PARTS = rf"{_IN_WORD}+(?:(?<=[\p{{L}}\p{{M}}])['’.](?=\p{{L}}){_IN_WORD}+)*|[^\p{{L}}\p{{M}}\p{{N}}_]+"
 
 
 def title_case(c) -> Column:
     """Lower-case the text, then upper-case the first letter of each word; a
-    word is a run of letters, marks, digits, underscores and inner apostrophes
-    (``classic_bike`` -> ``Classic_bike``, ``(temp)`` -> ``(Temp)``)."""
+    word is a run of letters, marks, digits and underscores, and of apostrophes and dots
+    between letters (``classic_bike`` -> ``Classic_bike``, ``(temp)`` -> ``(Temp)``,
+    ``o'hare d.c.`` -> ``O'hare D.c.``)."""
     parts = F.regexp_extract_all(F.lower(as_col(c)), F.lit(TITLE_PARTS), F.lit(0))
     return F.array_join(F.transform(parts, F.initcap), "")
 
@@ -82,8 +84,3 @@ def is_missing(c, is_text: bool = True) -> Column:
 def bounded_text(c, width: int) -> Column:
     """Keep at most ``width`` characters (a ``VARCHAR(width)`` store)."""
     return F.substring(as_col(c), 1, width)
-
-
-def over_width(c, width: int) -> Column:
-    """True when the text does not fit ``VARCHAR(width)``."""
-    return F.coalesce(F.char_length(as_col(c)) > F.lit(width), F.lit(False))

@@ -221,25 +221,21 @@ def histogram(
     dropping data from any bin.
 
     One scan: the per-bin counts (a partial aggregate, at most one row per
-    bin) are written to the shared checkpoint folder, and the bin grid, the
-    display range and the gap-filling join all read that small table. (As
-    one plan, Catalyst would split the counts into separate scans of the
-    input for the min/max and for the filtered counts.) The grid size is
-    bounded by the value range and the display range, not by the row count."""
+    bin) are written to the shared checkpoint folder; the first and last bin (two
+    numbers) come from that table, and the bins between them, within the display
+    range, are a distributed range that the counts join."""
     x = F.col(col)
     b = F.ceil(x / F.lit(width) - F.lit(0.5)).cast("bigint")
     counts = df.where(x.isNotNull()).groupBy(b.alias(bin_name)).agg(F.count(F.lit(1)).alias(count_name))
     counts = materialize(counts, "histogram")
-    lo = F.min(bin_name)
-    hi = F.max(bin_name)
+    lo, hi = counts.agg(F.min(bin_name), F.max(bin_name)).first()
+    if lo is None:
+        return counts
     if show_from is not None:
-        lo = F.greatest(lo, F.lit(int(-(-show_from // width))))  # ceil
+        lo = max(lo, int(-(-show_from // width)))  # ceil
     if show_to is not None:
-        hi = F.least(hi, F.lit(int(show_to // width)))
-    # no bin within the display range: no rows (a sequence would count down)
-    grid = counts.agg(lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi").select(
-        F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias(bin_name)
-    )
+        hi = min(hi, int(show_to // width))
+    grid = df.sparkSession.range(lo, max(lo, hi + 1)).select(F.col("id").alias(bin_name))
     return grid.join(counts, bin_name, "left").select(
         bin_name, F.coalesce(F.col(count_name), F.lit(0).cast("bigint")).alias(count_name)
     )

@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,7 @@ from tripmart.functions.text import (
     trim_spaces,
 )
 from tripmart.functions.time import day_name, minutes_between, minutes_fractional, parse_mdy_hm, parse_timestamp
+from tripmart.operators.audit import Metrics, changed, observed, report
 from tripmart.operators.sketch import hash_bitmap
 from tripmart.schema import COORD_COLUMNS, RAW_SCHEMA, RENAMES, TEXT_FIXES
 from tripmart.session import materialize
@@ -251,18 +252,53 @@ def _delete_in_turn(df: DataFrame) -> DataFrame:
     return left.where(~F.col("_short")).join(short, F.col("_tid") == F.col("_k"), "left_anti")
 
 
-def _clean_key(raw: DataFrame, p: Profile) -> DataFrame:
-    """Key mode. Both deletes act inside one trimmed id, so only trimmed ids
-    of a flagged and of a kept row need more than the row's own flags; their
-    rows (flagged ones too) are the candidates, decided in turn."""
+def _left_by_key(raw: DataFrame, p: Profile) -> DataFrame:
+    """Key mode: the trips that stay, not trimmed yet. Both deletes act inside one
+    trimmed id, so only trimmed ids of a flagged and of a kept row need more than the
+    row's own flags; their rows (flagged ones too) are the candidates, decided in turn."""
     df = _key_flags(raw, p)
     flagged = F.col("_miss") | F.col("_short")
     twice = contested(df.select(F.col("_tid").alias("_k"), flagged.alias("_bad")))
     sure, candidates = _split(df, F.col("_tid"), twice)
     out = sure.where(F.col("_tid").isNull() | ~flagged).unionByName(_delete_in_turn(candidates))
-    out = out.drop("_miss", "_short", KEY).withColumnRenamed("_tid", KEY)
-    out = out.select(KEY, *[c for c in df.columns if c not in (KEY, "_miss", "_short", "_tid")])
-    return polish_text(trim_text(out, p.trim), p)
+    return out.drop("_miss", "_short", "_tid")
+
+
+def _left_by_row(raw: DataFrame, p: Profile) -> DataFrame:
+    """Row mode: the trips without a missing value, parsed, not trimmed yet; those
+    too short are still there."""
+    df = rename_raw(raw)
+    if p.clip:
+        df = clip_coordinates(df)
+    return parse_times(drop_missing(df, "row", marks=p.marks), parse=parser(p))
+
+
+def text_metrics(df: DataFrame, p: Profile) -> Metrics:
+    """How many values each text step changes, by step and column, in the trips that
+    stay; and how many timestamps no pattern reads."""
+    stays = F.lit(True) if p.mode == "key" else F.coalesce(duration_expr(p.fractional) >= F.lit(p.min_minutes), F.lit(False))
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    steps = [("trim", trim_spaces if p.trim == "spaces" else strip_whitespace, text)]
+    if p.title:
+        steps.append(("title_case", title_case, [c for c in TITLE_COLUMNS if c in text]))
+    if p.fix_text:
+        steps.append(("fix_text", lambda c: replace_text(c, TEXT_FIXES), text))
+    if p.squish:
+        steps.append(("squish", squish_spaces, text))
+    out = {("unread", c): F.count_if(F.col(c).isNull()) for c in TIME_COLUMNS if c in df.columns}
+    now = {c: F.col(c) for c in text}
+    for name, fn, columns in steps:
+        for c in columns:
+            then = fn(now[c])
+            out[name, c] = changed(now[c], then, stays)
+            now[c] = then
+    return out
+
+
+def value_audit(raw: DataFrame, profile: Profile = R) -> DataFrame:
+    """``step, column_name, changed`` of a cleaning, in one global aggregate."""
+    left = (_left_by_key if profile.mode == "key" else _left_by_row)(raw, profile)
+    return report(left, text_metrics(left, profile))
 
 
 def key_clean_audit(raw: DataFrame, profile: Profile = SQL) -> DataFrame:
@@ -306,23 +342,18 @@ def row_clean_audit(raw: DataFrame, profile: Profile = R) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def clean_trips(raw: DataFrame, profile: Profile = R) -> DataFrame:
+def clean_trips(raw: DataFrame, profile: Profile = R, audit: Observation | None = None) -> DataFrame:
     """Raw trips -> cleaned trips with ``ride_length`` and ``day_of_week``.
 
     Order (both specifications): rename -> missing -> parse -> trim ->
-    (title case / text fixes) -> minutes -> minimum duration."""
+    (title case / text fixes) -> minutes -> minimum duration. ``audit`` is filled
+    with the counts of ``value_audit`` when the trips are written."""
     p = profile
-    if p.mode == "key":
-        return add_duration(_clean_key(raw, p), p.fractional)
-    # blank -> NULL then drop-any-NULL keeps exactly the rows the missing test passes
-    df = rename_raw(raw)
-    if p.clip:
-        df = clip_coordinates(df)
-    df = parse_times(drop_missing(df, "row", marks=p.marks), parse=parser(p))
-    df = trim_text(df, p.trim)
-    df = polish_text(df, p)
-    df = add_duration(df, p.fractional)
-    return df.filter(F.col("ride_length") >= F.lit(p.min_minutes))
+    df = (_left_by_key if p.mode == "key" else _left_by_row)(raw, p)
+    if audit is not None:
+        df = observed(df, text_metrics(df, p), audit)
+    df = add_duration(polish_text(trim_text(df, p.trim), p), p.fractional)
+    return df if p.mode == "key" else df.filter(F.col("ride_length") >= F.lit(p.min_minutes))
 
 
 def clean_trips_stepwise(raw: DataFrame, profile: Profile = SQL) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripmart.functions.text import blank_to_null
 from tripmart.operators.clean import missing_columns
 from tripmart.operators.sketch import hash_bitmap
 from tripmart.session import materialize
@@ -41,5 +42,5 @@ def blank_counts(df: DataFrame, column_name: str = "column_name", count_name: st
     """Per text column, how many values are the empty string (turned into
     NULL by the blank-to-NULL step). One aggregate, then unpivot."""
     text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    wide = df.agg(*[F.count_if(F.col(c) == F.lit("")).alias(c) for c in text])
+    wide = df.agg(*[F.count_if(F.col(c).isNotNull() & blank_to_null(c).isNull()).alias(c) for c in text])
     return wide.unpivot([], text, column_name, count_name)

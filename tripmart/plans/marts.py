@@ -79,15 +79,6 @@ def max_length(trips: DataFrame, w: Weights | None = None) -> DataFrame:
     return trips.agg(F.max(L if w is None else w.max_len).alias("max_ride_length_min"))
 
 
-def length_summary(trips: DataFrame) -> DataFrame:
-    """M1-M3 fused into one scan: overall mean, min and max."""
-    return trips.agg(
-        F.avg(L).alias("avg_ride_length_min"),
-        F.min(L).alias("min_ride_length_min"),
-        F.max(L).alias("max_ride_length_min"),
-    )
-
-
 def avg_by_weekday(trips: DataFrame, total: str = SQL_TOTALS["user"], w: Weights | None = None) -> DataFrame:
     """M4: mean ride length, user type x weekday, wide, with total row and
     column - one conditional mean per weekday inside the same aggregate."""
@@ -249,8 +240,10 @@ def user_bike_tree(
 
 
 def length_histogram(trips: DataFrame, width: float = 1.0, show_from: float | None = 0, show_to: float | None = 50) -> DataFrame:
-    """Histogram of ride length, width 1, shown 0-50, with empty bins."""
-    return histogram(trips, L, width, show_from, show_to, "ride_length_bin", "total_rides")
+    """Histogram of ride length, width 1, shown 0-50, with empty bins; the
+    count also as the axis shows it."""
+    out = histogram(trips, L, width, show_from, show_to, "ride_length_bin", "total_rides")
+    return out.withColumn("total_rides_k", thousands_label("total_rides"))
 
 
 def _count(w: Weights | None):
@@ -269,8 +262,10 @@ def monthly_trend(trips: DataFrame, w: Weights | None = None) -> DataFrame:
 
 
 def weekday_bars(trips: DataFrame, w: Weights | None = None) -> DataFrame:
-    """Rides per weekday x user type, Monday-first rank."""
+    """Rides per weekday x user type, Monday-first rank; the count also as
+    the axis shows it."""
     out = trips.groupBy("day_of_week", "user_type").agg(_count(w).alias("total_rides"))
+    out = out.withColumn("total_rides_k", thousands_label("total_rides"))
     return out.withColumn("day_rank", level_rank("day_of_week", WEEKDAYS)).orderBy(
         F.col("day_rank").asc_nulls_last(), "user_type"
     )

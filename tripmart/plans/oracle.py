@@ -35,9 +35,13 @@ def strip_ws(c: str) -> str:
 
 
 def initcap(c: str) -> str:
-    word = "[\\p{L}\\p{M}\\p{N}_]"
-    parts = f"{word}+(?:[''’]{word}+)*|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+"
-    return f"array_to_string(list_transform(regexp_extract_all(lower({c}), '{parts}'), lambda w: upper(w[1]) || w[2:]), '')"
+    """Letter by letter: upper case unless the one before is part of the same word, or
+    is an apostrophe or dot that itself follows a letter."""
+    low = f"lower({c})"
+    inside = f"regexp_matches({low}[i - 1], '[\\p{{L}}\\p{{M}}\\p{{N}}_]')"
+    joined = f"(contains(chr(39) || '’.', {low}[i - 1]) AND {low}[i - 1] <> '' AND regexp_matches({low}[i - 2], '[\\p{{L}}\\p{{M}}]'))"
+    letter = f"CASE WHEN i > 1 AND ({inside} OR (i > 2 AND {joined})) THEN {low}[i] ELSE upper({low}[i]) END"
+    return f"CASE WHEN {c} IS NOT NULL THEN array_to_string(list_transform(range(1, length({c}) + 1), lambda i: {letter}), '') END"
 
 
 def minutes(a: str = "started_at", b: str = "ended_at") -> str:

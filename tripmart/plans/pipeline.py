@@ -13,6 +13,7 @@ instead of recomputing the cleaning.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from tripmart.functions.time import period
 from tripmart.operators.aggregate import Weights
 from tripmart.plans import marts as M
 from tripmart.plans.summary import W, trip_summary
+from tripmart.session import publish, remove, run_scratch
 from tripmart.sources.tables import period_of_start, write_typed, zone_path
 
 Mart = Callable[[SparkSession, DataFrame, Weights | None], DataFrame]
@@ -89,30 +91,50 @@ def run_pipeline(
     instead of three parses of the source files. Then per profile: land the
     cleaned table (interim), summarise it in one scan (interim, a few
     thousand rows), and write every mart (marts): count / mean marts from
-    the summary, trip-level marts from the table. Returns name -> path."""
-    paths: dict[str, str] = {}
+    the summary, trip-level marts from the table. Returns name -> path.
+
+    All of it is written under ``<root>/_staging/<run>`` and moved into the zones when
+    everything is there, so a run that fails leaves the zones as they were. The run's
+    staging and scratch folders are removed in either case."""
+    staging = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex[:12]}"
+    try:
+        with run_scratch(spark):
+            staged = _build(spark, raw, staging, sql_marts, r_marts, land_raw)
+        paths = {}
+        for name, (zone, path) in staged.items():
+            paths[name] = zone_path(root, zone, name)
+            publish(spark, path, paths[name])
+    finally:
+        remove(spark, staging)
+    return paths
+
+
+def _build(spark, raw, staging, sql_marts, r_marts, land_raw) -> dict[str, tuple[str, str]]:
+    """Every table of the job under ``staging``: name -> (zone, path)."""
+    out: dict[str, tuple[str, str]] = {}
+
+    def place(zone: str, name: str) -> str:
+        out[name] = (zone, zone_path(staging, zone, name))
+        return out[name][1]
+
     if land_raw:
-        paths["raw_typed"] = zone_path(root, "interim", "raw_typed")
-        write_typed(raw.withColumn("period", period_of_start("started_at")), paths["raw_typed"])
-        raw = spark.read.parquet(paths["raw_typed"]).drop("period")
+        path = place("interim", "raw_typed")
+        write_typed(raw.withColumn("period", period_of_start("started_at")), path)
+        raw = spark.read.parquet(path).drop("period")
     for name, profile, marts in (("trips_sql", SQL, sql_marts), ("trips_r", R, r_marts)):
         if not marts:
             continue
-        paths[name] = zone_path(root, "interim", name)
-        trips = land_clean(raw, paths[name], profile)
-        summary_name = name.replace("trips", "summary")
-        paths[summary_name] = zone_path(root, "interim", summary_name)
-        trip_summary(trips).write.mode("overwrite").parquet(paths[summary_name])
-        summary = spark.read.parquet(paths[summary_name])
+        trips = land_clean(raw, place("interim", name), profile)
+        path = place("interim", name.replace("trips", "summary"))
+        trip_summary(trips).write.mode("overwrite").parquet(path)
+        summary = spark.read.parquet(path)
         for mart, fn in marts.items():
-            paths[mart] = zone_path(root, "marts", mart)
             df = fn(spark, trips, None) if mart in TRIP_LEVEL else fn(spark, summary, W)
-            df.write.mode("overwrite").parquet(paths[mart])
+            df.write.mode("overwrite").parquet(place("marts", mart))
         for mart, (source, fn) in DERIVED.items():
             if source in marts:
-                paths[mart] = zone_path(root, "marts", mart)
-                fn(spark.read.parquet(paths[source])).write.mode("overwrite").parquet(paths[mart])
-    return paths
+                fn(spark.read.parquet(out[source][1])).write.mode("overwrite").parquet(place("marts", mart))
+    return out
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -89,10 +91,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local
     on a cluster, because the folder comes from the cluster's settings)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = _RUN.get() or ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Scratch folder of the run under way (see ``run_scratch``).
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours in shared storage, if it is there."""
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
+def publish(spark: SparkSession, staged: str, final: str) -> None:
+    """Put a written folder in the place of ``final``."""
+    fs, source = _files(spark, staged)
+    _, target = _files(spark, final)
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {staged} to {final}")
+
+
+@contextmanager
+def run_scratch(spark: SparkSession):
+    """Scratch tables made inside go to one folder of the shared checkpoint folder,
+    removed at the end, also after an error. Frames that read them must have been
+    written by then."""
+    path = scratch_path(spark, "run")
+    mark = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(mark)
+        remove(spark, path)
+
+
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmart.functions.text import bounded_text, over_width
+from tripmart.functions.text import bounded_text
 from tripmart.functions.time import parse_timestamp, period
 from tripmart.operators.clean import explore_view
 from tripmart.sources.csv import clip_decimal
@@ -26,7 +26,7 @@ def zone_path(root: str, zone: str, name: str) -> str:
 
 def bounded(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
     """Apply the declared text widths (truncate) and decimal type (out of
-    range -> nearest bound) of the typed table."""
+    range -> nearest bound) of the typed table. ``audit.load_metrics`` counts both."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -39,13 +39,6 @@ def bounded(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
     return df.select(*cols)
 
 
-def width_violations(df: DataFrame, bounds=TEXT_BOUNDS) -> DataFrame:
-    """Per bounded column, how many values are wider than declared."""
-    present = [c for c in bounds if c in df.columns]
-    wide = df.agg(*[F.count_if(over_width(c, bounds[c])).alias(c) for c in present])
-    return wide.unpivot([], present, "column_name", "too_wide")
-
-
 def period_of_start(c: str = "started_at"):
     """``YYYYMM`` of the trip start (text)."""
     return period(parse_timestamp(c))
