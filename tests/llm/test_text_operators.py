@@ -61,6 +61,24 @@ def test_encoding_of_prose(many, sp):
         assert list(r.ids) == sp.encode(texts[r.doc_id])
 
 
+def test_both_libraries_give_the_same_ids(many):
+    import json
+
+    from tripmart.llm.packing import byte_ranks, encoder
+
+    tok, fast = Tokenizer.from_file(BYTES), encoder(BYTES)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} {chr(c)}{chr(c)}x\n{chr(c)} 's{chr(c)}'ll  {chr(c)}" for c in points]
+    texts += [t or "" for _, t, *_ in EDGES] + [r.text for r in many.collect()[:50]] + ["<|endoftext|>", "x <|endoftext|>\n"]
+    for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert fast(t).tolist() == e.ids, t[:60]
+    with open(BYTES) as f:
+        model = json.load(f)
+    assert len(byte_ranks(model)) == 50256 and byte_ranks(model | {"normalizer": {"type": "NFC"}}) is None
+    other = public_tokenizers.path("word_bpe_49k.json")  # not byte-level: its own library
+    assert encoder(other)("Some words").tolist() == Tokenizer.from_file(other).encode("Some words", add_special_tokens=False).ids
+
+
 def check_packing(rows, texts, size):
     tok = Tokenizer.from_file(BYTES)
     by_sequence = defaultdict(list)

@@ -14,10 +14,10 @@ CRC; an empty table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmart.llm.tables import whole_text
-from tripmart.llm.words import ODD_SPACE, WordTable, chunks, ragged, split_all, sums
+from tripmart.llm.words import chunks, ragged
 from tripmart.session import materialize
 
 #: Id after the last of a document.
@@ -34,38 +34,54 @@ END = 1
 #: Pieces of one group, on average.
 GROUP_PIECES = 4096
 
-#: White space with the word after it; a word of letters and digits ends before
-#: punctuation. Byte-level pre-tokens never cross these ends.
-CHUNK = re.compile(r"\s*[^\W_]++(?=[.,!?;:\s]|\Z)|\s*\S+|\s+")
+# Fixed value: the split of texts into pre-tokens that byte-level vocabularies are made for.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """One reading of the tokenizer per process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def split(text: str) -> list[str]:
-    """Parts of a text whose ids don't depend on each other."""
-    return [text] if ODD_SPACE.search(text) else CHUNK.findall(text)
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id of a plain byte-level vocabulary whose merges are ranked by id
+    (None: it is another kind)."""
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    kept = {k: (model.get("pre_tokenizer") or {}).get(k) for k in plain}
+    bpe = model["model"]
+    if kept != plain or model.get("normalizer") or bpe.get("type") != "BPE" or bpe.get("dropout") or bpe.get("ignore_merges"):
+        return None
+    if any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    # printable bytes stand for themselves, the others for the code points from 256 on
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in printable}
+    byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte.values())}
+    special = {t["content"] for t in model["added_tokens"]}
+    vocab = bpe["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in bpe["merges"]]
+    ids = [vocab["".join(m)] for m in pairs]
+    if ids != sorted(ids):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
 @functools.lru_cache(maxsize=2)
-def _table(path: str) -> WordTable:
-    """Words that this process has met, over all its tasks."""
-    tok = tokenizer(path)
-
-    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-        n = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter((i for x in own for i in x), np.int32, int(n.sum())), n
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text as the vocabulary file's own library gives them, without added special
+    tokens. A plain byte-level vocabulary is read by the faster of the two libraries that
+    give the same ids. One reading per process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    ranks = byte_ranks(model)
+    if ranks is not None:
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        fast = tiktoken.Encoding("bytes", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
+    from tokenizers import Tokenizer
 
-    return WordTable(encode)
+    own = Tokenizer.from_file(path)
+    return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -74,15 +90,13 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        encode, end = encoder(path), np.array([END], np.uint32)
         for batch in batches:
             keys = batch.column(0)
             for lo, hi, texts in chunks(batch.column(1)):
-                words, n = split_all(texts, split)
-                at = table.rows(words)
-                total = sums(table.lengths[at], n)
-                ids = np.insert(table.gather(at), np.cumsum(total), END).astype("<u4")
-                total += 1
+                own = [x for t in texts for x in (encode(t), end)]
+                total = np.fromiter(map(len, own), np.int64, len(own)).reshape(-1, 2).sum(axis=1)
+                ids = np.concatenate(own).astype("<u4")
                 parts = -(-total // size)
                 doc = np.repeat(np.arange(hi - lo), parts)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
