@@ -8,7 +8,10 @@ Two cells meet only if their centres are no farther apart than both radii and
 the threshold distance, and a vector goes to a meeting only if the other cell's
 ball is within reach. In a meeting each side is refined into nested levels of
 halving radii; node pairs are pruned by their covering radii, level by level, and
-what is left is compared exactly in double precision.
+what is left is compared exactly in double precision. Centres are first compared in
+a few rotated coordinates (the main directions of the sample): with the length of the
+rest as one more coordinate, that inner product is an upper bound of the cosine, so
+only pairs that pass it are compared in all coordinates.
 
 A cell is split into blocks of bounded size, so a cell with a third of all
 vectors is many meetings. Equal vectors are one node with a count. A meeting
@@ -41,6 +44,9 @@ BLOCK = 8192
 #: Radii of the nested levels inside a block.
 RADII = (1.0, 0.5, 0.25, 0.125)
 
+#: Points that show at which radius the levels of a block begin.
+PROBE = 512
+
 #: A node of so few points is a leaf: it is not refined further.
 LEAF = 32
 
@@ -48,6 +54,9 @@ LEAF = 32
 #: meets the other side's by one matrix product.
 PAIRS, MANY = 1 << 17, 4096
 
+#: Rotated coordinates of the first comparison, and the least cosine for which it pays.
+MAIN, SCREENED = 16, np.float32(0.8)
+
 #: Slack of the pruning bounds for rounding (the bounds are tested in single
 #: precision); links are decided exactly.
 SLACK = 1e-3
@@ -87,7 +96,28 @@ def farthest_first(points: np.ndarray, k: int) -> np.ndarray:
     return np.array(order)
 
 
-def cover(points: np.ndarray, radius: float, tries: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def main_directions(points: np.ndarray, k: int = MAIN) -> np.ndarray:
+    """The main directions of a sample, as columns: at most half as many as coordinates."""
+    k = min(k, points.shape[1] // 2)
+    return np.linalg.eigh(points.T @ points)[1][:, ::-1][:, :k] if k else np.zeros((points.shape[1], 0))
+
+
+def screen(points: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Main coordinates and the length of the rest: the inner product of two such rows
+    is at least that of the unit vectors (Cauchy-Schwarz on the rest)."""
+    own = points @ main
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", own, own), 0))
+    return np.c_[own, rest].astype(np.float32)
+
+
+def at_least(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, least: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) whose cosine reaches ``least``, by the screens first."""
+    r, c = np.divmod(np.flatnonzero(sa @ sb.T >= least - np.float32(1e-4)), max(1, len(sb)))
+    hit = np.concatenate([np.einsum("ij,ij->i", a[r[k : k + PAIRS]], b[c[k : k + PAIRS]]) >= least for k in range(0, len(r), PAIRS)]) if len(r) else r > 0
+    return r[hit], c[hit]
+
+
+def cover(points: np.ndarray, radius: float, screens: np.ndarray, tries: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Greedy net in the given order: the centres, no two within ``radius``, and
     for each point the number of the first centre within ``radius`` of it."""
     least = np.float32(1 - radius * radius / 2)
@@ -95,7 +125,11 @@ def cover(points: np.ndarray, radius: float, tries: int = 64) -> tuple[np.ndarra
     rest = np.arange(len(points))
     while len(rest):
         first = rest[:tries]
-        near = points[rest] @ points[first].T >= least
+        if least >= SCREENED:
+            near = np.zeros((len(rest), len(first)), bool)
+            near[at_least(points[rest], points[first], screens[rest], screens[first], least)] = True
+        else:
+            near = points[rest] @ points[first].T >= least
         near[np.arange(len(first)), np.arange(len(first))] = True
         chosen: list[int] = []
         for k in range(len(first)):
@@ -113,20 +147,25 @@ class Level:
     """Nodes of one level, in the order of their parents: centre, parent,
     covering radius, and members end to end."""
 
-    def __init__(self, points: np.ndarray, centre: np.ndarray, parent: np.ndarray, members: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, screens: np.ndarray, centre: np.ndarray, parent: np.ndarray, members: np.ndarray, sizes: np.ndarray):
         self.centre, self.parent, self.members, self.sizes = centre, parent, members, sizes
         self.starts = np.cumsum(sizes) - sizes
         cos = np.einsum("ij,ij->i", points[members], points[np.repeat(centre, sizes)])
         far = np.sqrt(np.maximum(2 - 2 * cos, 0))
         self.radius = np.where(sizes == 1, 0, np.maximum.reduceat(far, self.starts)).astype(np.float32)
-        self.points = points[centre]
-
-
-def levels(points: np.ndarray) -> list[Level]:
-    """Nested levels from one root, with halving radii, down to leaves."""
-    n = len(points)
-    out = [Level(points, np.array([0]), np.array([0]), np.arange(n), np.array([n]))]
-    for depth, radius in enumerate(RADII):
+        self.points, self.screens = points[centre], screens[centre]
+
+
+def levels(points: np.ndarray, screens: np.ndarray) -> list[Level]:
+    """Nested levels from one root, with halving radii, down to leaves. They begin at the
+    first radius that gathers points: where most of a few points are centres of their own,
+    a level would add wide balls that prune nothing."""
+    n, few = len(points), slice(0, PROBE)
+    radii = list(RADII)
+    while len(radii) > 1 and 2 * len(cover(points[few], radii[0], screens[few])[0]) > len(points[few]):
+        radii.pop(0)
+    out = [Level(points, screens, np.array([0]), np.array([0]), np.arange(n), np.array([n]))]
+    for depth, radius in enumerate(radii):
         above = out[-1]
         if depth > 1 and above.sizes.max() <= LEAF:
             break
@@ -137,14 +176,14 @@ def levels(points: np.ndarray) -> list[Level]:
         for node in np.flatnonzero(split).tolist():
             own = slice(above.starts[node], above.starts[node] + above.sizes[node])
             inside = above.members[own]
-            tops, of = cover(points[inside], radius)
+            tops, of = cover(points[inside], radius, screens[inside])
             members[own] = inside[np.argsort(of, kind="stable")]
             centre.append(inside[tops])
             parent.append(np.full(len(tops), node))
             sizes.append(np.bincount(of, minlength=len(tops)))
         parent = np.concatenate(parent)
         order = np.argsort(parent, kind="stable")
-        out.append(Level(points, np.concatenate(centre)[order], parent[order], members, np.concatenate(sizes)[order]))
+        out.append(Level(points, screens, np.concatenate(centre)[order], parent[order], members, np.concatenate(sizes)[order]))
     return out
 
 
@@ -165,15 +204,17 @@ def products(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.
         yield np.repeat(first_a[at:end], w) + nth // wide, np.repeat(first_b[at:end], w) + nth % wide
 
 
-def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
+def traverse(a: np.ndarray, b: np.ndarray, reach: float, main: np.ndarray, rows: int = 512):
     """Yield arrays of candidate pairs (point of a, point of b): those whose nodes
     no level could prune."""
-    la = levels(a.astype(np.float32))
-    lb = la if b is a else levels(b.astype(np.float32))
+    sa = screen(a, main)
+    sb = sa if b is a else screen(b, main)
+    la = levels(a.astype(np.float32), sa)
+    lb = la if b is a else levels(b.astype(np.float32), sb)
     while len(la) != len(lb):  # the shallower side's leaves stand for themselves further down
         low = la if len(la) < len(lb) else lb
         last = low[-1]
-        low.append(Level((a if low is la else b).astype(np.float32), last.centre, np.arange(len(last.centre)), last.members, last.sizes))
+        low.append(Level((a if low is la else b).astype(np.float32), sa if low is la else sb, last.centre, np.arange(len(last.centre)), last.members, last.sizes))
     alone = np.float32(reach + SLACK)
     p, q = np.array([0]), np.array([0])
     for depth in range(1, len(la)):
@@ -182,26 +223,29 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
         first_b = np.searchsorted(ub.parent, np.arange(up + 1))
         far_b = ub.radius + alone
 
-        def near(mine: np.ndarray, theirs: np.ndarray | slice, ua=ua, ub=ub, far_b=far_b) -> tuple[np.ndarray, np.ndarray]:
-            cos = ua.points[mine] @ ub.points[theirs].T
-            mine, theirs = ua.radius[mine], far_b[theirs]
-            balls_a, balls_b = np.flatnonzero(mine > 0), np.flatnonzero(theirs > alone)
-            if 4 * len(balls_a) > len(mine) or 4 * len(balls_b) > len(theirs):
-                return np.nonzero(cos >= floor(mine[:, None] + theirs[None, :]))
-            # most nodes are single vectors: one bound for all, then those of the balls
-            hit = cos >= floor(alone)
-            hit[balls_a] = cos[balls_a] >= floor(mine[balls_a][:, None] + theirs[None, :])
-            hit[:, balls_b] = cos[:, balls_b] >= floor(mine[:, None] + theirs[balls_b][None, :])
-            return np.nonzero(hit)
-
-        found_a, found_b = [], []
+        def near(mine: np.ndarray, theirs: np.ndarray, ua=ua, ub=ub, far_b=far_b) -> tuple[np.ndarray, np.ndarray]:
+            a, b = ua.points[mine], ub.points[theirs]
+            own, other = ua.radius[mine], far_b[theirs]
+            balls_a, balls_b = np.flatnonzero(own > 0), np.flatnonzero(other > alone)
+            if 4 * len(balls_a) > len(own) or 4 * len(balls_b) > len(other) or floor(alone) < SCREENED:
+                return np.nonzero(a @ b.T >= floor(own[:, None] + other[None, :]))
+            # most nodes are single vectors: one bound for them, then those of the balls
+            r, c = at_least(a, b, ua.screens[mine], ub.screens[theirs], floor(alone))
+            single = (own[r] == 0) & (other[c] <= alone)
+            r, c = r[single], c[single]
+            ra, ca = np.nonzero(a[balls_a] @ b.T >= floor(own[balls_a][:, None] + other[None, :]))
+            lone = np.flatnonzero(own == 0)
+            rb, cb = np.nonzero(a[lone] @ b[balls_b].T >= floor(own[lone][:, None] + other[balls_b][None, :]))
+            return np.concatenate([r, balls_a[ra], lone[rb]]), np.concatenate([c, ca, balls_b[cb]])
+
+        found_a, found_b, every = [], [], np.arange(len(ub.centre))
         nodes, cuts = np.unique(p, return_index=True)
         size = np.diff(np.r_[cuts, len(p)])
         # nodes that still face most of the other side are taken together, against all of it
         full = nodes[2 * size >= up]
         kids = np.concatenate([np.arange(first_a[x], first_a[x + 1]) for x in full.tolist()]) if len(full) else full
         for at in range(0, len(kids), rows):
-            r, c = near(kids[at : at + rows], slice(None))
+            r, c = near(kids[at : at + rows], every)
             found_a.append(kids[at : at + rows][r])
             found_b.append(c)
         work = np.diff(first_a)[nodes] * np.add.reduceat(np.diff(first_b)[q], cuts)
@@ -217,7 +261,10 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float, rows: int = 512):
         few = np.repeat(rest & (work < MANY), size)
         x, y = p[few], q[few]
         for mine, theirs in products(first_a[x], first_a[x + 1] - first_a[x], first_b[y], first_b[y + 1] - first_b[y]):
-            hit = np.einsum("ij,ij->i", ua.points[mine], ub.points[theirs]) >= floor(ua.radius[mine] + far_b[theirs])
+            need = floor(ua.radius[mine] + far_b[theirs])
+            hit = np.einsum("ij,ij->i", ua.screens[mine], ub.screens[theirs]) >= need - np.float32(1e-4)
+            mine, theirs, need = mine[hit], theirs[hit], need[hit]
+            hit = np.einsum("ij,ij->i", ua.points[mine], ub.points[theirs]) >= need
             found_a.append(mine[hit])
             found_b.append(theirs[hit])
         if not found_a:
@@ -244,14 +291,14 @@ def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def meet(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def meet(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, least: float, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links per vector (copies counted) and local component label, for the rows
     of a and then b; with ``b is a`` for the rows of a."""
     same = b is a
     shift = 0 if same else len(a)
     total = len(a) + (0 if same else len(b))
     count, label = np.zeros(total, np.int64), np.arange(total)
-    for i, j in traverse(a, b, float(np.sqrt(max(0.0, 2 - 2 * least)))):
+    for i, j in traverse(a, b, float(np.sqrt(max(0.0, 2 - 2 * least))), main):
         hit = np.einsum("ij,ij->i", a[i], b[j]) >= least
         if same:
             hit &= i != j
@@ -289,7 +336,7 @@ def _meetings(nodes: DataFrame, least: float) -> DataFrame:
     sample = nodes.orderBy(F.xxhash64("_v"), "_k").limit(SAMPLE).select("_v").collect()  # bounded
     points = unit(np.array([r[0] for r in sample], np.float64))
     wanted = max(1, min(CENTRES, -(-nodes.count() // BLOCK)))
-    centres = points[farthest_first(points, wanted)]
+    centres, main = points[farthest_first(points, wanted)], main_directions(points)
     rows = _cells(nodes, centres.tolist()).withColumn("_cell", F.array_position("_far", F.array_min("_far")).cast("int") - 1)
     rows = materialize(rows, "cells")
     stats = {
@@ -338,14 +385,14 @@ def _meetings(nodes: DataFrame, least: float) -> DataFrame:
         side, key, copies = (group[c].to_numpy() for c in ("_side", "_k", "_copies"))
         if group["_low"][0].as_py() == group["_high"][0].as_py():
             own = _matrix(group["_v"])
-            count, label = meet(own, own, copies, copies, least)
+            count, label = meet(own, own, copies, copies, least, main)
         else:
             n = int((~side).sum())
             if n == 0 or n == len(key):  # nothing of the other block is within reach
                 count, label = np.zeros(len(key), np.int64), np.arange(len(key))
             else:
                 own = _matrix(group["_v"])
-                count, label = meet(own[:n], own[n:], copies[:n], copies[n:], least)
+                count, label = meet(own[:n], own[n:], copies[:n], copies[n:], least, main)
         some = count > 0
         return pa.table({"_k": key[some], "_links": count[some], "_root": key[label[some]]})
 
