@@ -294,3 +294,55 @@ def test_toxic_spans_of_words_that_lower_case_lengthens():
     assert toxicity.words(text) == ["i\u0307stanbul", "vilefool", "i\u0307"] and toxicity.words(" ") == []
     _, spans = toxicity.score_batch(model, [text, ""])
     assert [[text[s["start"] : s["end"]] for s in own] for own in spans] == [["vilefool"], []]
+
+
+ODD_COLUMNS = {"_rid": 7, "_fp": "own", "_text": "mail a.b@c.de", "_base": 1.5, "_spans": "s", "score": 9.5, "toxic_spans": "t", "_id": 3, "c0": "zero", "_cell": 1, "kept": "k", "component_id": 5}
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with columns named like the operators' own, in front and behind."""
+    rows = [(i, prose(i, 40) + (" mail m.x@secret.org" if i % 3 == 0 else "")) for i in range(40)] + [(100 + i, prose(1, 40)) for i in range(3)] + [(200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = [F.lit(v).alias(k) for k, v in ODD_COLUMNS.items()]
+    return docs.select(*odd[:4], "doc_id", *odd[4:], "text").withColumn("_rid", F.col("doc_id") * 2 + 1)
+
+
+def assert_own_values(out, docs, changed=()):
+    assert out.columns == docs.columns
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for r in out.collect():
+        for c in docs.columns:
+            assert c in changed or r[c] == before[r["doc_id"]][c], c
+
+
+def test_clashing_names_keep_their_values(spark, clashing):
+    from tripmart.llm import pii
+
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(clashing, labels)
+    scored = toxicity.score(clashing, model)
+    assert scored.columns == [c for c in clashing.columns if c not in ("score", "toxic_spans")] + ["score", "toxic_spans"]
+    assert_own_values(scored.select(*clashing.columns), clashing, ("score", "toxic_spans"))
+    assert scored.where("score BETWEEN 0 AND 1").count() == 44
+    single = exact_dedup.drop_exact(clashing)
+    assert_own_values(single, clashing)
+    assert single.count() == 41
+    near = simhash.drop_near(clashing)
+    assert_own_values(near, clashing)
+    assert near.count() <= 41
+    safe = pii.sanitize(clashing)
+    assert_own_values(safe, clashing, ("text",))
+    assert safe.where("text LIKE '%@%'").count() == 0 and safe.where("text LIKE '%[EMAIL]%'").count() == 14
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, clashing, tmp_path):
+    import corpus_pipeline
+
+    docs = clashing.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
+    spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(40)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, before = stage(spark, docs, str(tmp_path)), docs
+        assert_own_values(docs, before, ("text", "n_chars") if name == "pii" else ())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.tables import whole_text, without
+from tripmart.llm.tables import named, place, positional, whole_text
 from tripmart.session import materialize
 
 #: Bytes of a block.
@@ -112,13 +112,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    numbered = materialize(without(docs, "_rid").withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    rows = numbered.select("_rid", F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    """``docs`` with one row of each group of equal texts; all columns, whatever their
+    names, with their values."""
+    numbered = materialize(positional(docs).withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    rows = numbered.select("_rid", F.col(place(docs, id_col)).alias("_id"), whole_text(place(docs, text_col)).alias("_text"))
     ids = identities(_with_norm(rows, "_text").select("_rid", "_norm"))
     meta = rows.select("_rid", "_id", F.char_length("_text").alias("_points"))
     kept = _decided(meta, ids).where("kept").select("_rid")
-    return numbered.join(kept, "_rid", "left_semi").drop("_rid")
+    return named(numbered.join(kept, "_rid", "left_semi"), docs)
 
 
 #: The contract of the registered query in SQL.

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.tables import whole_text, without
+from tripmart.llm.tables import named, place, positional, whole_text
 from tripmart.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -181,10 +181,10 @@ def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bo
 
 
 def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    rows = without(docs, "_rid", "_base", "_told", "_spans", "_text", "_text_key", "_first")
-    rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", whole_text(text_col))
+    """Positional columns of ``docs`` and the operator's own, written."""
+    rows = positional(docs).withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", whole_text(place(docs, text_col)))
     rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_text_key", F.xxhash64("_text"))
-    return materialize(rows.drop(text_col) if text_col == "_raw" else rows, "rows")
+    return materialize(rows, "rows")
 
 
 def _joined(spans: Column) -> Column:
@@ -202,7 +202,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  everywhere: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``."""
-    rows = _prepared(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")), "_raw")
+    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_base", base_spans(F.col("_text")))
+    rows = materialize(rows.withColumn("_text_key", F.xxhash64("_text")), "rows")
     out = _with_spans(rows, disclosure, support, everywhere)
     counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
@@ -222,9 +224,10 @@ def _rewritten(text: Column, spans: Column) -> Column:
 
 
 def sanitize(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3, everywhere: bool = False) -> DataFrame:
-    """``docs`` with every span generalised in ``text_col``; all rows and
-    columns stay. Texts without a span are unchanged (null stays null)."""
+    """``docs`` with every span generalised in ``text_col``; all rows and columns stay,
+    whatever their names, the others with their values. Texts without a span are
+    unchanged (null stays null)."""
+    own = place(docs, text_col)
     out = _with_spans(_prepared(docs, text_col), disclosure, support, everywhere)
-    own = F.col(f"`{text_col}`")
-    clean = F.when(F.size("_spans") > 0, _rewritten(F.col("_text"), F.col("_spans"))).otherwise(own)
-    return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("_spans") > 0, _rewritten(F.col("_text"), F.col("_spans"))).otherwise(F.col(own))
+    return named(out.withColumn(own, clean), docs)

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.tables import components, whole_text, without
+from tripmart.llm.tables import components, named, place, positional, whole_text, without
+from tripmart.llm.words import chunks
 from tripmart.session import materialize
 
 SEED = 42
@@ -59,15 +60,17 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` with ``_fp`` (the fingerprint's 64 bits as a long); a narrow map."""
+    """``docs`` with ``_fp`` (the fingerprint's 64 bits as a long; a column of that name is
+    replaced); a narrow map over chunks of about a megabyte."""
     rows = without(docs, "_fp")
     schema = rows.withColumn("_fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            own = np.array([fingerprint(t or "", words) for t in texts.to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], names=[*batch.schema.names, "_fp"])
+            for lo, hi, texts in chunks(batch.column(batch.schema.get_field_index(text_col))):
+                own = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.view(np.int64))], names=[*part.schema.names, "_fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -113,15 +116,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id (of
-    equal ids the first read); all columns kept."""
-    rows = fingerprints(without(docs, "_fp", "_rid"), text_col, words).withColumn("_rid", F.monotonically_increasing_id())
+    """``docs`` with one row of each component, that of the smallest id (of equal ids the
+    first read); all columns, whatever their names, with their values."""
+    rows = fingerprints(positional(docs), place(docs, text_col), words).withColumn("_rid", F.monotonically_increasing_id())
     rows = materialize(rows, "rows")
-    ids = rows.select("_rid", F.col(id_col).alias("_id"), "_fp")
+    ids = rows.select("_rid", F.col(place(docs, id_col)).alias("_id"), "_fp")
     # a component's lowest row: first per fingerprint, then over its fingerprints
     low = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_rid").alias("rid")))
     per_print = materialize(ids.groupBy("_fp").agg(low.alias("_low")), "fingerprints")
     roots = components(links(per_print.select("_fp"), distance), "a", "b")
     rooted = per_print.join(roots, per_print["_fp"] == roots["node"], "left").select("_low", F.coalesce("root", "_fp").alias("_root"))
     kept = rooted.groupBy("_root").agg(F.min("_low").alias("_low")).select(F.col("_low.rid").alias("_rid"))
-    return rows.join(kept, "_rid", "left_semi").drop("_rid", "_fp")
+    return named(rows.join(kept, "_rid", "left_semi"), docs)

@@ -26,6 +26,23 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns ``c0, c1, ...``: whatever their names, they don't clash with
+    an operator's working columns. ``place`` finds a column, ``named`` gives the names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """Positional name of the column that ``name`` means in ``docs``."""
+    exact = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    return f"c{exact[0]}"
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The positional columns of ``rows`` under the names of ``docs``, nothing else."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: one row ``(node, root)``
     per node that has an edge, ``root`` the smallest node reachable.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.tables import whole_text
+from tripmart.llm.tables import whole_text, without
 from tripmart.llm.words import chunks, split_all
 
 #: Bound of the training sample.
@@ -219,8 +219,13 @@ def score_batch(model: dict, texts: list[str]) -> tuple[np.ndarray, list[list[di
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``toxic_spans``; a narrow map, no shuffle."""
-    schema = docs.withColumns({"score": F.lit(0.0), "toxic_spans": F.expr("CAST(array() AS array<struct<start:int,end:int>>)")}).schema
+    """``docs`` with ``score`` (0 to 1) and ``toxic_spans`` (offsets in code points, end
+    exclusive); a narrow map, no shuffle. Null and empty texts score like a text without
+    a token; without a model all scores are 0; columns of these two names are replaced,
+    all others keep their values; an empty table gives an empty result."""
+    rows = without(docs, "score", "toxic_spans")
+    schema = rows.withColumns({"score": F.lit(0.0), "toxic_spans": F.expr("CAST(array() AS array<struct<start:int,end:int>>)")}).schema
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = schema.names.index(text_col)
@@ -230,11 +235,10 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
                     own, spans = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                 else:
                     own, spans = score_batch(model, texts)
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 cols = [*batch.slice(lo, hi - lo).columns, pa.array(own), pa.array(spans, kind)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
