@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from tripmart.llm import exact_dedup, packing, pii, simhash, toxicity
 from tripmart.llm.queries import tokenizer
-from tripmart.llm.tables import table
+from tripmart.llm.tables import named, place, positional, table
 from tripmart.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents scored 0.5 or more go."""
+    """Operator 4: documents scored 0.5 or more go; columns keep their values, also
+    one named like the score."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return named(toxicity.score(positional(docs), model, place(docs, "text")).where("score < 0.5"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Operator 5: personal data and disclosing terms are generalised in the
     text; ``n_chars`` follows it."""
     clean = pii.sanitize(docs, everywhere=True)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
