@@ -2,9 +2,11 @@
 plain Python."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from tripmart.llm.packing import first_fit, pack
 from tripmart.llm.pieces import decode, encode
+from tripmart.llm import pii
 from tripmart.llm.pii import find_private, sanitize
 from tripmart.llm.token_counts import PieceRanks, count_tokens
 
@@ -226,3 +229,65 @@ def test_terms_of_whole_texts(spark):
     assert everywhere == here | {200: ["Zanzibar"]}
     clean = {r.doc_id: r.text for r in sanitize(docs, disclosure=0.8, everywhere=True).collect()}
     assert clean[200] == f"nothing but [TERM] here {gap}" and clean[0] == f"[TERM] {gap} 0 [EMAIL] {gap} [TERM]" and clean[100] == rows[3][1]
+
+
+def plain_parts(kind, value):
+    value, digits = value.lower(), re.sub("[^0-9]", "", value)
+    own = {
+        "email": [f"domain:{value.split('@')[1]}", *(f"name:{n}" for n in re.findall("[a-z0-9]{2,}", value.split("@")[0]))] if kind == "email" else [],
+        "ip": [f"net{k}:{'.'.join(value.split('.')[:k])}" for k in (2, 3)],
+        "card": [f"issuer:{digits[:6]}"],
+        "phone": [f"dial:{digits[:4]}"],
+    }[kind]
+    return {f"{kind}:{value}", *own}
+
+
+def plain_disclosing(texts, disclosure, support, evidence):
+    """Pairs by counting every term with every entity of every different text."""
+    n, terms, entities, both = len(set(texts)), Counter(), Counter(), Counter()
+    for text in set(texts):
+        spans = plain_spans(text)
+        bare = list(text)
+        for a, _, b, _ in spans:
+            bare[a:b] = " " * (b - a)
+        own = {t.lower() for t in re.findall(r"[^\W_]\w+", "".join(bare))}
+        held = {e for a, _, b, kind in spans for e in plain_parts(kind, text[a:b])}
+        terms.update(own)
+        entities.update(held)
+        both.update((t, e) for t in own for e in held)
+    out = set()
+    for (t, e), k in both.items():
+        if k >= support and entities[e] < n:
+            content = math.log(n / entities[e])
+            if math.log(k * n / (terms[t] * entities[e])) / content >= disclosure and k * content / math.log(2) >= evidence:
+                out.add((t, e))
+    return out
+
+
+@pytest.mark.parametrize("evidence", [0.0, 16.0])
+def test_disclosure_equals_plain_counting(spark, evidence):
+    draw = random.Random(11)
+    rows = []
+    for i in range(240):
+        words = [draw.choice(["the", "of", "it", "9x", "a42b", "Ort", "desk", f"w{draw.randrange(60)}w"]) for _ in range(12)]
+        if i % 4 == 0:
+            firm = draw.randrange(6)
+            words += [f"Firm{firm}a", draw.choice([f"{draw.choice('abc')}.smith{firm}@mail{firm}.org", f"10.{firm}.{draw.randrange(3)}.9"] if firm < 5 else [f"+4{firm} 30 {draw.randrange(10**6, 10**7)};"])]
+        if i % 9 == 0:
+            words += ["4111 1111 1111 1111", "bank"]
+        draw.shuffle(words)
+        rows += [(i, " ".join(words))] * (1 + 30 * (i == 8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_disclosing([t for _, t in rows], 0.9, 3, evidence)
+    got = {tuple(r) for r in pii.disclosing(pii._prepared(docs, "text"), 0.9, 3, evidence, parts=True).collect()}
+    assert got == want and any(e.startswith(("domain", "net", "dial")) for _, e in want) and ("bank", "issuer:411111") in want
+    # spans: every occurrence of a disclosing term in any text, outside the base spans
+    told = {t for t, _ in want}
+    for r in find_private(docs, everywhere=True, evidence=evidence, parts=True).distinct().collect():
+        text = dict(rows)[r.doc_id]
+        base = plain_spans(text)
+        bare = list(text)
+        for a, _, b, _ in base:
+            bare[a:b] = " " * (b - a)
+        terms = [(m.start(), 4, m.end(), "term") for m in re.finditer(r"[^\W_]\w+", "".join(bare)) if m.group().lower() in told]
+        assert r.spans == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(base + terms))

@@ -1,12 +1,15 @@
 """Operator 5 [native]: information-theoretic sanitisation of personal data.
 
 Base spans (emails, IP addresses, card and phone numbers) are found in every
-whole text; each distinct value is a protected entity. Terms are counted with
-the entities of their whole text, and over all texts; equal texts count once. A
-term discloses an entity if its pointwise mutual information with it reaches the
-share ``disclosure`` of the entity's information content, i.e. if knowing the
-term all but names the entity, and if at least ``support`` different texts show
-the pair. Every occurrence of such a term in a whole text that holds the entity
+whole text. Protected entities are their values and, with ``parts``, what recurs
+from value to value: names in a mail address, mail domain, network, card issuer,
+dialling code. Terms are counted with the entities of their whole text, and over
+all texts; equal texts count once. A term discloses an entity if its pointwise
+mutual information with it reaches the share ``disclosure`` of the entity's
+information content, i.e. if knowing the term all but names the entity, if at
+least ``support`` different texts show the pair, and if so many texts of a term
+would meet the entity by chance once in two to the power ``evidence`` at most
+(a part that most texts hold is met by chance). Every occurrence of such a term in a whole text that holds the entity
 is a span too; with ``everywhere``, in every text, with or without the entity.
 Sanitising generalises base spans to their kind and disclosing terms to a class.
 
@@ -22,6 +25,8 @@ possessive, and start only where the plain pattern could.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +45,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}(?:(?![\x20-](?![0-9]))[0-9\x20-])*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}[\p{L}\p{N}_]{2,}+"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}_]++"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
@@ -126,8 +131,26 @@ def _terms() -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(_masked(F.col("_text"), F.col("_base")), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _entities() -> Column:
-    return F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
+def _parts(span: Column) -> Column:
+    """A base span's value and its parts that recur in other values."""
+    value = F.lower(span["value"])
+    names = F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    email = F.concat(F.array(F.concat(F.lit("domain:"), F.substring_index(value, "@", -1))), F.transform(names, lambda n: F.concat(F.lit("name:"), n)))
+    networks = F.array(*(F.concat(F.lit(f"net{k}:"), F.substring_index(value, ".", k)) for k in (2, 3)))
+    issuer = F.array(F.concat(F.lit("issuer:"), F.substring(_digits(value), 1, 6)))
+    dialling = F.array(F.concat(F.lit("dial:"), F.substring(_digits(value), 1, 4)))
+    own = F.when(span["kind"] == 0, email).when(span["kind"] == 1, networks).when(span["kind"] == 2, issuer).otherwise(dialling)
+    return F.concat(F.array(F.concat(F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), F.lit(":"), value)), own)
+
+
+def _entities(parts: bool) -> Column:
+    """Distinct protected entities of a text."""
+    return F.array_distinct(F.flatten(F.transform("_base", _parts if parts else lambda s: F.slice(_parts(s), 1, 1))))
+
+
+def _text_key() -> Column:
+    """256-bit digest of the text: no two texts share one."""
+    return F.unhex(F.sha2(F.col("_text"), 256))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -137,29 +160,36 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.select("_rid", "_text_key", "_text", "_base").join(copied, "_text_key", "left").where("_first IS NULL OR _first = _rid")
 
 
-def disclosing(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
+def disclosing(rows: DataFrame, disclosure: float, support: int, evidence: float = 0.0, parts: bool = False) -> DataFrame:
     """``term, entity`` pairs whose term discloses the entity.
 
     ``rows`` has ``_rid, _text_key, _text, _base`` of every document. PMI(t, e) /
     IC(e) over different texts: N, n(t) that hold t, n(e) and n(t, e). As n(t, e)
     is at most n(e), only terms with n(t) <= n(e) * (N / n(e)) ** (1 -
-    disclosure) can reach the share; no other pairs are made."""
+    disclosure) can reach the share; no other pairs are made. Only terms that
+    ``support`` texts with a recurring entity hold are looked at."""
     texts = _texts(rows)
-    terms = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
     total = texts.agg(F.count(F.lit(1)).alias("n"))
     held = texts.where(F.size("_base") > 0)
-    named = materialize(held.select("_text_key", F.explode(_entities()).alias("entity")), "entities")
+    named = materialize(held.select("_text_key", F.explode(_entities(parts)).alias("entity")), "entities")
     entities = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     most = F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - disclosure)) * 1.000001
     entities = entities.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("n_entity")).withColumn("_most", most)  # one row
     entities = materialize(entities, "n_entity")
+    if not entities.head(1):  # nothing recurs, so nothing can be disclosed
+        return entities.select(F.lit("").alias("term"), "entity")
     bound = entities.agg(F.max("_most").alias("_bound"))
-    terms = terms.crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
-    told = held.select("_text_key", F.explode(_terms()).alias("term")).join(terms, "term")
-    pairs = told.join(named.join(entities, "entity"), "_text_key").where(F.col("n_term") <= F.col("_most"))
+    own = materialize(named.join(entities, "entity"), "recurring")
+    held = held.join(own.select("_text_key").distinct(), "_text_key", "left_semi")
+    held = materialize(held.select("_text_key", F.explode(_terms()).alias("term")), "held")
+    near = held.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= support).select("term")
+    terms = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = terms.join(near, "term", "left_semi").crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
+    pairs = held.join(materialize(terms, "terms"), "term").join(own, "_text_key").where(F.col("n_term") <= F.col("_most"))
     pairs = pairs.groupBy("term", "entity", "n_term", "n_entity", "n").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    score = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("n") / F.col("n_entity"))
-    return pairs.where(score >= disclosure).select("term", "entity")
+    content = F.log(F.col("n") / F.col("n_entity"))
+    score = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / content
+    return pairs.where((score >= disclosure) & (F.col("n_both") * content / math.log(2) >= evidence)).select("term", "entity")
 
 
 def _told_spans() -> Column:
@@ -167,13 +197,13 @@ def _told_spans() -> Column:
     return _found(_masked(F.col("_text"), F.col("_base")), TERM, 4, keep=lambda hit: F.array_contains(F.col("_told"), F.lower(hit)))
 
 
-def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bool) -> DataFrame:
+def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bool, evidence: float, parts: bool) -> DataFrame:
     """Rows (``_rid, _base, ...`` written before) with ``_spans``."""
-    pairs = materialize(disclosing(rows, disclosure, support), "pairs")
+    pairs = materialize(disclosing(rows, disclosure, support, evidence, parts), "pairs")
     if everywhere:
         told = rows.select("_rid", F.explode(_terms()).alias("term")).join(pairs.select("term").distinct(), "term")
     else:
-        some = rows.where(F.size("_base") > 0).select("_rid", _entities().alias("_own"), F.explode(_terms()).alias("term"))
+        some = rows.where(F.size("_base") > 0).select("_rid", _entities(parts).alias("_own"), F.explode(_terms()).alias("term"))
         told = some.join(pairs, "term").where(F.array_contains("_own", F.col("entity")))
     told = materialize(told.groupBy("_rid").agg(F.collect_set("term").alias("_told")), "told")
     spans = F.array_sort(F.concat("_base", _told_spans()))
@@ -183,7 +213,7 @@ def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bo
 def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
     """Positional columns of ``docs`` and the operator's own, written."""
     rows = positional(docs).withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", whole_text(place(docs, text_col)))
-    rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_text_key", F.xxhash64("_text"))
+    rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_text_key", _text_key())
     return materialize(rows, "rows")
 
 
@@ -199,13 +229,13 @@ def _count(kind: int) -> Column:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, support: int = 3,
-                 everywhere: bool = False) -> DataFrame:
+                 everywhere: bool = False, evidence: float = 12.0, parts: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``."""
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_base", base_spans(F.col("_text")))
-    rows = materialize(rows.withColumn("_text_key", F.xxhash64("_text")), "rows")
-    out = _with_spans(rows, disclosure, support, everywhere)
+    rows = materialize(rows.withColumn("_text_key", _text_key()), "rows")
+    out = _with_spans(rows, disclosure, support, everywhere, evidence, parts)
     counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 
@@ -223,11 +253,12 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def sanitize(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3, everywhere: bool = False) -> DataFrame:
+def sanitize(docs: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3, everywhere: bool = False,
+             evidence: float = 12.0, parts: bool = False) -> DataFrame:
     """``docs`` with every span generalised in ``text_col``; all rows and columns stay,
     whatever their names, the others with their values. Texts without a span are
     unchanged (null stays null)."""
     own = place(docs, text_col)
-    out = _with_spans(_prepared(docs, text_col), disclosure, support, everywhere)
+    out = _with_spans(_prepared(docs, text_col), disclosure, support, everywhere, evidence, parts)
     clean = F.when(F.size("_spans") > 0, _rewritten(F.col("_text"), F.col("_spans"))).otherwise(F.col(own))
     return named(out.withColumn(own, clean), docs)

@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_private(table(spark, sf_dir, "documents"), everywhere=True)
+    return find_private(table(spark, sf_dir, "documents"), everywhere=True, evidence=20, parts=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
