@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data and disclosing terms are generalised in the
     text; ``n_chars`` follows it."""
-    clean = pii.sanitize(docs, everywhere=True)
+    clean = pii.sanitize(docs, everywhere=True, evidence=20, parts=True)
     return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
