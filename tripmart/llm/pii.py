@@ -13,9 +13,9 @@ would meet the entity by chance once in two to the power ``evidence`` at most
 is a span too; with ``everywhere``, in every text, with or without the entity.
 Sanitising generalises base spans to their kind and disclosing terms to a class.
 
-Term counts, (term, text) pairs of texts with an entity and (term, entity) pairs
-shuffle, combined before. Tables of copied texts, disclosing terms and documents
-that hold one are joined by Spark's own choice: while they are small, no text moves.
+Counts of terms that texts with a recurring entity hold, (term, text) pairs of
+those texts and (term, entity) pairs shuffle, combined before. Bitmaps of fixed
+size keep other terms, and texts without a copy, out of every join.
 
 Defined results: null and empty texts have no spans; repeated rows are rows, but
 equal texts are one piece of evidence; a null ``doc_id`` stays null; an empty
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmart.llm.tables import named, place, positional, whole_text
+from tripmart.operators.sketch import hash_bitmap
 from tripmart.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -153,11 +154,21 @@ def _text_key() -> Column:
     return F.unhex(F.sha2(F.col("_text"), 256))
 
 
+def _among(values: DataFrame, name: str):
+    """Filter that passes every value of a column, and few others, without a join."""
+    holds = hash_bitmap(values.select(F.xxhash64(name).alias("_h")))
+    return holds(F.xxhash64(name))
+
+
 def _texts(rows: DataFrame) -> DataFrame:
-    """One row of each distinct text."""
-    copied = rows.groupBy("_text_key").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copied = materialize(copied.select("_text_key", "_first"), "copied")
-    return rows.select("_rid", "_text_key", "_text", "_base").join(copied, "_text_key", "left").where("_first IS NULL OR _first = _rid")
+    """One row of each distinct text. Only ids and digests shuffle, and the texts of
+    rows that a bitmap of fixed size takes for further copies."""
+    keys = rows.select("_rid", "_text_key")
+    copied = keys.groupBy("_text_key").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = materialize(keys.join(copied, "_text_key").where("_rid <> _first").select("_rid"), "again")
+    perhaps = _among(again, "_rid")
+    rows = rows.select("_rid", "_text_key", "_text", "_base")
+    return rows.where(~perhaps).unionByName(rows.where(perhaps).join(again, "_rid", "left_anti"))
 
 
 def disclosing(rows: DataFrame, disclosure: float, support: int, evidence: float = 0.0, parts: bool = False) -> DataFrame:
@@ -182,9 +193,10 @@ def disclosing(rows: DataFrame, disclosure: float, support: int, evidence: float
     own = materialize(named.join(entities, "entity"), "recurring")
     held = held.join(own.select("_text_key").distinct(), "_text_key", "left_semi")
     held = materialize(held.select("_text_key", F.explode(_terms()).alias("term")), "held")
-    near = held.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= support).select("term")
-    terms = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    terms = terms.join(near, "term", "left_semi").crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
+    near = materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= support).select("term"), "near")
+    terms = texts.select(F.explode(_terms()).alias("term")).where(_among(near, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # an inner join: a semi-join would be pushed below the aggregate, and every occurrence shuffled
+    terms = terms.join(near, "term").crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
     pairs = held.join(materialize(terms, "terms"), "term").join(own, "_text_key").where(F.col("n_term") <= F.col("_most"))
     pairs = pairs.groupBy("term", "entity", "n_term", "n_entity", "n").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     content = F.log(F.col("n") / F.col("n_entity"))
@@ -201,7 +213,8 @@ def _with_spans(rows: DataFrame, disclosure: float, support: int, everywhere: bo
     """Rows (``_rid, _base, ...`` written before) with ``_spans``."""
     pairs = materialize(disclosing(rows, disclosure, support, evidence, parts), "pairs")
     if everywhere:
-        told = rows.select("_rid", F.explode(_terms()).alias("term")).join(pairs.select("term").distinct(), "term")
+        names = materialize(pairs.select("term").distinct(), "names")
+        told = rows.select("_rid", F.explode(_terms()).alias("term")).where(_among(names, "term")).join(names, "term")
     else:
         some = rows.where(F.size("_base") > 0).select("_rid", _entities(parts).alias("_own"), F.explode(_terms()).alias("term"))
         told = some.join(pairs, "term").where(F.array_contains("_own", F.col("entity")))
