@@ -182,7 +182,7 @@ def disclosing(rows: DataFrame, disclosure: float, support: int, evidence: float
     texts = _texts(rows)
     total = texts.agg(F.count(F.lit(1)).alias("n"))
     held = texts.where(F.size("_base") > 0)
-    named = materialize(held.select("_text_key", F.explode(_entities(parts)).alias("entity")), "entities")
+    named = materialize(held.select("_rid", F.explode(_entities(parts)).alias("entity")), "entities")
     entities = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     most = F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - disclosure)) * 1.000001
     entities = entities.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("n_entity")).withColumn("_most", most)  # one row
@@ -191,13 +191,13 @@ def disclosing(rows: DataFrame, disclosure: float, support: int, evidence: float
         return entities.select(F.lit("").alias("term"), "entity")
     bound = entities.agg(F.max("_most").alias("_bound"))
     own = materialize(named.join(entities, "entity"), "recurring")
-    held = held.join(own.select("_text_key").distinct(), "_text_key", "left_semi")
-    held = materialize(held.select("_text_key", F.explode(_terms()).alias("term")), "held")
+    held = held.join(own.select("_rid").distinct(), "_rid", "left_semi")
+    held = materialize(held.select("_rid", F.explode(_terms()).alias("term")), "held")
     near = materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= support).select("term"), "near")
     terms = texts.select(F.explode(_terms()).alias("term")).where(_among(near, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     # an inner join: a semi-join would be pushed below the aggregate, and every occurrence shuffled
     terms = terms.join(near, "term").crossJoin(F.broadcast(bound)).where(F.col("n_term") <= F.col("_bound")).drop("_bound")  # one row
-    pairs = held.join(materialize(terms, "terms"), "term").join(own, "_text_key").where(F.col("n_term") <= F.col("_most"))
+    pairs = held.join(materialize(terms, "terms"), "term").join(own, "_rid").where(F.col("n_term") <= F.col("_most"))
     pairs = pairs.groupBy("term", "entity", "n_term", "n_entity", "n").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     content = F.log(F.col("n") / F.col("n_entity"))
     score = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / content
