@@ -3,6 +3,8 @@ brute-force versions."""
 
 import math
 import os
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tripmart.llm import exact_dedup, queries, simhash, toxicity
 from tripmart.llm.embeddings import near_vectors
-from tripmart.llm.quality import score_quality
+from tripmart.llm.quality import chained, score_quality
 from tripmart.llm.sharding import interleave, write_shards
 from tripmart.llm.tables import components
 
@@ -209,10 +211,13 @@ def test_toxicity_learns_and_tags(spark, edges):
     assert toxicity.score_toxicity(edges.limit(0), labels).collect() == []
 
 
-def brute_quality(trusted, texts, order=4):
-    """Interpolated modified Kneser-Ney over characters, counted with dicts."""
-    grams = Counter(tuple(("\x01" * 3 + t)[i : i + order]) for t in trusted for i in range(len(t)))
-    tables = {order: grams}
+def brute_quality(trusted, texts, order=3):
+    """Interpolated modified Kneser-Ney over words, counted with dicts."""
+    def grams_of(text):
+        words = ["<s>"] * 2 + re.findall("[^\\x20\\x09-\\x0D]+", text.lower()) + ["</s>"]
+        return [tuple(words[i : i + order]) for i in range(len(words) - 2)] if len(words) > 3 else []
+
+    tables = {order: Counter(g for t in trusted for g in grams_of(t))}
     for k in range(order - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
     discount = {}
@@ -222,7 +227,7 @@ def brute_quality(trusted, texts, order=4):
             discount[k] = [0, 0.5, 0.75, 0.75]
             continue
         y = n[0] / (n[0] + 2 * n[1])
-        discount[k] = [0] + [min(max(m - (m + 1) * y * n[m] / n[m - 1], 0.0), m) if n[m - 1] else 0.75 for m in (1, 2, 3)]
+        discount[k] = [0] + [min(max(m - (m + 1) * y * n[m] / n[m - 1], 0.05), m) if n[m - 1] else 0.75 for m in (1, 2, 3)]
     context = {k: defaultdict(list) for k in tables}
     for k, table in tables.items():
         for g, c in table.items():
@@ -230,7 +235,7 @@ def brute_quality(trusted, texts, order=4):
 
     def p(g):
         if not g:
-            return 1 / 65536
+            return 1 / (len(tables[1]) + 1)
         k = len(g)
         own = context[k].get(g[:-1])
         if not own:
@@ -239,23 +244,44 @@ def brute_quality(trusted, texts, order=4):
         c = tables[k].get(g, 0)
         return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in own) * p(g[1:])) / sum(own)
 
-    return [math.exp(-sum(math.log(p(tuple(("\x01" * 3 + t)[i : i + order]))) for i in range(len(t))) / len(t)) if t else None for t in texts]
+    own = [grams_of(t) for t in texts]
+    return [math.exp(-sum(math.log(p(g)) for g in gs) / len(gs)) if gs else None for gs in own]
 
 
 def test_quality_equals_plain_kneser_ney(spark):
-    rows = [(i, prose(i, 12) if i % 9 else "ZZQX!! %%", "en" if i % 2 else "de") for i in range(60)] + [(60, "", "en"), (61, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i in range(0, 60, 2)] + [(None, 1)], "doc_id long, quality int")
+    rows = [(i, prose(i, 12) if i % 9 else "ZZQX!! %%", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(60, "", "en"), (61, None, None), (62, " \n\t", "en"), (63, prose(3, 12), "fr"), (64, "one", "en"), (65, prose(2, 9) * 300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit("extra")).withColumn("_rid", F.lit(7))
+    labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i in range(0, 60, 2)] + [(2, 1), (62, 1), (None, 1)], "doc_id long, quality int")
     trusted = [rows[i][1] for i in range(0, 60, 2) if i % 9]
     want = brute_quality(trusted, [t or "" for _, t, _ in rows])
     got = {r.doc_id: r for r in score_quality(docs, labels).collect()}
-    for (i, *_), x in zip(rows, want, strict=True):
+    assert len(got) == len(rows)
+    for (i, text, _), x in zip(rows, want, strict=True):
         assert (got[i].perplexity is None and x is None) or math.isclose(got[i].perplexity, x, rel_tol=1e-9)
-    assert not got[60].kept and not got[61].kept and not got[9].kept and got[2].kept
+        assert got[i].n_words == len((text or "").split())
+    assert not got[60].kept and not got[61].kept and not got[62].kept and not got[9].kept and got[2].kept
     assert all(r.kept == bool(r.perplexity) for r in score_quality(docs, labels.limit(0)).collect())
     assert score_quality(docs.limit(0), labels).collect() == []
 
 
+def test_quality_sees_word_order(spark):
+    texts = [prose(k, 40) for k in range(40)]
+    shuffled = [" ".join(random.Random(k).sample(t.split(), len(t.split()))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + shuffled)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in score_quality(docs, labels, quantile=1.0).collect()}
+    assert all(got[i].kept and got[i + 40].perplexity > 2 * got[i].perplexity for i in range(40))
+
+
+def test_ngram_keys_are_sparks(spark):
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
+    rows = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long")
+    got = rows.select("a", "b", F.xxhash64("a").alias("one"), F.xxhash64("a", "b").alias("two")).toPandas()
+    a, b = (got[c].to_numpy().view(np.uint64) for c in "ab")
+    assert (chained(a).view(np.int64) == got.one).all() and (chained(b, chained(a)).view(np.int64) == got.two).all()
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 
