@@ -248,19 +248,29 @@ def brute_quality(trusted, texts, order=3):
     return [math.exp(-sum(math.log(p(g)) for g in gs) / len(gs)) if gs else None for gs in own]
 
 
+def in_fold(text):
+    """Whether a trusted text sets thresholds instead of training."""
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64)) % 5 == 0
+
+
 def test_quality_equals_plain_kneser_ney(spark):
     rows = [(i, prose(i, 12) if i % 9 else "ZZQX!! %%", "en" if i % 2 else "de") for i in range(60)]
     rows += [(60, "", "en"), (61, None, None), (62, " \n\t", "en"), (63, prose(3, 12), "fr"), (64, "one", "en"), (65, prose(2, 9) * 300, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit("extra")).withColumn("_rid", F.lit(7))
     labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i in range(0, 60, 2)] + [(2, 1), (62, 1), (None, 1)], "doc_id long, quality int")
-    trusted = [rows[i][1] for i in range(0, 60, 2) if i % 9]
+    good = {i for i in range(0, 60, 2) if i % 9} | {62}
+    trusted = [t for i, t, _ in rows if i in good and not in_fold(t)]
     want = brute_quality(trusted, [t or "" for _, t, _ in rows])
     got = {r.doc_id: r for r in score_quality(docs, labels).collect()}
     assert len(got) == len(rows)
     for (i, text, _), x in zip(rows, want, strict=True):
         assert (got[i].perplexity is None and x is None) or math.isclose(got[i].perplexity, x, rel_tol=1e-9)
         assert got[i].n_words == len((text or "").split())
-    assert not got[60].kept and not got[61].kept and not got[62].kept and not got[9].kept and got[2].kept
+    held = [(lang, x) for (i, t, lang), x in zip(rows, want, strict=True) if i in good and in_fold(t) and x is not None]
+    assert len(held) > 2 and sum(r.held_out for r in got.values()) >= len(held)
+    for (i, _, lang), x in zip(rows, want, strict=True):
+        most = max((y for k, y in held if k == lang), default=max(y for _, y in held))
+        assert math.isclose(got[i].threshold, most, rel_tol=1e-9) and got[i].kept == (x is not None and got[i].perplexity <= got[i].threshold)
     assert all(r.kept == bool(r.perplexity) for r in score_quality(docs, labels.limit(0)).collect())
     assert score_quality(docs.limit(0), labels).collect() == []
 
@@ -271,7 +281,8 @@ def test_quality_sees_word_order(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + shuffled)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
     got = {r.doc_id: r for r in score_quality(docs, labels, quantile=1.0).collect()}
-    assert all(got[i].kept and got[i + 40].perplexity > 2 * got[i].perplexity for i in range(40))
+    assert all(got[i].kept for i in range(40)) and sum(got[i].held_out for i in range(40)) > 2
+    assert all(got[i + 40].perplexity > 2 * got[i].perplexity for i in range(40) if not got[i].held_out)
 
 
 def test_ngram_keys_are_sparks(spark):
