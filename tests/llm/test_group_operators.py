@@ -5,8 +5,10 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tripmart.llm import exact_dedup, queries, simhash, toxicity
 from tripmart.llm.embeddings import near_vectors
-from tripmart.llm.quality import chained, score_quality
+from tripmart.llm.quality import chained, coded, grams, score_quality, triples
 from tripmart.llm.sharding import interleave, write_shards
 from tripmart.llm.tables import components
 
@@ -293,6 +295,55 @@ def test_ngram_keys_are_sparks(spark):
     assert (chained(a).view(np.int64) == got.one).all() and (chained(b, chained(a)).view(np.int64) == got.two).all()
 
 
+def test_quality_leaves_no_shuffle_and_one_table(spark):
+    from tripmart.session import ensure_checkpoint_dir
+
+    def held():
+        files = Path(ensure_checkpoint_dir(spark)).glob("*-*")
+        shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [shuffles.apply(i).getName() for i in range(shuffles.size())]
+        return {f.name for f in files}, {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    docs = spark.createDataFrame([(i, prose(i, 12), "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    tables, shuffles = held()
+    score_quality(docs, labels)
+    for _ in range(50):
+        if len(held()[1] - shuffles) <= 8:
+            break
+        time.sleep(0.1)
+    assert len(held()[1] - shuffles) <= 8  # the thresholds' own; before, those of every join
+    assert [n.split("-")[0] for n in held()[0] - tables if not n.startswith("run-")] == ["perplexity"]
+
+
+def test_parts_hold_every_ngram():
+    texts = [prose(k, 30) for k in range(20)] + ["", "one", "a a a a a a"]
+    table, places, size = coded(texts)
+    doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+    train = np.arange(len(size)) % 2 == 0
+    want, seen = Counter(), Counter()
+    for i, t in enumerate(texts):
+        w = [0, 0, *(xxhash.xxh3_64_intdigest(x) for x in t.split()), 1] if t else []
+        for k in (1, 2, 3):
+            for j in range(k == 1, len(w) - k + 1):
+                key = np.uint64(42)
+                for x in w[j : j + k]:
+                    key = chained(np.array([x], np.uint64), key)
+                want[i, int(key[0])] += 1
+        if train[i]:
+            seen.update(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+    got, pairs = Counter(), Counter()
+    for part in range(4):
+        once = Counter()
+        for d, k, n in zip(*grams(table, places, doc, part, 4), strict=True):
+            once[int(d), int(k)] += int(n)
+        got |= once  # a pair whose words are of two parts is in both
+        for a, b, c, n in zip(*triples(table, places, doc, train, part, 4), strict=True):
+            assert int(b) % 4 == part
+            pairs[int(a), int(b), int(c)] += int(n)
+    assert got == want and pairs == seen
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 
