@@ -8,7 +8,6 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -22,6 +21,7 @@ from tripmart.llm.embeddings import near_vectors
 from tripmart.llm.quality import chained, coded, grams, score_quality, triples
 from tripmart.llm.sharding import interleave, write_shards
 from tripmart.llm.tables import components
+from tripmart.session import run_scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -296,24 +296,22 @@ def test_ngram_keys_are_sparks(spark):
 
 
 def test_quality_leaves_no_shuffle_and_one_table(spark):
-    from tripmart.session import ensure_checkpoint_dir
-
     def held():
-        files = Path(ensure_checkpoint_dir(spark)).glob("*-*")
         shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
         names = [shuffles.apply(i).getName() for i in range(shuffles.size())]
-        return {f.name for f in files}, {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
 
     docs = spark.createDataFrame([(i, prose(i, 12), "en") for i in range(60)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
-    tables, shuffles = held()
-    score_quality(docs, labels)
+    before = held()
+    with run_scratch(spark) as path:
+        score_quality(docs, labels)
+        assert [n.split("-")[0] for n in os.listdir(path.removeprefix("file:"))] == ["perplexity"]
     for _ in range(50):
-        if len(held()[1] - shuffles) <= 8:
+        if len(held() - before) <= 8:
             break
         time.sleep(0.1)
-    assert len(held()[1] - shuffles) <= 8  # the thresholds' own; before, those of every join
-    assert [n.split("-")[0] for n in held()[0] - tables if not n.startswith("run-")] == ["perplexity"]
+    assert len(held() - before) <= 8  # the thresholds' own; before, those of every join
 
 
 def test_parts_hold_every_ngram():
