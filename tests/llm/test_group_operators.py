@@ -10,13 +10,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm.conftest import EDGES, prose
 from oracle_compare import compare, duck
 from pyspark.sql import functions as F
 
-from tripmart.llm import exact_dedup, queries, simhash, toxicity
+from tripmart.llm import exact_dedup, quality, queries, simhash, toxicity
 from tripmart.llm.embeddings import near_vectors
 from tripmart.llm.quality import chained, coded, grams, score_quality, triples
 from tripmart.llm.sharding import interleave, write_shards
@@ -342,6 +343,48 @@ def test_parts_hold_every_ngram():
     assert got == want and pairs == seen
 
 
+def test_texts_meet_labels_in_parts(spark, monkeypatch):
+    """Before, one join moved every text at once."""
+    class Stop(Exception):
+        pass
+
+    def stop(texts):
+        raise Stop(texts.select(F.sum("n_texts")).first()[0])
+
+    docs = spark.createDataFrame([(i if i % 50 else None, prose(i, 5), "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 3)], "doc_id long, quality int")
+    seen, coded_rows = [], quality._coded
+    monkeypatch.setattr(quality, "_coded", lambda rows: seen.append((rows.count(), rows.where("_train").count())) or coded_rows(rows))
+    monkeypatch.setattr(quality, "log_sums", stop)
+    with pytest.raises(Stop, match="400"):
+        score_quality(docs, labels)
+    good = sum(1 for i in range(0, 400, 3) if i % 50 and not in_fold(prose(i, 5)))
+    assert sum(n for n, _ in seen) == 400 and max(n for n, _ in seen) < 200 and sum(n for _, n in seen) == good
+
+
+def test_coded_texts_are_packed(spark):
+    """Before, hashes and places were kept as they are, and zstd had to do."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 50_000}" for _ in range(400)) for _ in range(200)] + ["", "one"]
+    table, places, size = coded(texts)
+    plain = sum(len(pa.compress(x.tobytes(), "zstd", asbytes=True)) for x in (table, places))
+    rows = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "_rid long, _text string, _train boolean").coalesce(1)
+    found = quality._coded(rows).toArrow()
+    assert found.num_rows == 1 and sum(len(found[c][0].as_py()) for c in ("words", "places")) < 0.9 * plain
+    (_, train, own_table, own_places, doc), = quality._chunks(found.to_batches())
+    assert (own_table[own_places] == table[places]).all() and (np.bincount(doc, minlength=len(texts)) == size).all()
+    assert train.tolist() == [i % 2 == 0 for i in range(len(texts))]
+
+
+def test_blocks_hold_every_key():
+    key = np.sort(np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64))
+    some, sizes, (blocks,) = quality._blocks(quality._bucket(key, 7), [key])
+    assert some.tolist() == list(range(7)) and sizes.sum() == 5000
+    assert (quality._column(pa.table({"size": sizes, "x": blocks}), "x", np.uint64) == key).all()
+    none = quality._blocks(quality._bucket(key[:0], 7), [key[:0]])
+    assert len(none[0]) == 0 and quality._column(pa.table({"size": none[1], "x": none[2][0]}), "x", np.uint64).tolist() == []
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 
